@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textmill import schemas
+from textmill.functions.text import bound
 from textmill.functions.urls import POLICY, REFERENCE
 
 # The number written in a name (a plus and leading zeros are allowed,
@@ -16,11 +17,11 @@ NAME_WITH_REFNUMS = rf"(?si)\A{_NUMBER}-{_NUMBER}-*(?:\.[^.]*)?\.txt\z"
 def parse_refnums(name: Column) -> Column:
     """`struct<refnum1, refnum2>`, or null for any other name."""
 
-    def number(group):
-        return F.regexp_extract(name, NAME_WITH_REFNUMS, group).cast("int")
-
-    pair = F.struct(number(1).alias("refnum1"), number(2).alias("refnum2"))
-    return F.when(name.rlike(NAME_WITH_REFNUMS), pair)
+    digits = F.split(F.regexp_replace(name, NAME_WITH_REFNUMS, "$1-$2"), "-")
+    return bound(F.when(name.rlike(NAME_WITH_REFNUMS), digits), lambda pair: F.when(
+        pair.isNotNull(),
+        F.struct(F.get(pair, 0).cast("int").alias("refnum1"), F.get(pair, 1).cast("int").alias("refnum2")),
+    ))
 
 
 def valid_refnum(number: Column) -> Column:
@@ -29,14 +30,10 @@ def valid_refnum(number: Column) -> Column:
 
 def resolve_refnums(parsed: Column, doc_type: Column, defaults=schemas.DEFAULT_REFNUMS) -> Column:
     """Both parsed numbers or both defaults; a reference document has none."""
-    first, second = (F.lit(value).cast("int") for value in defaults)
-    return F.struct(
-        *[
-            F.when(doc_type != REFERENCE, F.when(parsed.isNull(), default).otherwise(parsed[name]))
-            .alias(name)
-            for name, default in (("refnum1", first), ("refnum2", second))
-        ]
-    )
+    default = F.struct(*[
+        F.lit(value).cast("int").alias(name) for name, value in zip(("refnum1", "refnum2"), defaults)
+    ])
+    return F.when(doc_type != REFERENCE, F.coalesce(parsed, default))
 
 
 def refnum_error(doc_type: Column, refnum1: Column, refnum2: Column) -> Column:

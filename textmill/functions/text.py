@@ -15,6 +15,11 @@ NO_CONTENT = "[No content]"
 MEANINGFUL = r"\A[^\u0085\u2028\u2029]*[A-Za-z0-9][^\u0085\u2028\u2029]*\z"
 
 
+def bound(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIMMED))
 
@@ -24,9 +29,14 @@ def not_blank(text: Column) -> Column:
     return F.coalesce(trimmed(text) != "", F.lit(False))
 
 
+def filled(text: Column) -> Column:
+    """The text, or null when it is blank."""
+    return bound(text, lambda value: F.when(trimmed(value) != "", value))
+
+
 def meaningful_words(text: Column) -> Column:
     words = F.filter(F.split(text, WHITESPACE), lambda word: word.rlike(MEANINGFUL))
-    return F.when(text.isNull(), 0).otherwise(F.size(words))
+    return F.coalesce(F.array_size(words), F.lit(0))
 
 
 def preview(text: Column, n: int = schemas.PREVIEW_CHARS) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textmill.functions.text import not_blank
+from textmill.functions.text import bound, filled
 
 # Path marks and name patterns that decide a document's type.
 WEBHDFS_MARK = "/webhdfs/"
@@ -21,13 +21,9 @@ PROCESSED_FILE = r"\A\s*Processed file:\s*(\S+)"
 BARE_URL = r"\A\s*([A-Za-z][A-Za-z0-9+.-]*://\S+)\s*\z"
 
 
-def _filled(text: Column) -> Column:
-    return F.when(not_blank(text), text)
-
-
 def extract_url(body: Column) -> Column:
     """The message's `url`, or null when it is no JSON or the field is missing or blank."""
-    return _filled(F.get_json_object(body, "$.url"))
+    return filled(F.get_json_object(body, "$.url"))
 
 
 def extract_url_compat(body: Column) -> Column:
@@ -35,13 +31,13 @@ def extract_url_compat(body: Column) -> Column:
 
     A message without a URL is itself the document; a JSON one keeps it in `content`.
     """
-    fields = [_filled(F.get_json_object(body, f"$.{name}")) for name in URL_FIELDS]
+    fields = [filled(F.get_json_object(body, f"$.{name}")) for name in URL_FIELDS]
     in_text = [
-        _filled(F.regexp_extract(body, pattern, 1)) for pattern in (PROCESSED_FILE, BARE_URL)
+        filled(F.regexp_extract(body, pattern, 1)) for pattern in (PROCESSED_FILE, BARE_URL)
     ]
-    url = F.coalesce(*fields, *in_text)
-    inline = F.coalesce(_filled(F.get_json_object(body, f"$.{CONTENT_FIELD}")), _filled(body))
-    return F.struct(url.alias("url"), F.when(url.isNull(), inline).alias("inline_content"))
+    inline = F.coalesce(filled(F.get_json_object(body, f"$.{CONTENT_FIELD}")), filled(body))
+    return bound(F.coalesce(*fields, *in_text), lambda url: F.struct(
+        url.alias("url"), F.when(url.isNull(), inline).alias("inline_content")))
 
 
 def is_webhdfs(url: Column) -> Column:
@@ -91,8 +87,8 @@ def uri_host(uri: Column) -> Column:
 
 def instance_url(url: Column, public_host: Column, host: Column, port: Column) -> Column:
     def at(name):
-        return F.concat(F.lit("http://"), _filled(name), F.lit(":"), port.cast("string"))
+        return F.concat(F.lit("http://"), filled(name), F.lit(":"), port.cast("string"))
 
-    return F.coalesce(_filled(url), at(public_host), at(host))
+    return F.coalesce(filled(url), at(public_host), at(host))
 
 

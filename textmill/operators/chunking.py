@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill import schemas
-from textmill.functions.text import WHITESPACE, meaningful_words, not_blank, trimmed
+from textmill.functions.text import WHITESPACE, bound, meaningful_words, not_blank, trimmed
 
 # What separates paragraphs, in the text and in a chunk.
 PARAGRAPH_BREAK = r"\n\s*\n"
@@ -41,11 +41,6 @@ def _chunk_ends(counts: Column, max_words: int) -> Column:
     )
 
 
-def _bound(value: Column, body) -> Column:
-    """`body(value)` with the value computed once per row, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _pack(text: Column, max_words: int, min_words: int) -> Column:
     def pieces(paragraphs, counts, ends):
         def piece(end, i):
@@ -58,14 +53,14 @@ def _pack(text: Column, max_words: int, min_words: int) -> Column:
 
     def kept(paragraphs, counts):
         large = lambda chunk: (chunk.n_words >= min_words) & (chunk.content != "")
-        chunks = _bound(_chunk_ends(counts, max_words), lambda ends: pieces(paragraphs, counts, ends))
-        return _bound(F.filter(chunks, large), lambda chunks: F.struct(
+        chunks = bound(_chunk_ends(counts, max_words), lambda ends: pieces(paragraphs, counts, ends))
+        return bound(F.filter(chunks, large), lambda chunks: F.struct(
             chunks.alias("chunks"),
             (_total(counts) - _total(F.transform(chunks, lambda c: c.n_words))).alias("dropped_words"),
         ))
 
     paragraphs = F.coalesce(split_paragraphs(text), F.array().cast("array<string>"))
-    return _bound(paragraphs, lambda some: _bound(
+    return bound(paragraphs, lambda some: bound(
         F.transform(some, meaningful_words), lambda counts: kept(some, counts)))
 
 
@@ -92,7 +87,7 @@ def with_overlap(packed: DataFrame, words: int) -> DataFrame:
 
     def tail(text):
         last = lambda every: F.slice(every, F.greatest(F.size(every) - words + 1, F.lit(1)), words)
-        return F.array_join(_bound(F.split(text, WHITESPACE), last), " ")
+        return F.array_join(bound(F.split(text, WHITESPACE), last), " ")
 
     def all_extended(chunks):
         def extended(chunk, i):
@@ -106,7 +101,7 @@ def with_overlap(packed: DataFrame, words: int) -> DataFrame:
 
         return F.transform(chunks, extended)
 
-    return packed.withColumn("chunks", _bound(F.col("chunks"), all_extended))
+    return packed.withColumn("chunks", bound(F.col("chunks"), all_extended))
 
 
 def explode_chunks(packed: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def snapshots(spark, folder):
 
 _SNAPSHOT = f"""
     snapshots as (
-      select event_id, instance_id, service, event, filename, error_text, {ISO('ts')} as at,
+      select event_id, instance_id, service, event, filename, error_text, {ISO('ts')} as event_ts,
              'http://' || instance_id || ':8080' as url,
              case when event = 'INIT' then 'STARTING'
                   when error_delta > processed_delta * 0.1::double then 'ERROR'
@@ -76,7 +76,7 @@ _SNAPSHOT = f"""
 
 @query("metric_events", f"""
     with {_SNAPSHOT}
-    select event_id, instance_id, at, status, service, stage, filename, cast(pending as varchar) as pending,
+    select event_id, instance_id, event_ts, status, service, stage, filename, cast(pending as varchar) as pending,
            12 + (event = 'CHUNK_COMPLETE')::int + (error_text is not null)::int
               + (filename is not null)::int - 1 as n_fields
     from snapshots""")
@@ -84,7 +84,7 @@ def metrics_to_json(spark, folder):
     bodies = ml.events_to_json(snapshots(spark, folder))
     value = lambda path: F.get_json_object("body", f"$.{path}")
     return bodies.select(
-        "event_id", value("instanceId").alias("instance_id"), value("timestamp").alias("at"),
+        "event_id", value("instanceId").alias("instance_id"), value("timestamp").alias("event_ts"),
         value("status").alias("status"), value("meta.service").alias("service"),
         value("meta.processingStage").alias("stage"), value("filename").alias("filename"),
         value("pendingMessages").alias("pending"),
@@ -101,14 +101,14 @@ def _bodies(spark, folder):
 
 @query("metric_events", f"""
     with {_SNAPSHOT}
-    select event_id, instance_id, at, event, status, url, service, stage, filename,
+    select event_id, instance_id, event_ts, event, status, url, service, stage, filename,
            total_delta as total_chunks, processed_delta as processed_chunks
     from snapshots where event not in ('INIT', 'ERROR')""")
 def metrics_parse(spark, folder):
     parsed = ml.parse_metrics(_bodies(spark, folder))
     return parsed.select(
         "event_id", F.col("instanceId").alias("instance_id"),
-        st.iso_time(st.event_time(F.col("timestamp"))).alias("at"), "event", "status", "url",
+        st.iso_time(st.event_time(F.col("timestamp"))).alias("event_ts"), "event", "status", "url",
         "meta.service", F.col("meta.processingStage").alias("stage"), "filename",
         F.col("totalChunks").alias("total_chunks"), F.col("processedChunks").alias("processed_chunks"))
 
@@ -138,7 +138,7 @@ def metrics_union(spark, folder):
 @query("metric_events", """
     select event_id,
            case when event = 'ERROR' then null
-                when event = 'HEARTBEAT' then epoch_ms(ts) * 1000 else epoch_us(ts) end as micros
+                when event = 'HEARTBEAT' then epoch_us(ts) // 1000 * 1000 else epoch_us(ts) end as micros
     from metric_events""")
 def event_time(spark, folder):
     """ISO text, epoch milliseconds for heartbeats, and nonsense for errors."""

@@ -25,10 +25,16 @@ def _whole_files(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("content"))
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return _filesystem(spark, path).exists(_path(spark, path))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,8 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_at_once=None) -> DataFrame:
-    """The same table as a stream of its files."""
+    """The same table as a stream of its files, whether it is a folder or a single file."""
+    folder, file = folder.rstrip("/"), f"{name}.parquet"
     reader = spark.readStream.schema(table(spark, folder, name).schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
-    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    if _filesystem(spark, folder).getFileStatus(_path(spark, f"{folder}/{file}")).isDirectory():
+        return reader.parquet(f"{folder}/{file}")
+    return reader.option("pathGlobFilter", file).parquet(folder)
