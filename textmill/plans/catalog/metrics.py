@@ -77,8 +77,8 @@ _SNAPSHOT = f"""
 @query("metric_events", f"""
     with {_SNAPSHOT}
     select event_id, instance_id, event_ts, status, service, stage, filename, cast(pending as varchar) as pending,
-           12 + (event = 'CHUNK_COMPLETE')::int + (error_text is not null)::int
-              + (filename is not null)::int - 1 as n_fields
+           10 + (event = 'CHUNK_COMPLETE')::int + (error_text is not null)::int
+              + (filename is not null)::int as n_fields
     from snapshots""")
 def metrics_to_json(spark, folder):
     bodies = ml.events_to_json(snapshots(spark, folder))

@@ -90,14 +90,21 @@ def liveness_changes(
         "liveness string, heartbeat_stale boolean",
         "activity bigint, heartbeat bigint",
         "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if now_us is not None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
-def stream_liveness(events: DataFrame, path: str, checkpoint: str, **options) -> DataFrame:
-    """Keep the liveness table up to date in `path`, and return it."""
-    changes = liveness_changes(events, **options)
+def stream_liveness(events: DataFrame, path: str, checkpoint: str, now_us: int, **options) -> DataFrame:
+    """Bring the liveness table in `path` up to date as of `now_us`, and return it."""
+    changes = liveness_changes(events, now_us, **options)
     run_available(
         changes.writeStream.outputMode("update").foreachBatch(batch_folder(path)), checkpoint
     )
     return newest_versions(events.sparkSession, path, INSTANCE)
+
+
+def watch_liveness(events: DataFrame, path: str, checkpoint: str, every="5 seconds", **options):
+    """Start a stream that never ends: timeouts need batches even when nothing arrives."""
+    changes = liveness_changes(events, **options)
+    writer = changes.writeStream.outputMode("update").foreachBatch(batch_folder(path))
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
