@@ -106,7 +106,9 @@ def embedding_udf(provider: Provider, dim: int, batch_size: int):
                 errors += some[1]
             yield _as_struct(vectors, errors)
 
-    return embed
+    # Declared so that Catalyst does not run the model a second time in a filter
+    # on its result that it pushes below this step.
+    return embed.asNondeterministic()
 
 
 def _as_struct(vectors, errors) -> pa.Array:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill import schemas
+from textmill.functions.text import bound
+from textmill.operators import with_once
 
 
 def events_to_json(events: DataFrame) -> DataFrame:
@@ -19,10 +21,6 @@ def write_metrics(events: DataFrame, path: str) -> None:
     events_to_json(events).select("body").write.mode("append").text(path)
 
 
-def _parsed(bodies: DataFrame, body: str) -> DataFrame:
-    return bodies.withColumn("_event", F.from_json(body, schemas.METRICS_EVENT))
-
-
 def _missing(event: Column) -> Column:
     """Names of required fields that are absent."""
     names = [
@@ -32,18 +30,25 @@ def _missing(event: Column) -> Column:
     return F.concat_ws(",", *names)
 
 
+def _parsed(bodies: DataFrame, body: str) -> DataFrame:
+    """Every body with `_parsed`, a struct of the event and what it lacks."""
+    checked = bound(
+        F.from_json(body, schemas.METRICS_EVENT),
+        lambda event: F.struct(event.alias("event"), _missing(event).alias("missing")),
+    )
+    return with_once(bodies, "_parsed", checked)
+
+
 def parse_metrics(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Events with all required fields. Optional fields may be null, extra ones are ignored."""
     rest = [c for c in bodies.columns if c != body]
-    return (
-        _parsed(bodies, body).filter(_missing(F.col("_event")) == "").select(*rest, "_event.*")
-    )
+    return _parsed(bodies, body).filter("_parsed.missing = ''").select(*rest, "_parsed.event.*")
 
 
 def invalid_metrics(bodies: DataFrame, body: str = "body") -> DataFrame:
     """The other bodies, with the names of the fields they lack."""
-    missing = _missing(F.col("_event"))
-    return _parsed(bodies, body).withColumn("missing", missing).filter(missing != "").drop("_event")
+    found = _parsed(bodies, body).filter("_parsed.missing <> ''")
+    return found.select(*bodies.columns, "_parsed.missing")
 
 
 def union_metrics(*logs: DataFrame) -> DataFrame:
