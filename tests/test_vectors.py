@@ -63,9 +63,9 @@ def test_approximate_search(spark):
     index = se.with_bucket(frame(spark, vectors, "id"), dim=16)
     asked = frame(spark, queries, "query_id")
     exact = brute(vectors, queries, 5, list(range(500)))
-    everywhere = se.approx_top_k(index, asked, 5, radius=8, dim=16)
+    everywhere = se.approx_top_k(index, asked, 5, share=1.0, dim=16)
     assert found(everywhere) == exact
-    near = found(se.approx_top_k(index, asked, 5, radius=3, dim=16))
+    near = found(se.approx_top_k(index, asked, 5, share=0.4, dim=16))
     hits = sum(len(set(near.get(q, [])) & set(exact[q])) for q in exact)
     assert hits / 100 >= 0.7
 

@@ -18,6 +18,7 @@ from textmill import schemas
 from textmill.functions.text import not_blank
 from textmill.functions.vectors import RANK_PLACES, has_dimension
 from textmill.operators.embedding import HASH_DIM, Provider, embed
+from textmill.session import cut
 
 # A block of queries is broadcast; this bounds its vectors to 32 MB.
 BLOCK_BYTES = 32 << 20
@@ -34,6 +35,8 @@ def query_blocks(queries: DataFrame, dim: int, query_id="query_id",
     if len(first) <= size:
         parts = [first] if len(first) else []
     else:
+        # Too many for one block: store them once, then fetch them part by part.
+        rows = cut(rows)
         count = -(-rows.count() // size)
         block = F.pmod(F.xxhash64(query_id), F.lit(2 * count))
         parts = (rows.filter(block == i).toPandas() for i in range(2 * count))
@@ -231,18 +234,25 @@ def with_bucket(vectors: DataFrame, bits: int = 8, dim: int = HASH_DIM, seed: in
 
 
 def approx_top_k(
-    index: DataFrame, queries: DataFrame, k: int = schemas.TOP_K, bits: int = 8, radius: int = 2,
+    index: DataFrame, queries: DataFrame, k: int = schemas.TOP_K, bits: int = 8, share: float = 0.25,
     dim: int = HASH_DIM, seed: int = 0, vector_id: str = "id", query_id: str = "query_id",
 ) -> DataFrame:
-    """As `top_k_batch`, but a query meets only buckets that differ in at most `radius` signs.
+    """As `top_k_batch`, but a query meets only the `share` of the buckets nearest to it.
 
-    `radius = bits` looks everywhere and is exact.
+    Near are buckets on the other side of planes the query is close to (Lv et al. 2007).
+    `share = 1` looks everywhere and is exact.
     """
     across = planes(bits, dim, seed)
-    apart = np.array([bin(code).count("1") for code in range(1 << bits)])
+    places = np.arange(bits)
+    wanted = max(1, round(share * (1 << bits)))
 
     def probes(matrix):
-        codes = _signs(matrix, across)
-        return apart[codes[:, None] ^ np.arange(1 << bits)[None, :]] <= radius
+        beyond = np.arange(1 << bits)[None, :] ^ _signs(matrix, across)[:, None]
+        costs = np.zeros(beyond.shape)
+        for place, margin in zip(places, (matrix @ across.T).T ** 2):
+            costs += ((beyond >> place) & 1) * margin[:, None]
+        looked_at = np.zeros(costs.shape, dtype=bool)
+        np.put_along_axis(looked_at, np.argsort(costs, axis=1, kind="stable")[:, :wanted], True, axis=1)
+        return looked_at
 
     return top_k_batch(index, queries, k, dim, vector_id, query_id, _probes=probes)

@@ -9,6 +9,7 @@ from textmill.operators import counters as ct
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import ISO
 from textmill.plans.views import view
+from textmill.session import spread
 from textmill.sources import metrics_log as ml
 
 HOUR = "1 hour"
@@ -35,7 +36,7 @@ def snapshots(spark, folder):
     """Every log row as an event in the schema of the shared log."""
     file = F.when(F.col("event") == "CHUNK_COMPLETE", F.col("filename"))
     derived = st.status(F.col("total_delta"), F.col("processed_delta"), F.col("error_delta"))
-    return log(spark, folder).select(
+    return spread(log(spark, folder)).select(
         "event_id",
         F.col("instance_id").alias("instanceId"),
         st.iso_time(F.col("ts")).alias("timestamp"),

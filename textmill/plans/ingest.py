@@ -14,7 +14,7 @@ from textmill.operators.embedding import HASH_DIM, Provider, embed
 from textmill.operators.search import top_k
 from textmill.session import spread
 from textmill.sources.files import scan_text_dir
-from textmill.sources.messages import distinct_work, load_content
+from textmill.sources.messages import work_documents
 from textmill.sources.vector_table import append_vectors, list_stored, read_vectors, row_id
 
 # What became of a row.
@@ -75,11 +75,10 @@ def ingest(
 
     Only a `stored` row belongs in the table. A file without content or without any
     chunk still has one row, so that every message can be accounted for. The join is
-    the only shuffle of the texts.
+    the only possible shuffle of the texts.
     """
-    docs = load_content(distinct_work(messages), files)
     packed = pack_chunks(
-        docs, max_words=max_words, min_words=min_words, overlap_words=overlap_words
+        work_documents(messages, files), max_words=max_words, min_words=min_words, overlap_words=overlap_words
     ).withColumn("_missing", F.col("content").isNull())
     keep = [c for c in packed.columns if c not in ("chunks", "content")]
     chunks = packed.select(*keep, F.posexplode_outer("chunks").alias("chunk_no", "_chunk")).select(

@@ -25,10 +25,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_index(rows: DataFrame, path: str) -> None:
-    """The table for approximate search, partitioned by bucket. Hot buckets are spread:
-    every task writes its own file per bucket it holds."""
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_index(rows: DataFrame, path: str, vector_id: str = "id") -> None:
+    """The table for approximate search, partitioned by bucket.
+
+    Ranges of (bucket, id) keep the files few, and split a bucket that holds much of the table.
+    """
+    ranged = rows.repartitionByRange("bucket", vector_id)
+    ranged.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def list_stored(rows: DataFrame, limit: int = schemas.LIST_LIMIT) -> DataFrame:
