@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textmill.plans import ingest as jobs
 from textmill.sources.files import scan_text_dir, stream_text_dir
 from textmill.sources.messages import load_content, missing_content, stream_messages, with_url
-from textmill.sources.vector_table import append_vectors, read_vectors
+from textmill.sources.vector_table import append_rows, read_errors, read_vectors
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
 from textmill.streaming.sinks import batch_folder, newest_versions, run_available
@@ -93,10 +93,11 @@ def test_without_metadata(spark):
 
 
 def test_a_batch_written_again_replaces_itself(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1)], "id string, n int")
+    rows = spark.createDataFrame([("a", "stored"), ("b", "rejected")], "id string, outcome string")
     for batch in (0, 1, 1):
-        append_vectors(rows, str(tmp_path), batch)
-    assert read_vectors(spark, str(tmp_path)).count() == 2
+        append_rows(rows, str(tmp_path), batch)
+    assert [r.id for r in read_vectors(spark, str(tmp_path)).collect()] == ["a", "a"]
+    assert read_errors(spark, str(tmp_path)).count() == 2
 
 
 def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
@@ -109,7 +110,7 @@ def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
 
     def run():
         source = stream_messages(spark, str(inbox), files_at_once=1).withColumn("msg_id", F.lit(0).cast("long"))
-        si.stream_ingest(source, files(spark), f"{out}/t", f"{out}/e", f"{out}/ev", f"{out}/c",
+        si.stream_ingest(source, files(spark), f"{out}/t", f"{out}/ev", f"{out}/c",
                          max_words=12, min_words=6, query_text="five words", answer=f"{out}/answer")
         return read_vectors(spark, f"{out}/t")
 
@@ -120,7 +121,7 @@ def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
     send("3.json", ALL[2])
     assert run().count() == 9
     assert {tuple(r) for r in spark.read.parquet(f"{out}/answer").collect()} == answer
-    assert [r.error for r in spark.read.parquet(f"{out}/e").collect()] == ["content not found"]
+    assert [r.error for r in read_errors(spark, f"{out}/t").collect()] == ["content not found"]
     assert spark.read.parquet(f"{out}/ev").count() == 3
     assert run().count() == 9
 

@@ -26,7 +26,7 @@ def stream_ingest_chunks(spark, folder):
     messages = over(spark, "messages", over(spark, "src_docs", documents))
     out = new_folder(spark, "stream-ingest")
     si.stream_ingest(
-        messages, view(spark, folder, "src_docs"), f"{out}/table", f"{out}/errors", f"{out}/events",
+        messages, view(spark, folder, "src_docs"), f"{out}/table", f"{out}/events",
         f"{out}/checkpoint", max_words=300, min_words=100, ingest_ms=F.lit(INGEST_MS))
     return chunk_columns(read_vectors(spark, f"{out}/table"))
 

@@ -1,10 +1,10 @@
 """The two ingest jobs: work messages to chunk vectors, and a folder to file vectors."""
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill import schemas
+from textmill.schemas import EMPTY, MISSING, REJECTED, STORED
 from textmill.functions.metadata import build_metadata, no_metadata
 from textmill.functions.refnums import parse_refnums, refnum_error, resolve_refnums
 from textmill.functions.text import not_blank
@@ -15,10 +15,8 @@ from textmill.operators.search import top_k
 from textmill.session import spread
 from textmill.sources.files import scan_text_dir
 from textmill.sources.messages import work_documents
-from textmill.sources.vector_table import append_vectors, list_stored, read_vectors, row_id
+from textmill.sources.vector_table import append_rows, list_stored, read_vectors, row_id
 
-# What became of a row.
-STORED, REJECTED, MISSING, EMPTY = "stored", "rejected", "missing", "empty"
 NOT_FOUND = "content not found"
 
 
@@ -100,14 +98,8 @@ def _now_ms(ingest_ms):
     return F.unix_millis(F.current_timestamp()) if ingest_ms is None else ingest_ms
 
 
-TABLE_COLUMNS = (
-    "id", "url", "chunk_no", "n_words", "content", "metadata",
-    "document_type", "refnum1", "refnum2", "embedding",
-)
-
-
 def stored(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("outcome") == STORED).select(*TABLE_COLUMNS)
+    return rows.filter(F.col("outcome") == STORED)
 
 
 def rejected(rows: DataFrame) -> DataFrame:
@@ -155,8 +147,7 @@ def file_complete_events(rows: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, folder: str, table: str, query_text: str | None = None,
                k: int = schemas.TOP_K, **options):
     """The folder job: ingest, append, list, and answer one query if there is one."""
-    rows = ingest_files(scan_text_dir(spark, folder), **options)
-    append_vectors(stored(rows), table)
+    append_rows(ingest_files(scan_text_dir(spark, folder), **options), table)
     vectors = read_vectors(spark, table)
     hits = None
     if query_text and query_text.strip():
@@ -164,18 +155,10 @@ def run_folder(spark: SparkSession, folder: str, table: str, query_text: str | N
     return list_stored(vectors), hits
 
 
-def run_messages(messages: DataFrame, files: DataFrame, table: str, errors: str,
-                 batch_id: int = 0, **options) -> None:
-    """The message job: one pass over the texts, two outputs.
-
-    Both folders are replaced per batch, so the job may be run again after a failure.
-    """
-    rows = ingest(messages, files, **options).persist(StorageLevel.DISK_ONLY)
-    try:
-        append_vectors(stored(rows), table, batch_id)
-        rejected(rows).write.mode("overwrite").parquet(f"{errors}/batch_id={batch_id}")
-    finally:
-        rows.unpersist()
+def run_messages(messages: DataFrame, files: DataFrame, table: str, batch_id: int = 0, **options) -> None:
+    """The message job. Vectors, errors, progress and events are read from the table after it;
+    the job may be run again after a failure."""
+    append_rows(ingest(messages, files, **options), table, batch_id)
 
 
 def not_blank_rows(rows: DataFrame, text: str = "content") -> DataFrame:

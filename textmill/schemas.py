@@ -71,3 +71,24 @@ METRICS_REQUIRED = (
     "meta.service",
     "meta.processingStage",
 )
+
+# A row of the vector table. Rows that were not stored are kept beside the stored
+# ones, under their own outcome; outcome and batch are folders of the table.
+VECTOR_ROW = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("url", T.StringType()),
+        T.StructField("chunk_no", T.IntegerType()),
+        T.StructField("n_words", T.IntegerType()),
+        T.StructField("content", T.StringType()),
+        T.StructField("metadata", T.StringType()),
+        T.StructField("document_type", T.StringType()),
+        T.StructField("refnum1", T.IntegerType()),
+        T.StructField("refnum2", T.IntegerType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("error", T.StringType()),
+        T.StructField("dropped_words", T.IntegerType()),
+        T.StructField("outcome", T.StringType()),
+    ]
+)
+STORED, REJECTED, MISSING, EMPTY = "stored", "rejected", "missing", "empty"

@@ -6,12 +6,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # What a cluster job should run with. AQE splits skewed join partitions and
-# shrinks small shuffles; UTC keeps event times equal on every machine.
+# shrinks small shuffles; UTC keeps event times equal on every machine; a task
+# writes its few outcomes side by side instead of sorting wide rows by outcome.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
