@@ -1,6 +1,8 @@
 """Ingest jobs on files, in batch and as streams."""
 
 import json
+import glob
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +156,25 @@ def test_liveness_over_two_runs(spark, tmp_path):
     assert rows["i1"] == (100_000_000, 100_000_000, "alive", False)
 
 
+def test_an_instance_that_falls_silent_is_reported(spark, tmp_path):
+    source, out, check = (str(tmp_path / n) for n in ("src", "out", "c"))
+    events_file(spark, source, (int(time.time()), "INIT"))
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    running = sm.watch_liveness(stream, out, check, every="1 second", alive=8, degraded=12, stale=5)
+    try:
+        seen, end = None, time.time() + 60
+        while seen != "offline" and time.time() < end:
+            time.sleep(1)
+            if running.exception() is not None:
+                raise running.exception()
+            if glob.glob(f"{out}/*/_SUCCESS"):
+                seen = newest_versions(spark, out, ["service", "instance_id"]).first()
+                seen = seen.liveness if seen else None
+    finally:
+        running.stop()
+    assert seen == "offline"
+
+
 def test_dedup_over_two_runs(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("src", "out", "c"))
 

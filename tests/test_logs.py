@@ -123,3 +123,27 @@ def test_union_fills_missing_fields(spark):
     a = spark.createDataFrame([(1, "x")], "id int, filename string")
     b = spark.createDataFrame([(2,)], "id int")
     assert {tuple(r) for r in ml.union_metrics(a, b).collect()} == {(1, "x"), (2, None)}
+
+
+def test_registry_and_liveness(spark):
+    rows = spark.createDataFrame(
+        [(1, 100, "s", "a", "INIT", None, None, "h"), (2, 170, "s", "a", "ERROR", None, "p.org", "h"),
+         (3, 50, "s", "b", "ERROR", "http://own", None, None)],
+        "event_id int, sec int, service string, instance_id string, event string, url string, "
+        "public_hostname string, hostname string").withColumn("ts", F.timestamp_seconds("sec"))
+    registry = ct.instance_registry(rows)
+    found = {r.instance_id: r for r in ct.liveness(registry, F.timestamp_seconds(F.lit(180))).collect()}
+    assert (found["a"].event, found["a"].liveness, found["a"].heartbeat_stale) == ("ERROR", "alive", True)
+    assert (found["b"].liveness, found["b"].heartbeat_stale, found["b"].last_heartbeat) == ("offline", True, None)
+    urls = [r.url for r in ct.with_address(rows).orderBy("event_id").collect()]
+    assert urls == ["http://h:8080", "http://p.org:8080", "http://own"]
+
+
+def test_heartbeat_gaps(spark):
+    rows = spark.createDataFrame(
+        [(1, 100, "INIT"), (2, 105, "ERROR"), (3, 121, "HEARTBEAT"), (4, 130, "HEARTBEAT")],
+        "event_id int, sec int, event string").select(
+        "event_id", F.timestamp_seconds("sec").alias("ts"), F.lit("s").alias("service"),
+        F.lit("i").alias("instance_id"), "event")
+    found = [(r.event_id, r.gap_seconds, r.stale) for r in ct.heartbeat_gaps(rows).orderBy("event_id").collect()]
+    assert found == [(1, None, None), (3, 21.0, True), (4, 9.0, False)]

@@ -159,8 +159,8 @@ def top_k(
 
     A reference number that is given restricts the rows before they are ranked.
     """
-    spark = vectors.sparkSession
-    asked = spark.createDataFrame([(0, text)], "query_id int, content string")
+    one = vectors.sparkSession.range(0, 1, 1, 1)
+    asked = one.select(F.col("id").alias("query_id"), F.lit(text).cast("string").alias("content"))
     queries = embed(asked.filter(not_blank(F.col("content"))), provider, dim)
     rows = vectors.filter(refnum_filter(refnum1, refnum2))
     return top_k_batch(rows, queries, k, dim, vector_id).drop("query_id")

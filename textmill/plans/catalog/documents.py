@@ -6,6 +6,7 @@ from textmill.functions import metadata as md
 from textmill.functions import refnums as rn
 from textmill.functions import urls
 from textmill.functions.text import meaningful_words, preview
+from textmill.operators import with_once
 from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks, split_paragraphs
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import CHUNKS, MAX_WORDS, MIN_WORDS, NORMAL_URL, REFNUMS, TYPE, WORDS
@@ -160,9 +161,8 @@ def resolve_refnums(spark, folder):
     from typed""")
 def build_metadata(spark, folder):
     docs = classified(view(spark, folder, "src_docs"))
-    made = docs.select("doc_id", md.build_metadata(
-        F.col("document_type"), F.col("refnum1"), F.col("refnum2"), F.col("url"), F.lit(INGEST_MS)
-    ).alias("metadata"))
+    made = with_once(docs, "metadata", md.build_metadata(
+        F.col("document_type"), F.col("refnum1"), F.col("refnum2"), F.col("url"), F.lit(INGEST_MS)))
     keys = ("timestamp", "refnum1", "refnum2", "doctype", "documentType", "sourcePath")
     return made.select(
         "doc_id", *[md.metadata_value(F.col("metadata"), key).alias(key) for key in keys],

@@ -113,15 +113,17 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A view, or a table of that name, as a DataFrame."""
     if name not in VIEWS:
         return table(spark, folder, name)
-    source, sql = VIEWS[name]
-    return over(spark, name, view(spark, folder, source))
+    return over(spark, name, view(spark, folder, VIEWS[name][0]))
 
 
 def over(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
     """A view over another source, such as a stream of the same table."""
     below, sql = VIEWS[name]
     source.createOrReplaceTempView(f"_{below}")
-    return spark.sql(sql.replace(f"from {below}", f"from _{below}"))
+    try:
+        return spark.sql(sql.replace(f"from {below}", f"from _{below}"))
+    finally:
+        spark.catalog.dropTempView(f"_{below}")
 
 
 def with_views(sql: str, *names: str) -> str:

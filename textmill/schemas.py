@@ -17,13 +17,8 @@ ALIVE_SECONDS = 30
 DEGRADED_SECONDS = 120
 HEARTBEAT_STALE_SECONDS = 20
 SNAPSHOT_INTERVAL = "10 seconds"
-FILES_AT_ONCE = 2
 DEFAULT_PORT = 8080
 
-MESSAGE = T.StructType(
-    [T.StructField("msg_id", T.LongType()), T.StructField("body", T.StringType())]
-)
-
 METRICS_META = T.StructType(
     [
         T.StructField("service", T.StringType()),

@@ -58,14 +58,16 @@ def write_index(rows: DataFrame, path: str, vector_id: str = "id") -> None:
 
 
 def list_stored(rows: DataFrame, limit: int = schemas.LIST_LIMIT) -> DataFrame:
-    """The first rows by id with their metadata values and a preview."""
-    metadata = F.col("metadata")
-    return rows.select("id", "content", "metadata").orderBy("id").limit(limit).select(
+    """The first rows by id with their metadata values and a preview.
+
+    Texts are shortened before they are sorted, metadata is read of the rows listed only.
+    """
+    short = rows.select("id", "metadata", preview(F.col("content")).alias("preview"))
+    listed = short.orderBy("id").limit(limit)
+    return listed.select(
         "id",
-        metadata_value(metadata, "refnum1").alias("refnum1"),
-        metadata_value(metadata, "refnum2").alias("refnum2"),
-        metadata_value(metadata, "timestamp").alias("timestamp"),
-        preview(F.col("content")).alias("preview"),
+        *[metadata_value(F.col("metadata"), key).alias(key) for key in ("refnum1", "refnum2", "timestamp")],
+        "preview",
     )
 
 
