@@ -13,6 +13,10 @@ from textmill.functions.urls import POLICY, REFERENCE
 _NUMBER = r"[\x00-\x20]*\+?0*([1-9][0-9]{5})[\x00-\x20]*"
 NAME_WITH_REFNUMS = rf"(?si)\A{_NUMBER}-{_NUMBER}-*(?:\.[^.]*)?\.txt\z"
 
+# Why a number is refused, after its name.
+IS_NULL = "cannot be null"
+NOT_SIX_DIGITS = "must be a 6-digit integer (100000-999999), got: "
+
 
 def parse_refnums(name: Column) -> Column:
     """`struct<refnum1, refnum2>`, or null for any other name."""
@@ -40,16 +44,8 @@ def refnum_error(doc_type: Column, refnum1: Column, refnum2: Column) -> Column:
     """Why a policy row has to be refused; null when it may be stored."""
 
     def reason(number, name):
-        return F.when(number.isNull(), f"{name} cannot be null").when(
-            ~valid_refnum(number),
-            F.concat(
-                F.lit(
-                    f"{name} must be a 6-digit integer "
-                    f"({schemas.REFNUM_MIN}-{schemas.REFNUM_MAX}), got: "
-                ),
-                number.cast("string"),
-            ),
-        )
+        out_of_range = F.concat(F.lit(f"{name} {NOT_SIX_DIGITS}"), number.cast("string"))
+        return F.when(number.isNull(), f"{name} {IS_NULL}").when(~valid_refnum(number), out_of_range)
 
     problem = F.coalesce(reason(refnum1, "refnum1"), reason(refnum2, "refnum2"))
     return F.when(doc_type == POLICY, problem)
