@@ -62,6 +62,8 @@ def liveness_changes(
     def report(key, times: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         activity, heartbeat = state.get if state.exists else (-1, -1)
         for batch in times:
+            if batch.empty:  # a timeout brings no rows
+                continue
             activity = max(activity, int(batch["activity"].max()))
             heartbeat = max(heartbeat, int(batch["heartbeat"].max()))
         state.update((activity, heartbeat))
