@@ -18,9 +18,10 @@ import hashlib
 import struct
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # Fixed values of the sentencepiece model format: field numbers and enum values.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -144,7 +145,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """`docs` with a column `ids` of token ids."""
+    """`docs` with `ids` (array of int) and `decoded_sha256`, the hash of what they decode to."""
     tokens = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((model_bytes(tokens), tokens))
     place = docs.columns.index("text")
@@ -152,7 +153,11 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = Codec(*shared.value, pattern)
         for batch in batches:
-            ids = pa.array((codec.encode(text.as_py() or "") for text in batch.column(place)), pa.list_(pa.int32()))
-            yield batch.append_column("ids", ids)
-
-    return docs.mapInArrow(run, StructType([*docs.schema, StructField("ids", ArrayType(IntegerType()))]))
+            ids, hashes = [], []
+            for text in batch.column(place):
+                ids.append(np.array(codec.encode(text.as_py() or ""), np.int32))
+                hashes.append(hashlib.sha256(codec.decode(ids[-1].tolist())).hexdigest())
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("decoded_sha256", pa.array(hashes, pa.string()))
+
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("decoded_sha256", StringType())]
+    return docs.mapInArrow(run, StructType([*docs.schema, *more]))

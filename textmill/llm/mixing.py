@@ -10,7 +10,7 @@ first, then documents up to the budget, the one on the cut in part.
 Edge cases: null and empty texts have size 0 and nothing is taken from them. A
 source without words has target 0. Rows repeated in full are each counted; where
 rows agree in id and size, it does not matter which of them comes first. A null
-doc_id is ordered by its text. Extra columns are kept by `expand`.
+doc_id is ordered by its text. Extra columns are kept by `shown`.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -24,10 +24,12 @@ MOST = 3
 
 def sized(docs: DataFrame) -> DataFrame:
     """Narrow rows of what mixing needs: doc_id, source, size and the random place `spot`."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _spot().alias("spot"))
+
+
+def _spot():
     seed = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit("mix:"), seed)).alias("spot"),
-    )
+    return F.md5(F.concat(F.lit("mix:"), seed))
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
@@ -75,6 +77,17 @@ def mix(rows: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
     )
 
 
-def copies(mixed: DataFrame) -> DataFrame:
-    """Add `copies`: how often the mix shows a document, the last time perhaps in part."""
-    return mixed.withColumn("copies", F.col("epochs") + (F.col("part") > 0).cast("long"))
+def shown(docs: DataFrame, weights=WEIGHTS, most=MOST) -> DataFrame:
+    """The rows of `docs`, each as often as the mix shows it; the columns stay.
+
+    A document that the last pass takes in part is shown whole. Texts move once,
+    to the block of their source in which they are ordered.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = packed.select("row", "row.doc_id", "row.source", "row.text").select(
+        "row", "doc_id", "source", word_count(F.col("text")).alias("size"), _spot().alias("spot"),
+    )
+    copies = F.col("epochs") + (F.col("part") > 0).cast("long")
+    mixed = mix(rows, weights, most).select("row", copies.alias("copies")).filter("copies > 0")
+    repeated = F.explode(F.array_repeat("row", F.col("copies").cast("int")))
+    return mixed.select(repeated.alias("row")).select("row.*")

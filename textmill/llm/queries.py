@@ -3,8 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ..session import use_utc  # noqa: F401
-from . import bpe, mixing, quality, sharding
+from . import bpe, mixing, nearest, quality, repeats, secrets, sharding, simhash, templates, toxicity
 from .common import stored
 
 
@@ -35,6 +34,21 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark, sf_dir):
+    prints = stored(simhash.fingerprints(_table(spark, sf_dir, "documents")), "op4-prints")
+    return simhash.classes(prints).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id",
+    )
+
+
+def op5_exact_top_k(spark, sf_dir):
+    return nearest.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_repeated_strings(spark, sf_dir):
+    return repeats.repeats(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op7_sharding(spark, sf_dir):
     rows = stored(sharding.described(_table(spark, sf_dir, "documents")), "op7-sizes")
     placed = sharding.shard(rows)
@@ -44,5 +58,21 @@ def op7_sharding(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_byte_bpe, op7_sharding)}
+def op8_main_text(spark, sf_dir):
+    return templates.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark, sf_dir):
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_mix_sources, op3_byte_bpe, op4_simhash, op5_exact_top_k, op6_repeated_strings,
+    op7_sharding, op8_main_text, op9_secret_scan, op10_toxicity,
+)}
 ORACLES = {}
