@@ -41,7 +41,6 @@ SHARES = (0.32, 0.8, 1.0)
 SHARD = 1 << 18
 # Bytes of a mark's segments beyond which the mark is split.
 CROWDED = 1 << 16
-AT_ONCE = 1 << 19
 
 _RANDOM = np.random.default_rng(7).integers(1 << 63, size=256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -55,16 +54,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Marker:
-    """Marks of all windows of a text; keeps powers between texts."""
+    """Segments of a text by the marks of its windows; keeps powers between texts."""
 
     def __init__(self, least: int, share: float):
         self.least, self.k = least, max(1, round(least * share))
         self.up, self.down = _powers(1)
 
-    def marks(self, data: np.ndarray) -> np.ndarray:
-        """The mark of each window by its start, as signed longs."""
+    def segments(self, data: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(mark, first window, last window, whether the string behind the mark is there twice: 2, or once: 1).
+
+        A segment may hold repeats of its own windows only if that string is in it twice.
+        """
         if len(data) < self.least:
-            return np.empty(0, np.int64)
+            return []
         if len(self.up) < len(data):
             self.up, self.down = _powers(len(data) * 5 // 4)
         k = self.k
@@ -75,18 +77,25 @@ class Marker:
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         wide, size, count = self.least - k + 1, 1, len(data) - self.least + 1
+        least = h
         while 2 * size <= wide:
-            h = np.minimum(h[:-size], h[size:])
+            least = np.minimum(least[:-size], least[size:])
             size *= 2
-        return np.minimum(h[:count], h[wide - size:wide - size + count]).view(np.int64)
-
-
-def segments(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of every run of equal marks."""
-    if not len(marks):
+        marks = np.minimum(least[:count], least[wide - size:wide - size + count])
+        first, last = runs(marks)
+        h, signed = h.view(np.int64), marks[first].view(np.int64).tolist()
+        return [
+            (m, a, b, min(2, int(np.count_nonzero(h[a:b + wide] == m))))
+            for m, a, b in zip(signed, first.tolist(), last.tolist())
+        ]
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of equal values."""
+    if not len(values):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1])
-    return first, np.concatenate([first[1:], [len(marks)]]) - 1
+    first = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+    return first, np.concatenate([first[1:], [len(values)]]) - 1
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -206,19 +215,18 @@ def scanned(docs: DataFrame, least=LEAST, share=SHARES[0]) -> DataFrame:
             out = []
             for doc_id, key, text in zip(*(batch.column(c) for c in ("doc_id", "key", "text"))):
                 data = (text.as_py() or "").encode()
-                marks = marker.marks(np.frombuffer(data, np.uint8))
-                first, last = segments(marks)
+                found = marker.segments(np.frombuffer(data, np.uint8))
                 out.append((
                     doc_id.as_py(), key.as_py(), hashlib.sha256(data).hexdigest(), len(data),
-                    [{"mark": m, "first": a, "last": b} for m, a, b in zip(marks[first].tolist(), first.tolist(), last.tolist())],
+                    [{"mark": m, "first": a, "last": b, "times": t} for m, a, b, t in found],
                 ))
             yield _arrays(out, ["doc_id", "key", "sha256", "n_bytes", "segments"], [
                 pa.int64(), pa.int64(), pa.string(), pa.int64(),
-                pa.list_(pa.struct([("mark", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])),
+                pa.list_(pa.struct([("mark", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("times", pa.int32())])),
             ])
 
     return _texts(docs).mapInArrow(
-        run, "doc_id long, key long, sha256 string, n_bytes long, segments array<struct<mark: long, first: int, last: int>>",
+        run, "doc_id long, key long, sha256 string, n_bytes long, segments array<struct<mark: long, first: int, last: int, times: int>>",
     )
 
 
@@ -228,8 +236,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _again(marks: DataFrame) -> DataFrame:
-    """Marks that occur more than once; `n` is how often each row occurs."""
-    return marks.groupBy("mark").agg(F.sum("n").alias("n")).filter("n > 1").select("mark")
+    """Marks that occur more than once; a row occurs `n` times, its mark `times` in each."""
+    return marks.groupBy("mark").agg(F.sum(F.col("n") * F.col("times")).alias("n")).filter("n > 1").select("mark")
 
 
 def _union(spans) -> list[tuple[int, int]]:
@@ -245,19 +253,16 @@ def _union(spans) -> list[tuple[int, int]]:
 
 def candidates(docs: DataFrame, scan: DataFrame) -> DataFrame:
     """Distinct texts with windows whose mark occurs again: sha256, text, copies and those windows."""
-    marks = scan.select("key", F.explode("segments").alias("s")).select("key", "s.mark", "s.first", "s.last")
-    again = _again(marks.select("mark", F.lit(1).alias("n")))
+    marks = scan.select("key", F.explode("segments").alias("s")).select("key", "s.mark", "s.first", "s.last", "s.times")
+    again = _again(marks.select("mark", F.lit(1).alias("n"), "times"))
     spans = marks.join(again, "mark").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("windows"))
-    texts = _texts(docs).filter(F.octet_length("text") >= LEAST_POSSIBLE).select("key", "text").join(spans, "key")
+    texts = _texts(docs).filter("text <> ''").select("key", "text").join(spans, "key")
     return texts.groupBy(F.sha2("text", 256).alias("sha256")).agg(
         F.first("text").alias("text"), F.first("windows").alias("windows"), F.count(F.lit(1)).alias("copies"),
     )
 
 
-# Nothing shorter than one byte can hold a window.
-LEAST_POSSIBLE = 1
-
-_SEGMENT = "sha256 string, mark long, segment binary, first int, size int, n long"
+_SEGMENT = "sha256 string, mark long, segment binary, first int, size int, n long, times int"
 
 
 def _marked(texts: DataFrame, least: int, share: float) -> DataFrame:
@@ -268,15 +273,14 @@ def _marked(texts: DataFrame, least: int, share: float) -> DataFrame:
             for sha, text, windows, copies in zip(*(batch.column(c) for c in ("sha256", "text", "windows", "copies"))):
                 data, out = text.as_py().encode(), []
                 for low, high in _union((w["first"], w["last"]) for w in windows.as_py()):
-                    marks = marker.marks(np.frombuffer(data, np.uint8)[low:high + least])
-                    for a, b in zip(*segments(marks)):
+                    for mark, a, b, times in marker.segments(np.frombuffer(data, np.uint8)[low:high + least]):
                         part = data[low + a:low + b + least]
                         out.append((
-                            sha.as_py(), int(marks[a]), hashlib.blake2b(part, digest_size=16).digest(), low + int(a), len(part), copies.as_py(),
+                            sha.as_py(), mark, hashlib.blake2b(part, digest_size=16).digest(), low + a, len(part), copies.as_py(), times,
                         ))
                 yield _arrays(
-                    out, ["sha256", "mark", "segment", "first", "size", "n"],
-                    [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()],
+                    out, ["sha256", "mark", "segment", "first", "size", "n", "times"],
+                    [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32()],
                 )
 
     return texts.select("sha256", "text", "windows", "copies").mapInArrow(run, _SEGMENT)
@@ -285,7 +289,7 @@ def _marked(texts: DataFrame, least: int, share: float) -> DataFrame:
 def _distinct(marked: DataFrame) -> DataFrame:
     """One row per segment whose mark occurs again, with one of its places."""
     once = marked.groupBy("mark", "segment").agg(
-        F.sum("n").alias("n"), F.min(F.struct("sha256", "first", "size")).alias("place"),
+        F.sum("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("sha256", "first", "size")).alias("place"),
     )
     return once.join(_again(once), "mark").select("mark", "segment", "n", "place.*")
 
@@ -326,7 +330,7 @@ def _found(texts: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
             if n > 1:
                 next(starts)
             if len(hits):
-                first, last = segments(hits - np.arange(len(hits)))
+                first, last = runs(hits - np.arange(len(hits)))
                 rows.append((segment, [{"first": int(hits[a]), "last": int(hits[b])} for a, b in zip(first, last)]))
         return _arrays(rows, ["segment", "hits"], [pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))])
 

@@ -102,7 +102,7 @@ def read(page: str):
                     break
         names = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _NAMES.findall(part[3])).lower()
         yield "open", name, (*path, name), names
-        if name in VOID or part[3].endswith("/") and name not in BLOCKS:
+        if name in VOID:
             continue
         path.append(name)
         if name in RAW:

@@ -15,8 +15,8 @@ those whose crc32(doc_id as text) mod 5 is not 0. Text is the only input of a
 score.
 
 Edge cases: a null, empty or wordless text has no matches and gets the score of
-such texts. Without usable labels the lexicon is empty and every score is the
-share of toxic rows learned from, or 0. A doc_id with several labels is toxic if one of them says
+such texts. Without toxic labels to learn from the lexicon is empty and every
+score is 0. A doc_id with several labels is toxic if one of them says
 so; labels other than 0 and 1 are ignored. A null doc_id is never held out and
 never learned from. Repeated rows get equal rows; extra columns are ignored.
 """
@@ -38,8 +38,9 @@ LOOKALIKES = dict(zip(
     "аеорсухіјѕһԁԛԝкмтвнзгαονρτυικεχβηγωσłøđħıæœßþð",
     "aeopcyxijshdqwkmtbheraovptuikexbhywslodhiaesspd",
 ))
-# Digits and signs written for letters.
-SUBSTITUTES = dict(zip("0134578@$!|€", "oieastbasiie"))
+# Digits written for letters, and signs that are so where a letter follows.
+SUBSTITUTES = dict(zip("0134578", "oieastb"))
+SIGNS = dict(zip("@$!|€", "asiie"))
 
 SAMPLE = 20_000
 ENTRIES, PHRASES = 5_000, 1_000
@@ -48,6 +49,7 @@ STEMS = (4, 5, 6)
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 _FOLD = {ord(a): b for a, b in {**LOOKALIKES, **SUBSTITUTES}.items()} | {c: None for c in range(0x300, 0x370)}
+_SIGN = re.compile(r"[@$!|€](?=[^\W_])")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,6 +58,7 @@ def fold(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
+    text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
     return _LETTERS.findall(text.translate(_FOLD))
 
 
@@ -67,7 +70,7 @@ def entries(words: set[str]) -> set[str]:
 class Lexicon:
     """Weights by entry, exception phrases, and the curve from weight to score."""
 
-    def __init__(self, weights: dict[str, float], exceptions=(), curve=(-1e9, 0.0, 0.0)):
+    def __init__(self, weights: dict[str, float], exceptions=(), curve: tuple[float, float, float] | None = None):
         self.weights, self.exceptions, self.curve = weights, tuple(exceptions), curve
         self._automaton = None
 
@@ -102,6 +105,9 @@ class Lexicon:
         return math.log1p(total), math.log1p(1000 * total / max(1, len(words)))
 
     def score(self, text: str) -> float:
+        """0 if nothing was learned."""
+        if self.curve is None:
+            return 0.0
         a, b = self.features(fold(text))
         z = self.curve[0] + self.curve[1] * a + self.curve[2] * b
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
