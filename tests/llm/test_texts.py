@@ -282,7 +282,7 @@ def test_toxicity(spark):
 
 
 def test_folding():
-    lexicon = toxicity.Lexicon({" idiot ": 3.0, " lowei": 2.0}, ["no idiot"], (-2.0, 1.0, 0.0))
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " lowei": 2.0}, ["no idiot"], (-1.0, 1.0, 0.0))
     words = toxicity.fold("1D10T! іdіоt, ｉdíot and löweiß; no idiot$")
     assert [w for _, w in lexicon.matches(words)] == [3.0, 3.0, 3.0, 2.0]
     assert lexicon.score("") < 0.5 < lexicon.score("idiot")
