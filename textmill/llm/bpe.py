@@ -92,10 +92,11 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         matches = self._find(text)
-        new = list(set(matches) - self._ids.keys())
+        distinct = set(matches)
+        new = [m for m in distinct if m not in self._ids]
         if new:
             if len(self._ids) + len(new) > REMEMBERED:
-                self._ids, new = {}, list(set(matches))
+                self._ids, new = {}, list(distinct)
             mapped = [m.encode().decode("latin-1").translate(self._characters) for m in new]
             self._ids.update(zip(new, self._model.encode(mapped, num_threads=1)))
         return list(chain.from_iterable(map(self._ids.__getitem__, matches)))
