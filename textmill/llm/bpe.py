@@ -29,7 +29,7 @@ NORMAL, UNKNOWN = 1, 2
 BPE = 2
 
 # Matches that a worker keeps encoded; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
