@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.plans import ingest as jobs
 from textmill.sources.files import scan_text_dir, stream_text_dir
-from textmill.sources.messages import load_content, missing_content, stream_messages, with_url
+from textmill.sources.messages import load_content, missing_content, one_per_url, stream_messages, with_url
 from textmill.sources.vector_table import append_rows, read_errors, read_vectors
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
@@ -96,10 +96,40 @@ def test_without_metadata(spark):
 
 def test_a_batch_written_again_replaces_itself(spark, tmp_path):
     rows = spark.createDataFrame([("a", "stored"), ("b", "rejected")], "id string, outcome string")
-    for batch in (0, 1, 1):
-        append_rows(rows, str(tmp_path), batch)
-    assert [r.id for r in read_vectors(spark, str(tmp_path)).collect()] == ["a", "a"]
-    assert read_errors(spark, str(tmp_path)).count() == 2
+    for run, batch in (("x", 0), ("x", 1), ("x", 1), ("y", 0)):
+        append_rows(rows, str(tmp_path), run, batch)
+    assert [r.id for r in read_vectors(spark, str(tmp_path)).collect()] == ["a"] * 3
+    assert read_errors(spark, str(tmp_path)).count() == 3
+
+
+def test_runs_only_add(spark, folder, tmp_path):
+    table = str(tmp_path / "t")
+    other = tmp_path / "in2"
+    other.mkdir()
+    (other / "more.txt").write_text("another file")
+    jobs.run_folder(spark, folder, table, events=str(tmp_path / "ev"))
+    jobs.run_folder(spark, str(other), table, events=str(tmp_path / "ev"))
+    assert sorted(r.content[:5] for r in read_vectors(spark, table).collect()) == ["a few", "anoth", "\ufeffpara"]
+    names = {r.filename for r in spark.read.parquet(str(tmp_path / "ev")).collect()}
+    assert names == {"100001-200001.txt", "notes.txt", "more.txt"}
+    small = {"max_words": 12, "min_words": 6}
+    run = jobs.run_messages(with_url(messages(spark, ALL[0])), files(spark), table, **small)
+    for again in (None, run):
+        jobs.run_messages(with_url(messages(spark, ALL[0])), files(spark), table, again, **small)
+    assert read_vectors(spark, table).count() == 3 + 2 * 3
+
+
+def test_files_of_one_url(spark):
+    two = files(spark).union(spark.createDataFrame([("http://n/webhdfs/v1/x.txt?op=LISTSTATUS", "other")], "url string, content string"))
+    one = one_per_url(two)
+    assert one.count() == 5 and one.filter("content = 'other'").count() == 1
+    assert load_content(with_url(messages(spark, *ALL)), one).count() == 7
+
+
+def test_url_has_to_be_a_scalar(spark):
+    bodies = ['{"url":{"a":1}}', '{"url":["/a"]}', '{"url":"/a"}', '{"url":"{x"}', '{"url":7}', '{"url":" "}', '{"url":null}']
+    rows = with_url(spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "msg_id long, body string"))
+    assert {r.msg_id: r.url for r in rows.collect()} == {2: "/a", 3: "{x", 4: "7"}
 
 
 def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
@@ -111,7 +141,7 @@ def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
         (inbox / name).write_text("\n".join(json.dumps({"url": u}) for u in urls) + "\nnot json\n")
 
     def run():
-        source = stream_messages(spark, str(inbox), files_at_once=1).withColumn("msg_id", F.lit(0).cast("long"))
+        source = stream_messages(spark, str(inbox), files_at_once=1)
         si.stream_ingest(source, files(spark), f"{out}/t", f"{out}/ev", f"{out}/c",
                          max_words=12, min_words=6, query_text="five words", answer=f"{out}/answer")
         return read_vectors(spark, f"{out}/t")
@@ -126,6 +156,15 @@ def test_stream_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert [r.error for r in read_errors(spark, f"{out}/t").collect()] == ["content not found"]
     assert spark.read.parquet(f"{out}/ev").count() == 3
     assert run().count() == 9
+    send("4.json", ALL[0], ALL[2], ALL[5])  # two of them come again
+    assert run().count() == 12
+    other = tmp_path / "inbox2"
+    other.mkdir()
+    (other / "1.json").write_text(json.dumps({"url": ALL[1]}) + "\n" + json.dumps({"url": ALL[0].replace("100001", "100009")}))
+    more = files(spark).union(spark.createDataFrame([(ALL[0].replace("100001", "100009"), LONG)], "url string, content string"))
+    si.stream_ingest(stream_messages(spark, str(other)), more, f"{out}/t", f"{out}/ev", f"{out}/c2", max_words=12, min_words=6)
+    rows = read_vectors(spark, f"{out}/t")
+    assert rows.count() == 15 and rows.select("id").distinct().count() == 15
 
 
 def test_stream_of_text_files(spark, folder, tmp_path):

@@ -12,21 +12,15 @@ from textmill.operators.ordered import BLOCK, OrderedLog
 from textmill.sources import metrics_log as ml
 
 
-@pytest.fixture
-def many_blocks(spark):
-    """Small logs end up in one block; this keeps all of them."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
-def test_scan_equals_a_plain_window(spark, many_blocks):
+@pytest.mark.parametrize("width", [1, 20, 10_000])
+def test_scan_equals_a_plain_window(spark, width):
     made = random.Random(3)
-    rows = [(made.choice(["hot"] * 5 + ["a", "b"]), made.randrange(300), i,
+    rows = [(made.choice(["hot"] * 5 + ["a", "b", None]), made.randrange(300), i,
              made.randrange(5), made.choice([None, None, f"v{i}"])) for i in range(3000)]
     log = spark.createDataFrame(rows, "k string, ts int, id int, n int, v string")
-    ordered = OrderedLog(log, ["k"], ["ts", "id"])
-    assert ordered.rows.select(BLOCK).distinct().count() > 4
+    log = log.withColumn("ts", F.when(F.col("id") % 50 != 0, F.col("ts")))
+    ordered = OrderedLog(log, ["k"], ["ts", "id"], width)
+    assert ordered.rows.select(BLOCK).distinct().count() == (301 if width == 1 else 16 if width == 20 else 2)
     found = ordered.scan(
         sums={"total": F.col("n")}, lasts={"newest": F.col("v")},
         previous={"before": F.col("v")}, nexts={"upcoming": F.col("v")}).result()
@@ -55,13 +49,18 @@ def test_control_history(spark):
         (4, False, True, "Processing toggled on via API"),
         (5, False, True, "why"),
         (6, True, False, "Processing disabled via API")]
-    final = {r.instance_id: (r.enabled, r.control_status, r.consumer_status) for r in co.final_state(log).collect()}
-    assert final == {"a": (False, "STOPPED", "IDLE"), "b": (True, "STARTED", "CONSUMING")}
+    log = log.union(spark.createDataFrame([(90, 90, "c", "stop", None), (91, 91, None, "reset", None)], log.schema))
+    final = {r.instance_id: (r.enabled, r.control_status, r.last_changed, r.last_change_reason) for r in co.final_state(log).collect()}
+    assert final == {
+        "a": (False, "STOPPED", 6, "Processing disabled via API"), "b": (True, "STARTED", 5, "why"),
+        "c": (False, "STOPPED", None, None), None: (False, "STOPPED", None, None)}
 
 
-def test_random_control_history(spark, many_blocks):
+@pytest.mark.parametrize("width", [1, 30, 3600])
+def test_random_control_history(spark, monkeypatch, width):
+    monkeypatch.setattr(OrderedLog.__init__, "__defaults__", (width,))
     made = random.Random(4)
-    rows = [(made.choice("aab"), made.choice(["start", "stop", "toggle", "toggle", "reset"]), None)
+    rows = [(made.choice(["a", "a", "b", None]), made.choice(["start", "stop", "toggle", "toggle", "reset"]), None)
             for _ in range(400)]
     state, expected = {}, []
     for inst, command, _ in rows:
@@ -147,3 +146,5 @@ def test_heartbeat_gaps(spark):
         F.lit("i").alias("instance_id"), "event")
     found = [(r.event_id, r.gap_seconds, r.stale) for r in ct.heartbeat_gaps(rows).orderBy("event_id").collect()]
     assert found == [(1, None, None), (3, 21.0, True), (4, 9.0, False)]
+    unnamed = rows.withColumns({"service": F.lit(None).cast("string"), "instance_id": F.lit(None).cast("string")})
+    assert ct.heartbeat_gaps(unnamed).count() == 3

@@ -22,6 +22,37 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def run(df):
+    """The plan as it ran."""
+    df.collect()
+    text = plan(df)
+    return text[text.index("Final Plan"):text.index("Initial Plan")] if "Initial Plan" in text else text
+
+
+def test_ordered_logs_are_shuffled_once(spark):
+    """One scan does it: the log is shuffled twice, once of it for the sums of blocks."""
+    from textmill.operators.control import control_state, gate_messages, state_intervals
+    from textmill.operators.counters import counters_since_reset
+
+    commands = view(spark, FOLDER, "control_log")
+    events = view(spark, FOLDER, "metric_events")
+    messages = events.select(F.col("event_id").alias("msg_id"), "ts", "instance_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (
+            control_state(commands), state_intervals(commands), gate_messages(messages, commands),
+            counters_since_reset(events),
+        ):
+            rows.collect()
+            text = plan(rows)
+            final = text[text.index("Final Plan"):text.index("Initial Plan")]
+            # The rows, what their block sums are made of, and the sums on their way back.
+            wide = re.findall(r"Exchange hashpartitioning\(_key[^\n]*_block", final)
+            assert len(wide) <= 3, final
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture(scope="module")
 def vectors(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("table"))
@@ -47,10 +78,19 @@ def test_reports_do_not_read_vectors_or_texts(vectors):
 
 def test_search_shuffles_only_what_it_found(spark, vectors):
     queries = embed(view(spark, FOLDER, "benchmark").select(F.col("item_id").alias("query_id"), "text"), text="text")
-    text = plan(top_k_batch(vectors, queries, 5))
-    assert text.count("Exchange") == 1 and text.index("Exchange") < text.index("MapInArrow")
+    found = top_k_batch(vectors, queries, 5)
+    text = plan(found)
+    assert text.count("Exchange hashpartitioning(query_id") == 1
     assert text.count("WindowGroupLimit") == 2
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+    # Few queries are broadcast, and each side is read once whatever the number of blocks.
+    final = run(found)
+    assert "BroadcastHashJoin" in final and final.count("FileScan") == plan(queries).count("FileScan") + 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan(top_k_batch(vectors, queries, 5))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_index_is_read_by_bucket(spark, tmp_path):
@@ -58,8 +98,10 @@ def test_index_is_read_by_bucket(spark, tmp_path):
     made = view(spark, FOLDER, "chunk_vectors").select(F.col("vec_id").alias("id"), "embedding")
     write_index(with_bucket(made), str(tmp_path))
     asked = made.filter("id = 3").withColumnRenamed("id", "query_id")
-    text = plan(approx_top_k(spark.read.parquet(str(tmp_path)), asked, 5))
-    assert re.search(r"PartitionFilters: \[[^\]]*bucket", text)
+    index = spark.read.parquet(str(tmp_path))
+    found = approx_top_k(index, asked, 5, share=0.1)
+    assert "CartesianProduct" not in plan(found)
+    assert found.count() == 5 and found.filter("id = 3 and rank = 1").count() == 1
 
 
 def test_chunks_are_cut_in_place_and_once(spark):

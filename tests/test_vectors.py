@@ -40,14 +40,15 @@ def data():
     return vectors, made.integers(-2, 3, (9, 8)) + 0.5
 
 
-@pytest.mark.parametrize("block_bytes", [se.BLOCK_BYTES, 8 * 8 * 2])
+@pytest.mark.parametrize("blocks", [(1024, 4096), (2, 37)])
 @pytest.mark.parametrize("text_ids", [False, True])
-def test_top_k_batch(spark, data, block_bytes, text_ids):
+def test_top_k_batch(spark, data, monkeypatch, blocks, text_ids):
+    monkeypatch.setattr(se, "QUERY_BLOCK", blocks[0])
+    monkeypatch.setattr(se, "VECTOR_BLOCK", blocks[1])
     vectors, queries = data
     ids = [f"v{'x' * (i % 3)}{i}" if text_ids else i for i in range(len(vectors))]
     rows = se.top_k_batch(
-        frame(spark, vectors, "id", ids).repartition(6), frame(spark, queries, "query_id"), 12, 8,
-        block_bytes=block_bytes)
+        frame(spark, vectors, "id", ids).repartition(6), frame(spark, queries, "query_id"), 12, 8)
     assert found(rows) == brute(vectors, queries, 12, ids)
 
 
@@ -82,6 +83,48 @@ def test_top_k_of_a_text(spark):
     assert se.top_k(vectors.filter("id > 5"), "red", 2).count() == 0
 
 
+def test_search_does_not_fail_silently(spark, data):
+    vectors, queries = data
+    with pytest.raises(Exception, match="vectors of 8 numbers, expected 64"):
+        se.top_k_batch(frame(spark, vectors, "id"), frame(spark, queries, "query_id"), 3).collect()
+
+    def down(texts):
+        raise ValueError("model is down")
+
+    with pytest.raises(Exception, match="model is down"):
+        se.top_k(frame(spark, vectors, "id"), "some words", 3, down, 8).collect()
+    some = frame(spark, vectors[:3], "id").union(spark.createDataFrame([(9, None)], "id long, embedding array<float>"))
+    assert se.top_k_batch(some, frame(spark, queries[:1], "query_id"), 9, 8).count() == 3
+
+
+def test_rows_of_what_was_found(spark):
+    docs = spark.createDataFrame([(1, "red green", "a"), (2, "one two", "b")], "id int, content string, metadata string")
+    vectors = em.embed(docs)
+    rows = se.with_rows(se.top_k(vectors, "one", 1), vectors, "id", "content", "metadata").collect()
+    assert [(r.id, r["rank"], r.content, r.metadata) for r in rows] == [(2, 1, "one two", "b")]
+
+
+def test_cheapest_flips():
+    margins = np.random.default_rng(3).random(6)
+    cost = lambda mask: sum(m for i, m in enumerate(margins) if mask >> i & 1)
+    for wanted in (1, 5, 64):
+        assert se._cheapest(margins, wanted).tolist() == sorted(range(64), key=cost)[:wanted]
+
+
+def test_a_failing_batch_is_halved():
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        if "bad" in texts:
+            raise ValueError("refused")
+        return [[1.0]] * len(texts)
+
+    vectors, errors = em._vectors(provider, ["good"] * 200 + ["bad"] + ["good"] * 55, 1)
+    assert len(calls) <= 17 and [i for i, e in enumerate(errors) if e] == [200]
+    assert sum(v is not None for v in vectors) == 255
+
+
 def test_hash_vectors(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, content string")
     rows = {row.id: row for row in em.embed(docs, dim=16).collect()}

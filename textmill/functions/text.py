@@ -11,8 +11,12 @@ TRIMMED = "".join(chr(code) for code in range(0x21))
 WHITESPACE = r"[ \t\n\x0B\f\r]+"
 NO_CONTENT = "[No content]"
 
-# A word counts when it holds an ASCII letter or digit and no line separator.
-MEANINGFUL = r"\A[^\u0085\u2028\u2029]*[A-Za-z0-9][^\u0085\u2028\u2029]*\z"
+# A word counts when it holds an ASCII letter or digit and no line separator. The
+# parts never give characters back, so a text is passed over once.
+_GAP, _LINE = r" \t\n\x0B\f\r", r"\u0085\u2028\u2029"
+MEANINGFUL = (
+    rf"(?<![^{_GAP}])[^{_GAP}{_LINE}A-Za-z0-9]*+[A-Za-z0-9][^{_GAP}{_LINE}]*+(?![^{_GAP}])"
+)
 
 
 def bound(value: Column, body) -> Column:
@@ -35,8 +39,7 @@ def filled(text: Column) -> Column:
 
 
 def meaningful_words(text: Column) -> Column:
-    words = F.filter(F.split(text, WHITESPACE), lambda word: word.rlike(MEANINGFUL))
-    return F.coalesce(F.array_size(words), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(MEANINGFUL)), F.lit(0))
 
 
 def preview(text: Column, n: int = schemas.PREVIEW_CHARS) -> Column:

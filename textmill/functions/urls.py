@@ -22,8 +22,13 @@ BARE_URL = r"\A\s*([A-Za-z][A-Za-z0-9+.-]*://\S+)\s*\z"
 
 
 def extract_url(body: Column) -> Column:
-    """The message's `url`, or null when it is no JSON or the field is missing or blank."""
-    return filled(F.get_json_object(body, "$.url"))
+    """The message's `url`, or null when it is no JSON or the field is missing, blank, an
+    object or an array."""
+    def scalar(value):
+        nested = F.json_object_keys(value).isNotNull() | F.json_array_length(value).isNotNull()
+        return F.when(~F.coalesce(nested & value.rlike(r"\A[{\[]"), F.lit(False)), value)
+
+    return filled(bound(F.get_json_object(body, "$.url"), scalar))
 
 
 def extract_url_compat(body: Column) -> Column:

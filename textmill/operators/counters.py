@@ -4,13 +4,15 @@ A log row has `event_id, ts, service, instance_id, event, filename, error_text`
 and the changes `total_delta, processed_delta, error_delta, files_delta`.
 """
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill import schemas
 from textmill.functions import status as st
 from textmill.functions.urls import instance_url
-from textmill.operators.ordered import OrderedLog
+from textmill.operators.ordered import BLOCK, KEY, OrderedLog
 
 INSTANCE = ["service", "instance_id"]
 ORDER = ["ts", "event_id"]
@@ -20,6 +22,7 @@ COUNTERS = {
     "error_count": "error_delta",
     "files_processed": "files_delta",
 }
+# Event names on the shared log.
 FILE_START_EVENTS = ("FILE_START", "CHUNK_COMPLETE")
 FILE_END_EVENTS = ("FILE_COMPLETE", "FILE_PROCESSED", "ERROR")
 ERROR_EVENT = "ERROR"
@@ -68,23 +71,51 @@ def current_file(log: DataFrame, keys=INSTANCE, order=ORDER) -> DataFrame:
 
 
 def counters_since_reset(log: DataFrame, keys=INSTANCE, order=ORDER) -> DataFrame:
-    """As `running_counters`, but a RESET event zeroes counters, file and error."""
+    """As `running_counters`, but a RESET event zeroes counters, file and error. One scan.
+
+    Inside a block, totals at the newest reset are taken off the running totals. A block
+    without a reset adds to what it began with, one with a reset begins anew; running
+    totals over blocks give what each begins with.
+    """
     resets = F.col("event") == RESET_EVENT
     nothing = F.lit(None).cast("string")
-    used = [*keys, *order, "event", "filename", "error_text", *COUNTERS.values()]
-    scanned = OrderedLog(log.select(*used), keys, order).scan(
-        sums=_deltas(),
-        lasts={
-            "_file": F.when(resets, F.struct(nothing.alias("file"))).otherwise(
-                _file_change(F.col("event"), F.col("filename"))),
-            "_error": F.when(resets, F.struct(nothing.alias("error"))).otherwise(
-                _error_change(F.col("error_text"))),
-        },
-    ).scan(lasts={"_base": F.when(resets, F.struct(*COUNTERS))})
-    since = {n: F.col(n) - F.coalesce(F.col(f"_base.{n}"), F.lit(0)) for n in COUNTERS}
-    return scanned.result().select(
+    changes = {
+        "_file": F.when(resets, F.struct(nothing.alias("file"))).otherwise(
+            _file_change(F.col("event"), F.col("filename"))),
+        "_error": F.when(resets, F.struct(nothing.alias("error"))).otherwise(
+            _error_change(F.col("error_text"))),
+    }
+    used = [*keys, *order, "event", *COUNTERS.values()]
+    rows = OrderedLog(log.select(*used, *[c.alias(f"{n}_change") for n, c in changes.items()]), keys, order)
+    up_to, _ = rows.inside()
+    rows = rows.with_columns({
+        **{n: F.sum(delta).over(up_to) for n, delta in COUNTERS.items()},
+        **{n: F.last(f"{n}_change", True).over(up_to) for n in changes},
+    })
+    rows = rows.with_columns({"_base": F.last(F.when(resets, F.struct(*COUNTERS)), True).over(up_to)})
+    position, end = F.struct(*order), "_end"
+    blocks = rows.blocks(_end=F.max_by(F.struct(*COUNTERS, "_base", *changes), position)).select("*", f"{end}.*")
+    earlier = rows.earlier_blocks()
+    with_this = earlier.rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumns({f"_all_{n}": F.sum(n).over(with_this) for n in COUNTERS})
+    # Totals of the whole log at the newest reset of a block.
+    at_reset = F.when(F.col("_base").isNotNull(), F.struct(
+        *[(F.col(f"_all_{n}") - F.col(n) + F.col(f"_base.{n}")).alias(n) for n in COUNTERS]))
+    blocks = blocks.withColumn("_reset_at", at_reset)
+    reset_before = F.last("_reset_at", True).over(earlier)
+    blocks = blocks.select(
+        KEY, BLOCK,
+        *[(F.col(f"_all_{n}") - F.col(n) - F.coalesce(reset_before[n], F.lit(0))).alias(f"_begin_{n}") for n in COUNTERS],
+        *[F.last(n, True).over(earlier).alias(f"_begin{n}") for n in changes])
+    scanned = rows.carry(blocks).result()
+    since = {
+        n: F.col(n) - F.when(F.col("_base").isNotNull(), F.col(f"_base.{n}")).otherwise(-F.col(f"_begin_{n}"))
+        for n in COUNTERS
+    }
+    return scanned.select(
         *keys, *order, "event", *[c.alias(n) for n, c in since.items()],
-        F.col("_file.file").alias("current_file"), F.col("_error.error").alias("last_error"),
+        F.coalesce("_file", "_begin_file")["file"].alias("current_file"),
+        F.coalesce("_error", "_begin_error")["error"].alias("last_error"),
     )
 
 
@@ -111,14 +142,44 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.floor(micros / 1000000).cast("bigint")
 
 
+def files_seen(log: DataFrame, keys=INSTANCE) -> DataFrame:
+    """Files that the events of an instance name. Names are made distinct before they are counted."""
+    names = log.filter("filename is not null").select(*keys, "filename").distinct()
+    return names.groupBy(*keys).agg(F.count("*").alias("files_total"))
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(named, same, "left").drop(*[f"_right_{k}" for k in keys])
+
+
 def status_report(totals: DataFrame, now: Column) -> DataFrame:
-    """Files, chunks and system parts of the report of every instance at `now`."""
+    """The report of every instance at `now`: processing, files, chunks, system, time.
+
+    `totals` as from `instance_totals`. Switch and file count are taken from columns of
+    `control.final_state` and `files_seen` where these were joined; else an instance is
+    off, and its count null.
+    """
     total, processed, errors = (F.col(c) for c in ("total_chunks", "processed_chunks", "error_count"))
     uptime = seconds_between(F.col("boot_ts"), now)
+
+    def joined(name, kind, default=None):
+        value = F.col(name) if name in totals.columns else F.lit(None)
+        return F.coalesce(value.cast(kind), F.lit(default).cast(kind))
+
     return totals.select(
-        *INSTANCE,
+        *INSTANCE, now.alias("timestamp"),
+        F.struct(
+            joined("enabled", "boolean", False).alias("enabled"),
+            joined("control_status", "string", "STOPPED").alias("status"),
+            joined("consumer_status", "string", "IDLE").alias("consumerStatus"),
+            joined("last_changed", "timestamp").alias("lastChanged"),
+            joined("last_change_reason", "string").alias("lastChangeReason"),
+        ).alias("processing"),
         F.struct(
-            F.col("files_processed").alias("processed"),
+            F.col("files_processed").alias("processed"), joined("files_total", "bigint").alias("total"),
             F.coalesce("current_file", F.lit("none")).alias("current"),
         ).alias("files"),
         F.struct(
@@ -134,6 +195,52 @@ def status_report(totals: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def snapshot_events(log: DataFrame, input_mode: str | None = None, version: str | None = None,
+                    port: int = schemas.DEFAULT_PORT) -> DataFrame:
+    """Every log row as an event of the shared log, with the counters, file, error and files
+    seen after it. Times run from the first row of an instance.
+
+    Memory is not in the log and stays null. `hostname`, `public_hostname` and `url` are used
+    where the log has them; an instance without a name for its host is its own host.
+    """
+    have = {c: F.col(c) if c in log.columns else F.lit(None).cast("string") for c in ("hostname", "public_hostname", "url")}
+    names = [F.when(F.col("filename").isNotNull(), F.struct(*ORDER)).alias("_named")]
+    firsts = log.select(*INSTANCE, "filename", *names).groupBy(*INSTANCE, "filename").agg(F.min("_named").alias("_first"))
+    marked = beside(log, firsts.filter("filename is not null"), [*INSTANCE, "filename"])
+    new_file = F.coalesce((F.struct(*ORDER) == F.col("_first")).cast("long"), F.lit(0).cast("long"))
+    used = marked.select(
+        *INSTANCE, *ORDER, "event", "filename", "error_text", *COUNTERS.values(), new_file.alias("_new_file"),
+        *[c.alias(f"_{n}") for n, c in have.items()])
+    rows = OrderedLog(used, INSTANCE, ORDER).scan(
+        sums={**_deltas(), "files_total": F.col("_new_file")},
+        lasts={"last_error": F.col("error_text"), "_file": _file_change(F.col("event"), F.col("filename"))},
+    ).result()
+    boots = log.groupBy(*INSTANCE).agg(F.min("ts").alias("boot_ts"))
+    rows = beside(rows, boots, INSTANCE)
+    total, processed, errors = (F.col(c) for c in ("total_chunks", "processed_chunks", "error_count"))
+    uptime, file = seconds_between(F.col("boot_ts"), F.col("ts")), F.col("_file.file")
+    event = F.col("event")
+    host = F.coalesce("_hostname", "instance_id")
+    return rows.select(
+        "event_id", F.col("instance_id").alias("instanceId"), st.iso_time(F.col("ts")).alias("timestamp"),
+        total.alias("totalChunks"), processed.alias("processedChunks"), errors.alias("errorCount"),
+        st.processing_rate(processed, uptime).alias("processingRate"), st.format_uptime(uptime).alias("uptime"),
+        st.event_override(st.status_override(event), st.status(total, processed, errors)).alias("status"),
+        file.alias("currentFile"), F.col("files_processed").alias("filesProcessed"), F.col("files_total").alias("filesTotal"),
+        F.col("last_error").alias("lastError"), F.lit(None).cast("bigint").alias("memoryUsedMB"),
+        st.pending(total, processed).alias("pendingMessages"),
+        F.struct(
+            F.col("service"),
+            st.event_override(st.stage_override(event), st.processing_stage(event, file)).alias("processingStage"),
+            F.lit("running").alias("bindingState"), F.lit(None).cast("boolean").alias("hdfsProcessedDirExists"),
+            F.lit(input_mode).cast("string").alias("inputMode"),
+        ).alias("meta"),
+        host.alias("hostname"), F.col("_public_hostname").alias("publicHostname"), "event", "filename",
+        instance_url(F.col("_url"), F.col("_public_hostname"), host, F.lit(port)).alias("url"),
+        F.unix_millis(F.col("boot_ts").cast("timestamp")).alias("bootEpoch"), F.lit(version).cast("string").alias("version"),
+    )
+
+
 def files_processed(log: DataFrame) -> DataFrame:
     """Files done and files seen, over the whole log.
 

@@ -5,11 +5,11 @@ hashes words into buckets; it needs no model and gives the same vector anywhere.
 """
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 HASH_DIM = 64
 CACHED_WORDS = 1 << 18
-_WORD = re.compile("[^ \t\n\x0b\f\r]+")
+_GAP = "[ \t\n\x0b\f\r]+"
 
 
 class _Buckets(dict):
@@ -48,11 +48,14 @@ class HashProvider:
         return HashProvider, (self.dim,)
 
     def __call__(self, texts):
-        vectors = np.zeros((len(texts), self.dim))
-        for row, text in zip(vectors, texts):
-            words = _WORD.findall(text)
-            if words:
-                row += np.bincount([self.buckets[w] for w in words], minlength=self.dim)
+        # Words are told apart by Arrow; only the distinct ones of a batch are hashed.
+        words = pc.split_pattern_regex(pa.array(texts, pa.large_string()), _GAP)
+        coded = words.flatten().dictionary_encode()
+        buckets = np.array([self.buckets[w] if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        at = buckets[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        row = pc.list_parent_indices(words).to_numpy()
+        cells = (row * self.dim + at)[at >= 0]
+        vectors = np.bincount(cells, minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(float)
         length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return (vectors / np.where(length == 0, 1, length)).astype(np.float32)
 
@@ -63,8 +66,8 @@ def choose_provider(mode: str, local: Provider, remote: Provider) -> Provider:
 
 
 def _vectors(provider: Provider, texts: list, dim: int):
-    """Vectors and errors of one batch. A failing batch is tried again row by row.
-    A null text gets neither."""
+    """Vectors and errors of one batch. A failing batch is halved until the texts at fault
+    are alone, so one of them costs a few calls. A null text gets neither."""
     filled = [i for i, text in enumerate(texts) if text is not None]
     if len(filled) < len(texts):
         vectors, errors = [None] * len(texts), [None] * len(texts)
@@ -78,20 +81,14 @@ def _vectors(provider: Provider, texts: list, dim: int):
         made = np.asarray(provider(texts), dtype=np.float32)
         if made.shape == (len(texts), dim):
             return list(made), [None] * len(texts)
-    except Exception:
-        pass
-    vectors, errors = [], []
-    for text in texts:
-        try:
-            vector = np.asarray(provider([text])[0], dtype=np.float32)
-            if vector.shape != (dim,):
-                raise ValueError(f"expected {dim} dimensions, got {vector.size}")
-            vectors.append(vector)
-            errors.append(None)
-        except Exception as problem:
-            vectors.append(None)
-            errors.append(f"{type(problem).__name__}: {problem}")
-    return vectors, errors
+        problem = ValueError(f"expected {dim} dimensions, got {made[0].size if made.ndim else 0}")
+    except Exception as raised:
+        problem = raised
+    if len(texts) == 1:
+        return [None], [f"{type(problem).__name__}: {problem}"]
+    middle = len(texts) // 2
+    left, right = _vectors(provider, texts[:middle], dim), _vectors(provider, texts[middle:], dim)
+    return left[0] + right[0], left[1] + right[1]
 
 
 def embedding_udf(provider: Provider, dim: int, batch_size: int):

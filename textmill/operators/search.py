@@ -1,50 +1,36 @@
 """Nearest vectors by cosine distance: exact, filtered, in batches, and approximate.
 
-Queries are the small side. They are handed to the tasks in blocks of a checked
-size, and the vectors never move: every task keeps the k best of its own rows
-per query, so at most k rows per query and task are shuffled.
+Vectors and queries are packed into blocks, one row each. Every query block is paired
+with every slot of vector blocks by an ordinary join, so Spark chooses: few queries are
+broadcast by their measured size and the vectors stay where they are, many queries and
+the packed vectors meet in a shuffle. The vectors are read once however many queries
+there are, and neither side passes through the driver.
 """
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill import schemas
 from textmill.functions.text import not_blank
-from textmill.functions.vectors import RANK_PLACES, has_dimension
+from textmill.functions.vectors import RANK_PLACES
 from textmill.operators.embedding import HASH_DIM, Provider, embed
-from textmill.session import cut
-
-# A block of queries is broadcast; this bounds its vectors to 32 MB.
-BLOCK_BYTES = 32 << 20
-# Distances held at once in a task: 16 MB.
-TILE_VALUES = 2 << 20
-
-
-def query_blocks(queries: DataFrame, dim: int, query_id="query_id",
-                 block_bytes=BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, unit vectors) of the queries, in blocks no larger than `block_bytes`."""
-    size = max(1, block_bytes // (8 * dim))
-    rows = queries.filter(has_dimension(F.col("embedding"), dim)).select(query_id, "embedding")
-    first = rows.limit(size + 1).toPandas()
-    if len(first) <= size:
-        parts = [first] if len(first) else []
-    else:
-        # Too many for one block: store them once, then fetch them part by part.
-        rows = cut(rows)
-        count = -(-rows.count() // size)
-        block = F.pmod(F.xxhash64(query_id), F.lit(2 * count))
-        parts = (rows.filter(block == i).toPandas() for i in range(2 * count))
-    for part in parts:
-        for start in range(0, len(part), size):
-            piece = part.iloc[start:start + size]
-            matrix = np.array(piece["embedding"].tolist(), dtype=np.float64)
-            yield piece[query_id].to_numpy(), _unit(matrix)
+
+# Rows of a block; with 1,536 numbers a vector, 12 MB of queries meet 48 MB of vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+# Groups of vector blocks that a query block has to be sent to.
+SLOTS = 32
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
 def _nearest(ids, distances, k):
@@ -57,97 +43,103 @@ def _nearest(ids, distances, k):
     return near[np.lexsort((ids[near], distances[near]))[:k]]
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    values = batch.column(name).to_numpy(zero_copy_only=False)
-    return values.astype(str) if values.dtype == object else values
+def _names(values: pa.Array) -> np.ndarray:
+    found = values.to_numpy(zero_copy_only=False)
+    return found.astype(str) if found.dtype == object else found
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+def _checked(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows of a matrix. One of another width is an error, not a miss."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    widths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(widths) and (len(widths) > 1 or widths[0] != dim):
+        raise ValueError(f"vectors of {', '.join(map(str, widths))} numbers, expected {dim}")
+    return _unit(flat.reshape(len(column), dim).astype(np.float64))
 
 
-def _best(query_ids, queries, k, query_id, vector_id, probes=None):
-    """A task's k nearest rows per query, as a function over its Arrow batches.
+def _packed(rows: DataFrame, id_column: str, dim: int, size: int, by: str | None = None) -> DataFrame:
+    """Blocks `slot, ids, matrix` of unit vectors. The slot is the value of `by`, or goes around."""
+    id_type = rows.schema[id_column].dataType
+    used = rows.filter("embedding is not null").select(id_column, "embedding", *([by] if by else []))
 
-    With `probes`, a boolean per query and bucket, a row meets only the queries
-    that look into its bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        for batch in batches:
+            slots = batch.column(by).to_numpy() if by else np.zeros(batch.num_rows, np.int64)
+            for slot in np.unique(slots):
+                some = batch.filter(pa.array(slots == slot))
+                for start in range(0, some.num_rows, size):
+                    part = some.slice(start, size)
+                    matrix = _checked(part.column("embedding"), dim)
+                    ids = part.column(id_column)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([int(slot) if by else turn % SLOTS], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                        pa.array([matrix.tobytes()], pa.binary()),
+                    ], ["slot", "ids", "matrix"])
+                    turn += 1
+
+    return used.mapInArrow(run, T.StructType([
+        T.StructField("slot", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
+        T.StructField("matrix", T.BinaryType()),
+    ]))
+
+
+def _meet(vectors: DataFrame, queries: DataFrame, k: int, dim: int, query_id, vector_id) -> DataFrame:
+    """The k nearest of the pairs of blocks that share a slot.
+
+    A task gives a row only if it is not beyond the k best the task has seen for its query.
+    `query_id` and `vector_id` are the fields of the ids.
     """
+    asked = queries.select("slot", F.col("ids").alias("asked"), F.col("matrix").alias("wanted"))
+    pairs = vectors.join(asked, "slot").select("ids", "matrix", "asked", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [(None, np.zeros(0))] * len(queries)
-        farthest = np.full(len(queries), np.inf)
-        id_type = None
+        farthest: dict = {}
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            id_type = batch.column(vector_id).type
-            ids = _column(batch, vector_id)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            vectors = _unit(flat.reshape(len(ids), -1).astype(np.float64))
-            step = max(1, TILE_VALUES // len(ids))
-            for start in range(0, len(queries), step):
-                some = slice(start, start + step)
-                distances = np.round(1.0 - queries[some] @ vectors.T, RANK_PLACES)
-                if probes is not None:
-                    looked_at = probes[some][:, _column(batch, "bucket")]
-                nearer = ~(np.fmin.reduce(distances, axis=1) > farthest[some])
-                for i in np.flatnonzero(nearer):
-                    q = start + i
-                    who, near = ids, distances[i]
-                    if probes is not None:
-                        who, near = who[looked_at[i]], near[looked_at[i]]
-                    if kept[q][0] is not None:
-                        who = np.concatenate([kept[q][0], who])
-                        near = np.concatenate([kept[q][1], near])
-                    best = _nearest(who, near, k)
-                    kept[q] = who[best], near[best]
-                    if len(best) == k:
-                        farthest[q] = near[best[-1]]
-        found = [q for q, (who, _) in enumerate(kept) if who is not None and len(who)]
-        if found:
-            lengths = [len(kept[q][0]) for q in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(query_ids[found], lengths)),
-                    pa.array(np.concatenate([kept[q][0] for q in found]), id_type),
-                    pa.array(np.concatenate([kept[q][1] for q in found]), pa.float64()),
-                ],
-                [query_id, vector_id, "distance"],
-            )
-
-    return run
+            for i in range(batch.num_rows):
+                own, asked = batch.column("ids")[i].values, batch.column("asked")[i].values
+                ids, names = _names(own), asked.to_pylist()
+                matrix, wanted = (
+                    np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, dim) for c in ("matrix", "wanted"))
+                distances = np.round(1.0 - wanted @ matrix.T, RANK_PLACES)
+                whose, which, far = [], [], []
+                for q, (name, near) in enumerate(zip(names, distances)):
+                    limit = farthest.get(name)
+                    if limit is not None and np.fmin.reduce(near) > limit:
+                        continue
+                    best = _nearest(ids, near, k)
+                    if len(best) == k and not near[best[-1]] >= (np.inf if limit is None else limit):
+                        farthest[name] = near[best[-1]]
+                    whose.append(np.full(len(best), q))
+                    which.append(best)
+                    far.append(near[best])
+                if whose:
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.take(pa.array(np.concatenate(whose))), own.take(pa.array(np.concatenate(which))),
+                         pa.array(np.concatenate(far), pa.float64())],
+                        [query_id.name, vector_id.name, "distance"])
+
+    best = Window.partitionBy(query_id.name).orderBy("distance", vector_id.name)
+    found = pairs.mapInArrow(run, T.StructType([query_id, vector_id, T.StructField("distance", T.DoubleType())]))
+    return (
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        .select(query_id.name, "rank", vector_id.name, "distance")
+    )
 
 
 def top_k_batch(
     vectors: DataFrame, queries: DataFrame, k: int = schemas.TOP_K, dim: int = HASH_DIM,
-    vector_id: str = "id", query_id: str = "query_id", block_bytes: int = BLOCK_BYTES,
-    _probes=None,
+    vector_id: str = "id", query_id: str = "query_id",
 ) -> DataFrame:
-    """(query id, rank, vector id, distance) of the k nearest vectors of every query."""
-    used = [vector_id, "embedding"] + (["bucket"] if _probes else [])
-    usable = vectors.filter(has_dimension(F.col("embedding"), dim)).select(*used)
-    found_schema = T.StructType([
-        queries.schema[query_id], vectors.schema[vector_id],
-        T.StructField("distance", T.DoubleType()),
-    ])
-    best = Window.partitionBy(query_id).orderBy("distance", vector_id)
-    results = []
-    for ids, matrix in query_blocks(queries, dim, query_id, block_bytes):
-        rows, probes = usable, None
-        if _probes:
-            probes = _probes(matrix)
-            rows = rows.filter(F.col("bucket").isin(np.flatnonzero(probes.any(axis=0)).tolist()))
-        found = rows.mapInArrow(_best(ids, matrix, k, query_id, vector_id, probes), found_schema)
-        results.append(
-            found.withColumn("rank", F.row_number().over(best))
-            .filter(F.col("rank") <= k)
-            .select(query_id, "rank", vector_id, "distance")
-        )
-    if not results:
-        found = vectors.sparkSession.createDataFrame([], found_schema)
-        return found.select(query_id, F.lit(0).alias("rank"), vector_id, "distance")
-    return reduce(DataFrame.unionByName, results)
+    """(query id, rank, vector id, distance) of the k nearest vectors of every query.
+
+    Null vectors take no part; a vector or query of another width than `dim` is an error.
+    """
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+    asked = _packed(queries, query_id, dim, QUERY_BLOCK).withColumn("slot", everywhere)
+    rows = _packed(vectors, vector_id, dim, VECTOR_BLOCK)
+    return _meet(rows, asked, k, dim, queries.schema[query_id], vectors.schema[vector_id])
 
 
 def top_k(
@@ -155,13 +147,16 @@ def top_k(
     dim: int = HASH_DIM, vector_id: str = "id", refnum1: int | None = None,
     refnum2: int | None = None,
 ) -> DataFrame:
-    """The k rows nearest to a text. A blank text finds nothing.
+    """The k rows nearest to a text. A blank text finds nothing; a text that the provider
+    cannot embed is an error.
 
     A reference number that is given restricts the rows before they are ranked.
     """
     one = vectors.sparkSession.range(0, 1, 1, 1)
     asked = one.select(F.col("id").alias("query_id"), F.lit(text).cast("string").alias("content"))
-    queries = embed(asked.filter(not_blank(F.col("content"))), provider, dim)
+    made = embed(asked.filter(not_blank(F.col("content"))), provider, dim)
+    failed = F.raise_error(F.concat(F.lit("the query could not be embedded: "), F.col("error")))
+    queries = made.withColumn("embedding", F.when(F.col("error").isNotNull(), failed.cast("array<float>")).otherwise(F.col("embedding")))
     rows = vectors.filter(refnum_filter(refnum1, refnum2))
     return top_k_batch(rows, queries, k, dim, vector_id).drop("query_id")
 
@@ -229,7 +224,7 @@ def with_bucket(vectors: DataFrame, bits: int = 8, dim: int = HASH_DIM, seed: in
             flat = batch.flatten().to_numpy(zero_copy_only=False)
             yield pa.array(_signs(flat.reshape(len(batch), dim), across).astype(np.int32))
 
-    rows = vectors.filter(has_dimension(F.col("embedding"), dim))
+    rows = vectors.filter("embedding is not null")
     return rows.withColumn("bucket", bucket_of("embedding"))
 
 
@@ -240,19 +235,42 @@ def approx_top_k(
     """As `top_k_batch`, but a query meets only the `share` of the buckets nearest to it.
 
     Near are buckets on the other side of planes the query is close to (Lv et al. 2007).
-    `share = 1` looks everywhere and is exact.
+    `share = 1` looks everywhere and is exact. The buckets of a query are found in the
+    tasks, in the order of their cost, and none but those asked for is written down.
     """
     across = planes(bits, dim, seed)
-    places = np.arange(bits)
     wanted = max(1, round(share * (1 << bits)))
+    kind = queries.schema[query_id]
 
-    def probes(matrix):
-        beyond = np.arange(1 << bits)[None, :] ^ _signs(matrix, across)[:, None]
-        costs = np.zeros(beyond.shape)
-        for place, margin in zip(places, (matrix @ across.T).T ** 2):
-            costs += ((beyond >> place) & 1) * margin[:, None]
-        looked_at = np.zeros(costs.shape, dtype=bool)
-        np.put_along_axis(looked_at, np.argsort(costs, axis=1, kind="stable")[:, :wanted], True, axis=1)
-        return looked_at
-
-    return top_k_batch(index, queries, k, dim, vector_id, query_id, _probes=probes)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = _checked(batch.column("embedding"), dim)
+            margins = (matrix @ across.T) ** 2
+            own = _signs(matrix, across)
+            for i in range(len(matrix)):
+                flips = _cheapest(margins[i], wanted)
+                n = len(flips)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[i] ^ flips, pa.int32()), batch.column(query_id).take(pa.array([i] * n)),
+                     batch.column("embedding").take(pa.array([i] * n))],
+                    ["bucket", query_id, "embedding"])
+
+    routed = queries.filter("embedding is not null").select(query_id, "embedding").mapInArrow(
+        probe, T.StructType([T.StructField("bucket", T.IntegerType()), kind, queries.schema["embedding"]]))
+    asked = _packed(routed, query_id, dim, QUERY_BLOCK, by="bucket")
+    rows = _packed(index, vector_id, dim, VECTOR_BLOCK, by="bucket")
+    return _meet(rows, asked, k, dim, kind, index.schema[vector_id])
+
+
+def _cheapest(margins: np.ndarray, wanted: int) -> np.ndarray:
+    """The `wanted` cheapest sets of flipped signs as bit masks, cheapest first.
+
+    Sets grow by one sign at a time, and only the cheapest are kept.
+    """
+    masks, costs = np.zeros(1, np.int64), np.zeros(1)
+    for place, margin in enumerate(margins):
+        masks = np.concatenate([masks, masks | (1 << place)])
+        costs = np.concatenate([costs, costs + margin])
+        keep = np.argsort(costs, kind="stable")[:wanted]
+        masks, costs = masks[keep], costs[keep]
+    return masks

@@ -11,8 +11,7 @@ from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import CHUNKS, MAX_WORDS, MIN_WORDS, NORMAL_URL, REFNUMS, TYPE, WORDS
 from textmill.plans.ingest import classified, not_blank_rows
-from textmill.plans.views import view
-from textmill.session import spread
+from textmill.plans.views import dealt, view
 from textmill.sources.messages import load_content as with_content
 from textmill.sources.messages import missing_content, with_url, with_url_compat
 
@@ -188,7 +187,7 @@ def uri_host(spark, folder):
 
 @query("src_docs", f"select doc_id, len({WORDS('content')}) as n_words from src_docs", name="meaningful_words")
 def count_words(spark, folder):
-    docs = spread(view(spark, folder, "src_docs"))
+    docs = dealt(view(spark, folder, "src_docs"))
     return docs.select("doc_id", meaningful_words(F.col("content")).cast("bigint").alias("n_words"))
 
 
@@ -215,7 +214,7 @@ def blank_filter(spark, folder):
     with {CHUNKS('src_docs')}
     select doc_id, i - 1 as pos, md5(part) as paragraph_md5 from parts""")
 def paragraphs(spark, folder):
-    docs = spread(view(spark, folder, "src_docs"))
+    docs = dealt(view(spark, folder, "src_docs"))
     parts = docs.select("doc_id", F.posexplode(split_paragraphs(F.col("content"))).alias("pos", "part"))
     return parts.select("doc_id", F.col("pos").cast("bigint").alias("pos"),
                         F.md5("part").alias("paragraph_md5"))
@@ -231,7 +230,7 @@ def _chunk_rows(chunks):
     with recursive {CHUNKS('src_docs')}
     select doc_id, chunk_no, n_words, md5(content) as content_md5 from chunks""", name="chunk_documents")
 def chunks_of_documents(spark, folder):
-    docs = spread(view(spark, folder, "src_docs"))
+    docs = dealt(view(spark, folder, "src_docs"))
     return _chunk_rows(chunk_documents(docs, max_words=MAX_WORDS, min_words=MIN_WORDS))
 
 
@@ -247,7 +246,7 @@ def chunks_of_documents(spark, folder):
                          || chr(10) || chr(10) || content end) as content_md5
     from cut""")
 def chunk_overlap(spark, folder):
-    docs = spread(view(spark, folder, "src_docs"))
+    docs = dealt(view(spark, folder, "src_docs"))
     return _chunk_rows(chunk_documents(
         docs, max_words=MAX_WORDS, min_words=MIN_WORDS, overlap_words=50))
 
@@ -259,7 +258,7 @@ def chunk_overlap(spark, folder):
            least(b * 5, n_chunks) as last_chunk, (n_chunks + 4) // 5 as n_batches
     from counted, unnest(range(1, (n_chunks + 4) // 5 + 1)) as numbers(b)""", name="batch_plan")
 def plan_batches(spark, folder):
-    docs = spread(view(spark, folder, "src_docs"))
+    docs = dealt(view(spark, folder, "src_docs"))
     planned = batch_plan(pack_chunks(docs, max_words=MAX_WORDS, min_words=MIN_WORDS), "doc_id", 5)
     return planned.select("doc_id", *[
         F.col(c).cast("bigint").alias(c)

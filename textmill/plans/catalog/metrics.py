@@ -8,8 +8,7 @@ from textmill.operators import control as co
 from textmill.operators import counters as ct
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import ISO
-from textmill.plans.views import view
-from textmill.session import spread
+from textmill.plans.views import dealt, view
 from textmill.sources import metrics_log as ml
 
 HOUR = "1 hour"
@@ -36,7 +35,7 @@ def snapshots(spark, folder):
     """Every log row as an event in the schema of the shared log."""
     file = F.when(F.col("event") == "CHUNK_COMPLETE", F.col("filename"))
     derived = st.status(F.col("total_delta"), F.col("processed_delta"), F.col("error_delta"))
-    return spread(log(spark, folder)).select(
+    return dealt(log(spark, folder)).select(
         "event_id",
         F.col("instance_id").alias("instanceId"),
         st.iso_time(F.col("ts")).alias("timestamp"),
@@ -367,7 +366,11 @@ def fleet_rollup(spark, folder):
                <> (count(*) filter (c.command = 'toggle' and (s.at is null or (c.ts, c.cmd_id) > s.at)) % 2 = 1)
              as enabled
       from control_log c left join sets s using (instance_id) group by c.instance_id)
-    select service, instance_id, enabled, files as files_done, coalesce(nullif(file, ''), 'none') as file,
+    select service, instance_id, coalesce(enabled, false) as enabled,
+           case when enabled then 'STARTED' else 'STOPPED' end as control_status, files as files_done,
+           (select count(distinct filename) from metric_events e
+            where e.service = timed.service and e.instance_id = timed.instance_id) as files_total,
+           coalesce(nullif(file, ''), 'none') as file,
            processed, total, greatest(total - processed, 0) as pending,
            case when up = 0 then 0.0 else round(processed::double / up::double, 6) end as rate,
            case when errors > processed * 0.1::double then 'ERROR'
@@ -377,10 +380,11 @@ def fleet_rollup(spark, folder):
     from timed left join states using (instance_id)""")
 def status_report(spark, folder):
     events = log(spark, folder)
-    report = ct.status_report(ct.instance_totals(events), now_of(events))
-    states = co.final_state(view(spark, folder, "control_log"))
-    return report.join(states, "instance_id", "left").select(
-        "service", "instance_id", "enabled", F.col("files.processed").alias("files_done"),
+    totals = ct.beside(ct.instance_totals(events), ct.files_seen(events), ct.INSTANCE)
+    totals = ct.beside(totals, co.final_state(view(spark, folder, "control_log")), ["instance_id"])
+    return ct.status_report(totals, now_of(events)).select(
+        "service", "instance_id", "processing.enabled", F.col("processing.status").alias("control_status"),
+        F.col("files.processed").alias("files_done"), F.col("files.total").alias("files_total"),
         F.col("files.current").alias("file"), "chunks.processed", "chunks.total", "chunks.pending",
         F.round("chunks.rate", 6).alias("rate"), "system.status", "system.uptime", "system.errors",
         "system.last_error")
@@ -392,3 +396,71 @@ def status_report(spark, folder):
     from metric_events""")
 def files_processed(spark, folder):
     return ct.files_processed(log(spark, folder))
+
+
+@query("metric_events", f"""
+    with firsts as (
+      select *, row_number() over (partition by service, instance_id, filename order by ts, event_id) = 1
+                and filename is not null as new_file
+      from metric_events),
+    running as (
+      select *,
+             cast(sum(total_delta) over w as bigint) as total, cast(sum(processed_delta) over w as bigint) as processed,
+             cast(sum(error_delta) over w as bigint) as errors, cast(sum(files_delta) over w as bigint) as files,
+             cast(sum(new_file::int) over w as bigint) as files_total,
+             last_value(error_text ignore nulls) over w as last_error,
+             nullif(last_value(case when event = 'CHUNK_COMPLETE' then filename
+                                    when event in ('FILE_COMPLETE', 'ERROR') then '' end ignore nulls) over w, '') as file,
+             first_value(ts) over w as boot
+      from firsts
+      window w as ({BY_INSTANCE} rows between unbounded preceding and current row)),
+    timed as (select *, (epoch_us(ts) - epoch_us(boot)) // 1000000 as up from running)
+    select event_id, total as total_chunks, processed as processed_chunks, errors, files, files_total,
+           case when up = 0 then 0.0 else round(processed::double / up::double, 6) end as rate,
+           (up // 3600)::varchar || 'h ' || (up // 60 % 60)::varchar || 'm' as uptime, file, last_error,
+           case when event = 'INIT' then 'STARTING' when errors > processed * 0.1::double then 'ERROR'
+                when total > 0 and processed < total then 'PROCESSING' else 'IDLE' end as status,
+           case event when 'INIT' then 'starting' when 'FILE_COMPLETE' then 'processing' when 'ERROR' then 'error'
+                else case when file is null then 'idle' else 'processing' end end as stage,
+           greatest(total - processed, 0) as pending, 'http://' || instance_id || ':8080' as url,
+           epoch_us(boot) // 1000 as boot_epoch
+    from timed""")
+def metrics_snapshots(spark, folder):
+    """Events from the running counters, as an instance sends them."""
+    rows = ct.snapshot_events(log(spark, folder))
+    return rows.select(
+        "event_id", F.col("totalChunks").alias("total_chunks"), F.col("processedChunks").alias("processed_chunks"),
+        F.col("errorCount").alias("errors"), F.col("filesProcessed").alias("files"),
+        F.col("filesTotal").alias("files_total"), F.round("processingRate", 6).alias("rate"), "uptime",
+        F.col("currentFile").alias("file"), F.col("lastError").alias("last_error"), "status",
+        F.col("meta.processingStage").alias("stage"), F.col("pendingMessages").alias("pending"), "url",
+        F.col("bootEpoch").alias("boot_epoch"))
+
+
+# --- keys that are null ------------------------------------------------------
+
+@query("loose_events", f"""
+    select event_id, service, instance_id, event,
+           cast(sum(total_delta) over w as bigint) as total_chunks,
+           cast(sum(processed_delta) over w as bigint) as processed_chunks,
+           cast(sum(error_delta) over w as bigint) as error_count,
+           cast(sum(files_delta) over w as bigint) as files_processed
+    from loose_events
+    window w as ({BY_INSTANCE} rows between unbounded preceding and current row)""")
+def running_counters_null_keys(spark, folder):
+    return ct.running_counters(view(spark, folder, "loose_events")).drop("ts")
+
+
+@query("loose_control", """
+    with runs as (
+      select *, sum((command in ('start', 'stop'))::int) over (
+               partition by instance_id order by ts, cmd_id) as run
+      from loose_control)
+    select cmd_id, instance_id,
+           (coalesce(first_value(case when command in ('start', 'stop') then command end) over r, 'stop') = 'start')
+           <> (sum((command = 'toggle')::int) over r % 2 = 1) as enabled
+    from runs
+    window r as (partition by instance_id, run order by ts, cmd_id
+                 rows between unbounded preceding and current row)""")
+def control_state_null_keys(spark, folder):
+    return co.control_state(view(spark, folder, "loose_control")).select("cmd_id", "instance_id", "enabled")

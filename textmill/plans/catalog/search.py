@@ -7,8 +7,8 @@ from textmill.operators import embedding as em
 from textmill.operators import search as se
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import HASHED
-from textmill.plans.views import view
-from textmill.session import new_folder, spread
+from textmill.plans.views import dealt, view
+from textmill.session import new_folder
 from textmill.sources.vector_table import write_index
 
 TEXT = "the report of the region and its reading by the people"
@@ -17,7 +17,7 @@ DIM = em.HASH_DIM
 
 
 def document_vectors(spark, folder):
-    docs = spread(view(spark, folder, "src_docs").select("doc_id", "content"))
+    docs = dealt(view(spark, folder, "src_docs").select("doc_id", "content"))
     return em.embed(docs).select("doc_id", "embedding")
 
 

@@ -12,10 +12,9 @@ from textmill.functions.urls import document_type, filename_for_refnum
 from textmill.operators.chunking import pack_chunks, whole_documents
 from textmill.operators.embedding import HASH_DIM, Provider, embed
 from textmill.operators.search import top_k
-from textmill.session import spread
 from textmill.sources.files import scan_text_dir
 from textmill.sources.messages import work_documents
-from textmill.sources.vector_table import append_rows, list_stored, read_vectors, row_id
+from textmill.sources.vector_table import append_rows, list_stored, new_run, read_rows, read_vectors, row_id
 
 NOT_FOUND = "content not found"
 
@@ -68,6 +67,7 @@ def ingest(
     defaults=schemas.DEFAULT_REFNUMS, ingest_ms: Column | None = None,
     provider: Provider | None = None, dim=HASH_DIM,
     max_words=schemas.MAX_WORDS, min_words=schemas.MIN_WORDS, overlap_words=0,
+    parts: int | None = None,
 ) -> DataFrame:
     """Messages with a `url` to rows of the vector table, with an `outcome` each.
 
@@ -76,7 +76,7 @@ def ingest(
     the only possible shuffle of the texts.
     """
     packed = pack_chunks(
-        work_documents(messages, files), max_words=max_words, min_words=min_words, overlap_words=overlap_words
+        work_documents(messages, files, parts), max_words=max_words, min_words=min_words, overlap_words=overlap_words
     ).withColumn("_missing", F.col("content").isNull())
     keep = [c for c in packed.columns if c not in ("chunks", "content")]
     chunks = packed.select(*keep, F.posexplode_outer("chunks").alias("chunk_no", "_chunk")).select(
@@ -88,9 +88,10 @@ def ingest(
 def ingest_files(
     files: DataFrame, *, with_metadata=True, defaults=schemas.DEFAULT_REFNUMS,
     ingest_ms: Column | None = None, provider: Provider | None = None, dim=HASH_DIM,
+    parts: int | None = None,
 ) -> DataFrame:
     """Files to rows of the vector table, one row per file whatever its length."""
-    rows = whole_documents(spread(files)).withColumn("_missing", F.lit(False))
+    rows = whole_documents(files.repartition(parts) if parts else files).withColumn("_missing", F.lit(False))
     return _finished(rows, with_metadata, defaults, _now_ms(ingest_ms), provider, dim)
 
 
@@ -145,9 +146,17 @@ def file_complete_events(rows: DataFrame) -> DataFrame:
 
 
 def run_folder(spark: SparkSession, folder: str, table: str, query_text: str | None = None,
-               k: int = schemas.TOP_K, **options):
-    """The folder job: ingest, append, list, and answer one query if there is one."""
-    append_rows(ingest_files(scan_text_dir(spark, folder), **options), table)
+               k: int = schemas.TOP_K, run: str | None = None, events: str | None = None, **options):
+    """The folder job: ingest, append, list, and answer one query if there is one.
+
+    `run` is given only to repeat a run that failed. `events` is a folder for the
+    FILE_COMPLETE events of the run.
+    """
+    run = run or new_run()
+    append_rows(ingest_files(scan_text_dir(spark, folder), **options), table, run)
+    if events:
+        rows = read_rows(spark, table).filter(F.col("run") == run)
+        file_complete_events(rows).write.mode("overwrite").parquet(f"{events}/run={run}")
     vectors = read_vectors(spark, table)
     hits = None
     if query_text and query_text.strip():
@@ -155,10 +164,13 @@ def run_folder(spark: SparkSession, folder: str, table: str, query_text: str | N
     return list_stored(vectors), hits
 
 
-def run_messages(messages: DataFrame, files: DataFrame, table: str, batch_id: int = 0, **options) -> None:
-    """The message job. Vectors, errors, progress and events are read from the table after it;
-    the job may be run again after a failure."""
-    append_rows(ingest(messages, files, **options), table, batch_id)
+def run_messages(messages: DataFrame, files: DataFrame, table: str, run: str | None = None,
+                 batch_id: int = 0, **options) -> str:
+    """The message job, and the id of its run. Vectors, errors, progress and events are read
+    from the table after it; a run that failed is repeated under its id."""
+    run = run or new_run()
+    append_rows(ingest(messages, files, **options), table, run, batch_id)
+    return run
 
 
 def not_blank_rows(rows: DataFrame, text: str = "content") -> DataFrame:

@@ -95,11 +95,19 @@ VIEWS = {
     "control_log": ("events", """
         select event_id as cmd_id, ts, 'inst-' || cast(user_id % 5 as string) as instance_id,
                case event_type when 'signup' then 'start' when 'view' then 'stop'
-                               when 'purchase' then 'toggle' else 'reset' end as command,
+                               when 'purchase' then 'toggle' when 'click' then 'status'
+                               else 'reset' end as command,
                case when value < 20 then null when value < 60 then ' '
                     else 'reason ' || cast(event_id as string) end as reason
-        from events
-        where event_type <> 'click'"""),
+        from events"""),
+    "loose_events": ("metric_events", """
+        select event_id, ts, case when event_id % 11 <> 0 then service end as service,
+               case when event_id % 13 <> 0 then instance_id end as instance_id, event,
+               total_delta, processed_delta, error_delta, files_delta, filename, error_text
+        from metric_events"""),
+    "loose_control": ("control_log", """
+        select cmd_id, ts, case when cmd_id % 7 <> 0 then instance_id end as instance_id, command, reason
+        from control_log"""),
     "chunk_vectors": ("embeddings", """
         select vec_id, embedding, label, cast(100000 + label as int) as refnum1,
                cast(200000 + vec_id % 10 as int) as refnum2
@@ -116,6 +124,11 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return over(spark, name, view(spark, folder, VIEWS[name][0]))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, for the given tables: a few files that Spark cannot split."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def over(spark: SparkSession, name: str, source: DataFrame) -> DataFrame:
     """A view over another source, such as a stream of the same table."""
     below, sql = VIEWS[name]

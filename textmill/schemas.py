@@ -16,9 +16,11 @@ RECENT_EVENTS = 50
 ALIVE_SECONDS = 30
 DEGRADED_SECONDS = 120
 HEARTBEAT_STALE_SECONDS = 20
+FORGET_SECONDS = 7 * 24 * 3600
 SNAPSHOT_INTERVAL = "10 seconds"
 DEFAULT_PORT = 8080
 
+# The fields of an event on the shared log.
 METRICS_META = T.StructType(
     [
         T.StructField("service", T.StringType()),

@@ -1,9 +1,8 @@
-"""Session settings, the shared scratch folder, and lineage cuts."""
+"""Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # What a cluster job should run with. AQE splits skewed join partitions and
 # shrinks small shuffles; UTC keeps event times equal on every machine; a task
@@ -16,6 +15,7 @@ SETTINGS = {
     "spark.sql.maxConcurrentOutputFileWriters": "8",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
@@ -38,14 +38,12 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`.
 
-    It has to be visible to every executor, so a temporary one is made only
-    for a local session that has none.
+    It has to be visible to every executor; where it is unset, a folder in the
+    warehouse is taken, which every executor sees too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="textmill-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -53,30 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path for one run's output; never reused."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialize `df` in the shared folder, so a lost executor cannot change it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small, unsplittable input to all cores.
-
-    Only for an input below one full split per core, so the rows moved stay
-    bounded; a larger input already has at least as many splits as cores.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores else df
-
-
-def _bytes(text: str) -> int:
-    text = text.strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+    """A path for one run's intermediate data; never reused, and removed when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

@@ -1,10 +1,13 @@
 """The vector table: a parquet folder, appended to batch by batch.
 
-A row's id follows from its URL, position and content, and a batch owns the folder
-`batch_id=<n>`, so writing a batch again replaces it. Below it a folder per outcome
+A row's id follows from its URL, position and content. A batch of a run owns the folder
+`run=<id>/batch_id=<n>`, so writing a batch again replaces it, and nothing else; other
+runs only add. Below it a folder per outcome
 keeps errors apart from vectors without a second pass over the texts.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,9 @@ from textmill import schemas
 from textmill.functions.metadata import metadata_value
 from textmill.functions.text import preview
 
-_TABLE = T.StructType([*schemas.VECTOR_ROW, T.StructField("batch_id", T.LongType())])
+_TABLE = T.StructType([
+    *schemas.VECTOR_ROW, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()),
+])
 
 
 def row_id(url: Column, chunk_no: Column, content: Column) -> Column:
@@ -21,15 +26,22 @@ def row_id(url: Column, chunk_no: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws("\n", url, chunk_no.cast("string"), content_hash), 256)
 
 
-def append_rows(rows: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Write all rows of a batch in one pass, whatever became of them."""
+def new_run() -> str:
+    return uuid.uuid4().hex
+
+
+def append_rows(rows: DataFrame, path: str, run: str, batch_id: int = 0) -> None:
+    """Write all rows of a batch in one pass, whatever became of them.
+
+    `run` names the job that appends; only a repetition of the same job gives it again.
+    """
     have = set(rows.columns)
     columns = [
         F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schemas.VECTOR_ROW
     ]
     batch = rows.select(*columns).write.mode("overwrite").partitionBy("outcome")
-    batch.parquet(f"{path}/batch_id={batch_id}")
+    batch.parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -39,13 +51,13 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; only their folders are read."""
     stored = read_rows(spark, path).filter(F.col("outcome") == schemas.STORED)
-    return stored.drop("error", "dropped_words", "outcome", "batch_id")
+    return stored.drop("error", "dropped_words", "outcome", "run", "batch_id")
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """Refused chunks and missing files, with the reason."""
     failed = read_rows(spark, path).filter(F.col("outcome").isin(schemas.REJECTED, schemas.MISSING))
-    return failed.select("url", "chunk_no", "document_type", "refnum1", "refnum2", "error", "batch_id")
+    return failed.select("url", "chunk_no", "document_type", "refnum1", "refnum2", "error", "run", "batch_id")
 
 
 def write_index(rows: DataFrame, path: str, vector_id: str = "id") -> None:

@@ -45,18 +45,20 @@ def stream_windows(events: DataFrame, interval: str, delay: str, path: str,
 
 def _newest_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.groupby(INSTANCE, as_index=False)[["activity", "heartbeat"]].max()
+        yield batch.groupby(INSTANCE, as_index=False, dropna=False)[["activity", "heartbeat"]].max()
 
 
 def liveness_changes(
     events: DataFrame, now_us: int | None = None, alive=schemas.ALIVE_SECONDS,
     degraded=schemas.DEGRADED_SECONDS, stale=schemas.HEARTBEAT_STALE_SECONDS,
+    forget=schemas.FORGET_SECONDS,
 ) -> DataFrame:
     """Liveness of an instance whenever it is heard of, and again when it falls silent.
 
     Times are reduced to the newest per instance inside every Arrow batch before the
     shuffle. Without a fixed `now_us` the clock is the processing time, and a timeout
-    at the next limit reports the change.
+    at the next limit reports the change. An instance silent for `forget` seconds has been
+    reported offline and leaves the state; if it speaks again, it is new.
     """
 
     def report(key, times: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,13 +68,16 @@ def liveness_changes(
                 continue
             activity = max(activity, int(batch["activity"].max()))
             heartbeat = max(heartbeat, int(batch["heartbeat"].max()))
-        state.update((activity, heartbeat))
         now = now_us if now_us is not None else int(time.time() * SECOND)
         silent = (now - activity) / SECOND
         level = "alive" if silent <= alive else "degraded" if silent <= degraded else "offline"
-        if now_us is None and level != "offline":
-            limit = alive if level == "alive" else degraded
-            state.setTimeoutDuration(max(1, int((limit - silent) * 1000) + 1))
+        if level == "offline" and silent > forget:
+            state.remove()
+        else:
+            state.update((activity, heartbeat))
+            if now_us is None:
+                limit = {"alive": alive, "degraded": degraded, "offline": forget}[level]
+                state.setTimeoutDuration(max(1, int((limit - silent) * 1000) + 1))
         yield pd.DataFrame({
             "service": [key[0]], "instance_id": [key[1]], "last_activity": [activity],
             "last_heartbeat": [heartbeat], "liveness": [level],
