@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, mixing, nearest, quality, repeats, secrets, sharding, simhash, templates, toxicity
 from .common import stored
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark, sf_dir, name):
@@ -75,4 +76,3 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_mix_sources, op3_byte_bpe, op4_simhash, op5_exact_top_k, op6_repeated_strings,
     op7_sharding, op8_main_text, op9_secret_scan, op10_toxicity,
 )}
-ORACLES = {}
