@@ -13,7 +13,7 @@ from textmill.sources.messages import load_content, missing_content, one_per_url
 from textmill.sources.vector_table import append_rows, read_errors, read_vectors
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
-from textmill.streaming.sinks import batch_folder, newest_versions, run_available
+from textmill.streaming.sinks import batch_folder, compact_versions, newest_versions, run_available
 
 LONG = "\n\n".join(f"paragraph {i} has five words" for i in range(6))
 
@@ -214,6 +214,21 @@ def test_an_instance_that_falls_silent_is_reported(spark, tmp_path):
     assert seen == "offline"
 
 
+def test_liveness_without_names(spark, tmp_path):
+    from textmill.operators import counters as ct
+
+    rows = spark.createDataFrame(
+        [(1, 100, None, "a", "INIT"), (2, 150, None, None, "ERROR"), (3, 190, "s", None, "INIT")],
+        "event_id long, sec int, service string, instance_id string, event string",
+    ).withColumn("ts", F.timestamp_seconds("sec")).drop("sec")
+    rows.coalesce(1).write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "src"))
+    found = sm.stream_liveness(stream, str(tmp_path / "out"), str(tmp_path / "c"), now_us=200_000_000)
+    batch = ct.liveness(ct.instance_registry(rows), F.timestamp_seconds(F.lit(200)))
+    shown = lambda table: {(r.service, r.instance_id, r.liveness) for r in table.collect()}
+    assert shown(found) == shown(batch) and len(shown(batch)) == 3
+
+
 def test_dedup_over_two_runs(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("src", "out", "c"))
 
@@ -234,6 +249,10 @@ def test_newest_versions(spark, tmp_path):
     write(spark.createDataFrame([("k", 1), ("l", 1)], "k string, n int"), 0)
     write(spark.createDataFrame([("k", 2)], "k string, n int"), 1)
     assert {tuple(r) for r in newest_versions(spark, str(tmp_path), ["k"]).collect()} == {("k", 2), ("l", 1)}
+    small = str(tmp_path / "small")
+    compact_versions(spark, str(tmp_path), ["k"], small)
+    batch_folder(small)(spark.createDataFrame([("l", 3)], "k string, n int"), 2)
+    assert {tuple(r) for r in newest_versions(spark, small, ["k"]).collect()} == {("k", 2), ("l", 3)}
 
 
 def test_embedding_errors_are_kept_apart(spark):

@@ -61,7 +61,7 @@ _DOCUMENTS = f"""
     doc_length as ({_LENGTHS.format(key='doc_id', name='docs')}),"""
 
 
-@query("src_docs", f"""
+_TOPK_TEXT = f"""
     with asked as (select 0 as query_id, '{TEXT}' as text),
     {_DOCUMENTS}
     {HASHED('q', 'asked', 'query_id', 'text')},
@@ -76,12 +76,27 @@ _DOCUMENTS = f"""
     select * from (
       select row_number() over (order by distance, doc_id) as rank, doc_id, round(distance, 6) as distance
       from ranked)
-    where rank <= 5""")
+    where rank <= 5"""
+
+
+@query("src_docs", _TOPK_TEXT)
 def topk_text(spark, folder):
     found = se.top_k(document_vectors(spark, folder), TEXT, 5, vector_id="doc_id")
     return _rounded(found, "doc_id")
 
 
+@query("src_docs", f"""
+    with found as ({_TOPK_TEXT})
+    select rank, doc_id, distance, md5(content) as content_md5, url
+    from found join src_docs using (doc_id)""")
+def topk_rows(spark, folder):
+    """The answer with the text and the URL of the rows found."""
+    docs = dealt(view(spark, folder, "src_docs"))
+    vectors = em.embed(docs)
+    found = se.with_rows(se.top_k(vectors, TEXT, 5, vector_id="doc_id"), docs, "doc_id", "content", "url")
+    return _rounded(found.withColumn("content_md5", F.md5("content")), "doc_id", "content_md5", "url")
+
+
 @query("src_docs", f"""
     with {_DOCUMENTS}
     {HASHED('q', 'benchmark', 'item_id', 'text')},
@@ -129,7 +144,7 @@ _LABELS = """
       select label as query_id, list(value order by pos) as wanted from means group by label)"""
 
 
-@query("chunk_vectors", f"""
+_TOPK_BATCH = f"""
     with {_LABELS},
     ranked as (
       select query_id, vec_id,
@@ -142,7 +157,10 @@ _LABELS = """
              row_number() over (partition by query_id order by distance, vec_id) as rank,
              round(distance, 6) as distance
       from ranked)
-    where rank <= 10""")
+    where rank <= 10"""
+
+
+@query("chunk_vectors", _TOPK_BATCH)
 def topk_batch(spark, folder):
     found = se.top_k_batch(view(spark, folder, "chunk_vectors"), label_queries(spark, folder), 10,
                            vector_id="vec_id")
@@ -204,6 +222,16 @@ def dimension_rejects(spark, folder):
     return em.dimension_rejects(vectors, DIM).select("vec_id", "dimensions")
 
 
+@query("chunk_vectors", _TOPK_BATCH)
+def topk_lsh_everywhere(spark, folder):
+    """The approximate search over all buckets is exact."""
+    vectors = view(spark, folder, "chunk_vectors")
+    path = new_folder(spark, "index")
+    write_index(se.with_bucket(vectors.select("vec_id", "embedding")), path, "vec_id")
+    near = se.approx_top_k(spark.read.parquet(path), label_queries(spark, folder), 10, share=1, vector_id="vec_id")
+    return _rounded(near, "query_id", "vec_id")
+
+
 @query()
 def topk_lsh_recall(spark, folder):
     """Hits of the approximate search among the exact ten nearest, per label. The given
