@@ -327,13 +327,22 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def _shared(docs: DataFrame, field: Field | None):
+    """The field's numbers, some hundreds, as plain values: workers need no copy of this package."""
+    model = field or fit(sample(docs))
+    return docs.sparkSession.sparkContext.broadcast(model and (model.weights, model.transitions))
+
+
+def _field(shared) -> Field | None:
+    return shared.value and Field(*shared.value)
+
+
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """Counts and spans per document; `field` is fitted on a sample of `docs` if not given."""
-    model = field or fit(sample(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
+    shared = _shared(docs, field)
 
     def run(batches):
-        for text, batch in _scanned(batches, shared.value):
+        for text, batch in _scanned(batches, _field(shared)):
             rows = []
             for doc_id, base, spans in batch:
                 kinds = [kind for _, kind, _ in base]
@@ -370,16 +379,16 @@ def _tagged(ids, texts, field):
 
 def redact(docs: DataFrame, mark="[SECRET]", field: Field | None = None) -> DataFrame:
     """`docs` with every span replaced by `mark` (overlapping spans once); the columns and nulls stay."""
-    model = field or fit(sample(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, field)
     place = docs.columns.index("text")
 
     def run(batches):
+        own = _field(shared)
         for batch in batches:
             column, out, waiting, size = batch.column(place), [], [], 0
 
             def flush():
-                for text, (_, _, spans) in zip(waiting, _tagged([None] * len(waiting), [t or "" for t in waiting], shared.value)):
+                for text, (_, _, spans) in zip(waiting, _tagged([None] * len(waiting), [t or "" for t in waiting], own)):
                     out.append(None if text is None else _without(text, spans, mark))
 
             for value in column:

@@ -208,10 +208,11 @@ def fit_curve(a, b, y, weight, steps=50, decay=1e-2) -> tuple[float, float, floa
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES weights and PHRASES phrases
+    # At most ENTRIES weights and PHRASES phrases, sent as plain values: workers need no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.curve))
 
     def run(batches):
-        own = shared.value
+        own = Lexicon(*shared.value)
         for batch in batches:
             scores = [own.score(text.as_py() or "") for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([
