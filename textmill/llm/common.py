@@ -32,6 +32,19 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hashed_sample(rows: DataFrame, size: int, *by: str) -> DataFrame:
+    """At most `size` rows, those with the smallest hashes of the columns `by`.
+
+    Rows are counted first and filtered by a bound on the hash that leaves little
+    more than `size` of them, so tasks do not each hand over `size` rows.
+    """
+    n = rows.count()
+    share = min(1.0, (1.25 * size + 50) / max(1, n))
+    bound = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    hashed = rows.withColumn("_hash", F.xxhash64(*by)).filter(F.col("_hash") <= bound)
+    return hashed.orderBy("_hash", *by).limit(size).drop("_hash")
+
+
 def running_totals(rows: DataFrame, key: str, spot: str, amount: str, ties=(), about: DataFrame | None = None) -> DataFrame:
     """Add `before`, the sum of `amount` over the earlier rows of the same `key`.
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
+
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -277,13 +279,12 @@ def _silver(text: str):
 def sample(docs: DataFrame, size=SAMPLE_DOCS, chars=SAMPLE_CHARS) -> list[str]:
     """Texts to fit on, chosen by a hash: at most `size` with a secret word or a long
     hexadecimal run, and as many others, none longer than `chars`."""
-    short = docs.select("text").filter(F.length("text").between(1, chars))
+    short = docs.select("doc_id", "text").filter(F.length("text").between(1, chars))
     likely = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    ranked = short.select("text", F.xxhash64("text").alias("h"), likely.alias("likely"))
-    rows = []
-    for condition in (F.col("likely"), ~F.col("likely")):
-        rows += ranked.filter(condition).orderBy("h", "text").limit(size).collect()
-    return [row.text for row in rows]
+    return [
+        row.text for condition in (likely, ~likely)
+        for row in hashed_sample(short.filter(condition), size, "doc_id", "text").collect()
+    ]
 
 
 def _crf_spans(field: Field, texts: list[bytes]) -> list[list[tuple[int, int]]]:
