@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hashed_sample, stored
 
 SCALE = 256
 PIVOTS, RINGS, SAMPLE = 16, 12, 4096
@@ -51,7 +51,7 @@ def integers(table: DataFrame, id_column="vec_id", vector="embedding") -> DataFr
 
 def fit_pivots(vectors: DataFrame, pivots=PIVOTS, sample=SAMPLE) -> dict[int, np.ndarray]:
     """Pivots by width, farthest first among at most `sample` vectors chosen by a hash."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).collect()
+    rows = hashed_sample(vectors, sample, "vec_id", "v").collect()
     found = {}
     for dim in {row.dim for row in rows}:
         points = np.array([row.v for row in rows if row.dim == dim], np.float64)

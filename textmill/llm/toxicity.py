@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hashed_sample, stored
 
 # Look-alike letters and the Latin letters they stand for.
 LOOKALIKES = dict(zip(
@@ -120,7 +120,7 @@ def held_out():
 def labelled(docs: DataFrame, labels: DataFrame, size=SAMPLE) -> DataFrame:
     """text and toxic (0/1) of at most `size` labels; none of them held out."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    chosen = hashed_sample(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), size, "doc_id")
     # At most `size` short rows, so the texts stay where they are.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
