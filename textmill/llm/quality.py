@@ -17,6 +17,7 @@ labels say so. Repeated rows are judged alike. Columns beyond those used are kep
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import with_once
 from .common import SPACES, WORD, once
 
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +78,10 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Add one struct column `measures` of counts; one pass over the text, no shuffle."""
+    """Add one struct column `measures` of counts; one pass over the text, no shuffle.
+
+    The column comes out of a generator, so that filters on it do not measure again.
+    """
     def counts(text):
         words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
         lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
@@ -93,7 +97,7 @@ def measure(docs: DataFrame) -> DataFrame:
             _repeat_words(w).cast("long").alias("n_repeat_words"),
         )))
 
-    return docs.withColumn("measures", once(F.coalesce(F.col("text"), F.lit("")), counts))
+    return with_once(docs, "measures", once(F.coalesce(F.col("text"), F.lit("")), counts))
 
 
 def stratum(strata=STRATA) -> Column:
