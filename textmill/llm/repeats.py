@@ -6,12 +6,12 @@ any document or in the same one, is removed.
 Work is divided by content. A window is `least` bytes; its mark is the smallest
 hash of the strings of `k` bytes inside it. Equal windows have equal marks, so a
 window whose mark occurs once is no repeat, and windows need to meet only those
-of their own mark. Neighbouring windows with one mark form a segment. First, long
-marks are counted over all documents as narrow rows, which leaves the texts in
-place; then the windows that remain are marked again with longer strings, which
-tell different contexts of a common passage apart. Equal segments are one segment
-with a count. Segments of a mark meet in a shard of bounded size; marks with more
-bytes than that are split by marks of whole windows, of which all segments are equal.
+of their own mark. Neighbouring windows with one mark form a segment. Marks are first counted over all documents
+as narrow rows, which leaves the texts in place; only texts with marks that occur
+again move. Equal segments are one segment with a count. Segments of a mark meet in
+a shard of bounded size. Where a mark has more bytes than that (a common passage in
+many contexts), its distinct segments are cut again by longer marks, at last by marks
+of whole windows, of which all segments are equal.
 
 In a shard, segments (those with a count above one twice) are put in suffix
 order, each ended by a mark of its own. Intervals of suffixes with a common
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 LEAST = 400
-# Lengths of marks, as shares of a window: for all texts, for what remains, for crowded marks.
-SHARES = (0.32, 0.8, 1.0)
+# Lengths of marks, as shares of a window: for all texts, then for crowded marks.
+SHARES = (0.32, 0.9, 1.0)
 SHARD = 1 << 18
 # Bytes of a mark's segments beyond which the mark is split.
 CROWDED = 1 << 16
@@ -262,28 +262,34 @@ def candidates(docs: DataFrame, scan: DataFrame) -> DataFrame:
     )
 
 
-_SEGMENT = "sha256 string, mark long, segment binary, first int, size int, n long, times int"
+_SEGMENT = "sha256 string, parent binary, base int, mark long, segment binary, first int, size int, n long, times int"
 
 
-def _marked(texts: DataFrame, least: int, share: float) -> DataFrame:
-    """Segments of the candidate windows by another mark; `segment` is a hash of the segment's bytes."""
+def _cut(rows: DataFrame, least: int, share: float) -> DataFrame:
+    """Segments of spans of windows; `segment` is a hash of the segment's bytes.
+
+    `rows` has sha256, text and spans of (parent, first, last, n); spans of no parent may
+    overlap and are merged. `base` is where the span of a parent began.
+    """
     def run(batches):
         marker = Marker(least, share)
         for batch in batches:
-            for sha, text, windows, copies in zip(*(batch.column(c) for c in ("sha256", "text", "windows", "copies"))):
+            for sha, text, spans in zip(*(batch.column(c) for c in ("sha256", "text", "spans"))):
                 data, out = text.as_py().encode(), []
-                for low, high in _union((w["first"], w["last"]) for w in windows.as_py()):
+                given = [tuple(s.values()) for s in spans.as_py()]
+                loose = [s for s in given if s[0] is None]
+                merged = [(None, a, b, loose[0][3]) for a, b in _union((s[1], s[2]) for s in loose)]
+                for parent, low, high, n in merged + [s for s in given if s[0] is not None]:
                     for mark, a, b, times in marker.segments(np.frombuffer(data, np.uint8)[low:high + least]):
                         part = data[low + a:low + b + least]
-                        out.append((
-                            sha.as_py(), mark, hashlib.blake2b(part, digest_size=16).digest(), low + a, len(part), copies.as_py(), times,
-                        ))
+                        key = hashlib.blake2b(part, digest_size=16).digest()
+                        out.append((sha.as_py(), parent, low, mark, key, low + a, len(part), n, times))
                 yield _arrays(
-                    out, ["sha256", "mark", "segment", "first", "size", "n", "times"],
-                    [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32()],
+                    out, ["sha256", "parent", "base", "mark", "segment", "first", "size", "n", "times"],
+                    [pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32()],
                 )
 
-    return texts.select("sha256", "text", "windows", "copies").mapInArrow(run, _SEGMENT)
+    return rows.select("sha256", "text", "spans").mapInArrow(run, _SEGMENT)
 
 
 def _distinct(marked: DataFrame) -> DataFrame:
@@ -339,25 +345,40 @@ def _found(texts: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
     return dealt.mapInArrow(shards, "segment binary, hits array<struct<first: int, last: int>>")
 
 
+def _hits(texts: DataFrame, marked: DataFrame, least: int, crowded: int, shares) -> DataFrame:
+    """segment and its spans of repeated windows, for the segments of `marked`.
+
+    Distinct segments of marks with many bytes are cut again by the next, longer marks,
+    and what is found in the parts is put together for the whole.
+    """
+    distinct = stored(_distinct(marked), "distinct")
+    if not shares:
+        return stored(_found(texts, distinct, least), "hits")
+    full = stored(distinct.groupBy("mark").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > crowded).select("mark"), "crowded")
+    span = F.struct(
+        F.col("segment").alias("parent"), "first", (F.col("first") + F.col("size") - least).alias("last"), "n",
+    )
+    crowd = distinct.join(full, "mark").groupBy("sha256").agg(F.collect_list(span).alias("spans"))
+    parts = stored(_cut(texts.select("sha256", "text").join(crowd, "sha256"), least, shares[0]), "parts")
+    inner = _hits(texts, parts, least, crowded, shares[1:])
+    moved = F.transform("hits", lambda h: F.struct(
+        (F.col("first") - F.col("base") + h["first"]).alias("first"), (F.col("first") - F.col("base") + h["last"]).alias("last"),
+    ))
+    whole = parts.join(inner, "segment").select(F.col("parent").alias("segment"), F.explode(moved).alias("h"))
+    whole = whole.groupBy("segment").agg(F.collect_list("h").alias("hits"))
+    return stored(_found(texts, distinct.join(full, "mark", "left_anti"), least).unionByName(whole), "hits")
+
+
 def repeats(docs: DataFrame, least=LEAST, crowded=CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row of `docs`."""
     scan = stored(scanned(docs, least), "scanned")
     texts = stored(candidates(docs, scan), "candidates")
-    marked = stored(_marked(texts, least, SHARES[1]), "marked")
-    distinct = stored(_distinct(marked), "distinct")
-    full = stored(distinct.groupBy("mark").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > crowded).select("mark"), "crowded")
-
-    # Windows of crowded marks are marked by all their bytes, so that equal ones are one segment.
-    split = marked.join(full, "mark").groupBy("sha256").agg(
-        F.collect_list(F.struct("first", (F.col("first") + F.col("size") - least).alias("last"))).alias("windows"),
-    )
-    crowd = stored(_marked(texts.drop("windows").join(split, "sha256"), least, SHARES[2]), "marked")
-    hits = stored(
-        _found(texts, distinct.join(full, "mark", "left_anti"), least)
-        .unionByName(_found(texts, _distinct(crowd), least)), "hits",
-    )
-    places = marked.join(full, "mark", "left_anti").unionByName(crowd).select("sha256", "segment", "first")
-    spans = places.join(hits, "segment").select(
+    spans = F.transform("windows", lambda w: F.struct(
+        F.lit(None).cast("binary").alias("parent"), w["first"].alias("first"), w["last"].alias("last"), F.col("copies").alias("n"),
+    ))
+    marked = stored(_cut(texts.withColumn("spans", spans), least, SHARES[0]), "marked")
+    hits = _hits(texts, marked, least, crowded, SHARES[1:])
+    spans = marked.select("sha256", "segment", "first").join(hits, "segment").select(
         "sha256", F.explode(F.transform("hits", lambda h: F.struct(
             (F.col("first") + h["first"]).alias("first"), (F.col("first") + h["last"]).alias("last"),
         ))).alias("s"),
