@@ -39,15 +39,22 @@ LARGEST = 2000
 BATCH, PAIRS = 60_000, 1 << 20
 
 
-def fingerprint(data: bytes) -> int:
-    """The fingerprint of a UTF-8 text, as a signed long."""
+def shingles(data: bytes, size: int) -> np.ndarray:
+    """Hashes (uint64) of all runs of `size` words of a UTF-8 text; of all its words where it has fewer."""
     import xxhash
 
     words = data.lower().split()
     if not words:
+        return np.empty(0, "<u8")
+    runs = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) > size else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in runs), "<u8")
+
+
+def fingerprint(data: bytes) -> int:
+    """The fingerprint of a UTF-8 text, as a signed long."""
+    hashes = shingles(data, 3)
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), "<u8")
     votes = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 14):
         votes += np.unpackbits(hashes[start:start + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
