@@ -25,7 +25,8 @@ scripts with the page. Long pages are read whole. Extra columns are ignored.
 
 import html as markup
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, deque
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -46,9 +47,14 @@ DROPPED = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 DROPPED_NAME = re.compile(
-    r"(?<![a-z])(ads?|adverts?|advertisements?|banner|sponsor(ed)?|promo(tion)?|comments?|disqus|replies|respond|sidebar|side-?nav|nav(bar|igation)?|menu|"
+    r"ads?|adverts?|advertisements?|banner|sponsor(ed)?|promo(tion)?|comments?|disqus|replies|respond|sidebar|sidenav|nav(bar|igation)?|menu|"
     r"breadcrumbs?|cookies?|consent|notice|notification|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|"
-    r"footer|header|masthead|copyright|login|search|toolbar|pagination|pager)(?![a-z])"
+    r"footer|header|masthead|copyright|login|search|toolbar|pagination|pager"
+)
+# Words that say no more than where or how a named part stands.
+PLACES = frozenset(
+    "area bar block bottom box button buttons container global inner items left link links list main outer primary right secondary side site slot "
+    "top unit widget wrap wrapper".split()
 )
 DROPPED_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -171,12 +177,66 @@ def _valid(sequence: list[tuple[int, int]]) -> bool:
     return len(tokens) % size == 0 and all(t == tokens[i % size] for i, t in enumerate(tokens))
 
 
-def _dropped(name: str, names: str | None) -> bool:
-    if name in DROPPED:
-        return True
+def _names_a_part(token: str) -> bool:
+    """Whether a class or id is a listed name: all its words are listed or say a place, and one is listed."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    listed = [bool(DROPPED_NAME.fullmatch(w)) for w in words]
+    return any(listed) and all(known or w in PLACES for known, w in zip(listed, words))
+
+
+def _named(name: str, names: str | None) -> bool:
+    """Whether a class, id or role says that the element is a part to be dropped."""
     if not names or name in ("html", "body"):
         return False
-    return bool(DROPPED_NAME.search(names)) or any(f"role={r}" in names.split() for r in DROPPED_ROLE)
+    tokens = re.sub(r"\b(?:class|id)=", "", names).split()
+    return any(map(_names_a_part, tokens)) or any(f"role={r}" in tokens for r in DROPPED_ROLE)
+
+
+def _encloses(lo: int, hi: int, places: list[int]) -> bool:
+    at = bisect_left(places, lo)
+    return at < len(places) and places[at] <= hi
+
+
+def _outside(places: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """Those of the ascending places that are in none of the spans."""
+    left, reached, rest = [], -1, deque(sorted(spans))
+    for place in places:
+        while rest and rest[0][0] <= place:
+            reached = max(reached, rest.popleft()[1])
+        if place > reached:
+            left.append(place)
+    return left
+
+
+def _dropped(parts: list) -> set[int]:
+    """The places of the opening tags whose elements are dropped.
+
+    A name or a form is a hint: it does not drop the page's <main>, nor its last <article>, nor what encloses them.
+    """
+    opened, ends, articles = [], {}, []
+    within, hinted, dropped = 0, [], set()
+    for i, (kind, name, _, names) in enumerate(parts):
+        if kind == "open":
+            if name in DROPPED and name != "form":
+                dropped.add(i)
+            elif name == "form" or _named(name, names):
+                (dropped.add if within else hinted.append)(i)
+            if name in ARTICLE:
+                if not within:
+                    articles.append(i)
+                within += 1
+            if name not in VOID:
+                opened.append(i)
+        elif kind == "close" and opened:
+            ends[opened.pop()] = i
+            within -= name in ARTICLE
+    end = lambda i: i if parts[i][1] in VOID else ends.get(i, len(parts))
+    articles = _outside(articles, [(i, end(i)) for i in dropped])
+    mains = [a for a in articles if parts[a][1] == "main"]
+    hinted = [i for i in hinted if not _encloses(i, end(i), mains)]
+    if not _outside(articles, [(i, end(i)) for i in hinted]):
+        hinted = [i for i in hinted if not _encloses(i, end(i), articles)]
+    return dropped.union(hinted)
 
 
 def extract(page: str, template: dict[int, int]) -> str:
@@ -192,6 +252,7 @@ def extract(page: str, template: dict[int, int]) -> str:
     bounds = sorted(i for s in valid.values() if len({t for t, _ in s}) == len(s) for _, i in s)
     borders = set(bounds)
 
+    gone = _dropped(parts)
     slot, blocks, current = 0, [], []
     state: list[tuple[bool, bool, bool]] = [(False, False, False)]  # dropped, in article, in a link
 
@@ -215,7 +276,7 @@ def extract(page: str, template: dict[int, int]) -> str:
             slot = i
         if kind == "open":
             dropped, article, link = state[-1]
-            own = (dropped or _dropped(name, names), article or name in ARTICLE, link or name == "a")
+            own = (dropped or i in gone, article or name in ARTICLE, link or name == "a")
             if name not in VOID:
                 state.append(own)
         elif len(state) > 1:
