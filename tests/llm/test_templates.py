@@ -27,3 +27,16 @@ NAMED = [
 @pytest.mark.parametrize("page, text", NAMED)
 def test_names(page, text):
     assert templates.extract(f"<body>{page}</body>", {}) == text
+
+
+def titled(n):
+    return (
+        f"<body><div id=menu><a href=/>Home</a></div><div id=content><h1>Title {n}</h1><p>First {n}</p><p>Second {n}</p>"
+        f"<ul><li>Item {n}</li><li><a href=/x>Linked {n}</a></li></ul><h2>Part {n}</h2><p>Third {n}</p></div><footer>no</footer></body>"
+    )
+
+
+@pytest.mark.parametrize("n", [1, 3, 12])
+def test_pages_without_an_article(spark, n):
+    parts = ("Title", "First", "Second", "Item", "Linked", "Part", "Third")
+    assert texts(spark, [titled(i) for i in range(n)]) == ["\n\n".join(f"{p} {i}" for p in parts) for i in range(n)]

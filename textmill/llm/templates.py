@@ -8,9 +8,8 @@ candidates for its template. A class is valid in a page if its tokens occur ther
 in turn, every one as often, in one order. The tokens of valid classes that occur
 once divide a page into slots; other valid classes must lie inside one slot and
 are repeated parts of its content. Slots in menus, headers, footers and the like
-are dropped, and the blocks of the article's slots are what remains; where no
-element says which slot is the article, the slot with the most text outside links
-is.
+are dropped, and the blocks of the article's slots are what are dropped, and the blocks of the article's slots are what remains; where no
+element says which slots are the article, all others are.
 
 Vectors are never gathered: a vector is known by its page count, its total and a
 linear sketch (the sum over pages of count times a hash of the page), so the
@@ -253,44 +252,34 @@ def extract(page: str, template: dict[int, int]) -> str:
     borders = set(bounds)
 
     gone = _dropped(parts)
-    slot, blocks, current = 0, [], []
-    state: list[tuple[bool, bool, bool]] = [(False, False, False)]  # dropped, in article, in a link
+    blocks, current = [], []
+    state: list[tuple[bool, bool]] = [(False, False)]  # dropped, in article
 
     def close_block():
-        text = " ".join(markup.unescape("".join(x for x, _ in current)).split())
+        text = " ".join(markup.unescape("".join(current)).split())
         if text:
-            links = sum(len(x) for x, link in current if link)
-            blocks.append((text, slot, state[-1][:2], links))
+            blocks.append((text, *state[-1]))
         current.clear()
 
     for i, (kind, name, _, names) in enumerate(parts):
         if kind == "text":
-            current.append((name, state[-1][2]))
+            current.append(name)
             continue
         if name in BLOCKS or name in DROPPED:
             close_block()
         elif name == "br":
-            current.append((" ", False))
-        if i in borders:
-            # Inline template tokens do not cut a block; it counts for the slot that it ends in.
-            slot = i
+            current.append(" ")
         if kind == "open":
-            dropped, article, link = state[-1]
-            own = (dropped or i in gone, article or name in ARTICLE, link or name == "a")
+            dropped, article = state[-1]
+            own = (dropped or i in gone, article or name in ARTICLE)
             if name not in VOID:
                 state.append(own)
         elif len(state) > 1:
             state.pop()
     close_block()
 
-    kept = [b for b in blocks if not b[2][0]]
-    inside = [b for b in kept if b[2][1]]
-    if not inside and kept:
-        weight = Counter()
-        for text, where, _, links in kept:
-            weight[where] += max(0, len(text) - links)
-        best = max(weight, key=lambda s: (weight[s], -s))
-        inside = [b for b in kept if b[1] == best]
+    kept = [b for b in blocks if not b[1]]
+    inside = [b for b in kept if b[2]] or kept
     return "\n\n".join(b[0] for b in inside)
 
 
