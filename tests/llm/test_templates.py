@@ -40,3 +40,24 @@ def titled(n):
 def test_pages_without_an_article(spark, n):
     parts = ("Title", "First", "Second", "Item", "Linked", "Part", "Third")
     assert texts(spark, [titled(i) for i in range(n)]) == ["\n\n".join(f"{p} {i}" for p in parts) for i in range(n)]
+
+
+def test_repeated_text(spark):
+    page = (
+        "<body>{open}<h1>Title {n}</h1><div class=line>Written by <b>our staff</b></div><p>Text {n} that is long enough to outweigh the rest of it</p>"
+        "<div class=box><p>Read more in our paper</p></div><p>Shared by <i>page {n}</i></p>{close}<div>All rights</div></body>"
+    )
+    for tag in ("article", "div"):
+        pages = [page.format(open=f"<{tag}>", close=f"</{tag}>", n=i) for i in range(6)]
+        assert texts(spark, pages) == [
+            f"Title {i}\n\nText {i} that is long enough to outweigh the rest of it\n\nShared by page {i}" for i in range(6)]
+
+
+def test_copies_are_not_template_text(spark):
+    page = "<body><article><h1>Title</h1><p>Text</p></article></body>"
+    assert texts(spark, [page] * 8) == ["Title\n\nText"] * 8
+
+
+def test_repeated_classes_lie_in_a_slot():
+    assert templates._in_slots([(1, 3), (2, 4), (1, 6), (2, 7)], [0, 5, 9])
+    assert not templates._in_slots([(1, 3), (2, 6)] * 2, [0, 5, 9])

@@ -1,23 +1,26 @@
 """Main text of web pages by deducing the template of each host.
 
 A page is read as tokens: opening and closing tags with the path of elements
-above them. Over the pages of a host every token has an occurrence vector (how
-often it occurs in each page). Tokens with equal vectors form an equivalence
-class; classes in at least half of the host's pages with two tokens or more are
-candidates for its template. A class is valid in a page if its tokens occur there
-in turn, every one as often, in one order. The tokens of valid classes that occur
-once divide a page into slots; other valid classes must lie inside one slot and
-are repeated parts of its content. Slots in menus, headers, footers and the like
-are dropped, and the blocks of the article's slots are what are dropped, and the blocks of the article's slots are what remains; where no
-element says which slots are the article, all others are.
+above them, and texts with theirs. Over the pages of a host every token has an
+occurrence vector (how often it occurs in each page). Tokens with equal vectors
+form an equivalence class; classes in at least half of the host's pages (a text:
+and in `TEXT_PAGES`) with two tokens or more are candidates for its template. A
+class is valid in a page if its tokens occur there in turn, every one as often, in
+one order. The tags of valid classes that occur once divide a page into slots; of
+other valid classes every round must lie inside one slot. Texts of valid classes
+are template text, and blocks of nothing else are dropped wherever they stand,
+unless they are more than half of what would be left: then the host repeats its
+articles. Menus, headers, footers and the like are dropped, and all other blocks
+remain: those inside <article> or <main> where there are any, and else those of
+all slots.
 
 Vectors are never gathered: a vector is known by its page count, its total and a
 linear sketch (the sum over pages of count times a hash of the page), so the
 pages of one host may be spread over all tasks, and partial sums are formed in
 each. A host's template has at most twice the tokens of an average page.
 
-Edge cases: a null or empty html gives an empty text. A page alone on its host is
-its own template. A page without a usable host is grouped under the empty host.
+Edge cases: a null or empty html gives an empty text. A host of
+fewer than five pages has no template text. A page without a usable host is grouped under the empty host.
 Repeated rows give equal rows. Unclosed elements end with their parents, unclosed
 scripts with the page. Long pages are read whole. Extra columns are ignored.
 """
@@ -34,6 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+# Pages that a text has to be on to be template text: fewer do not tell a template from copies of a page.
+TEXT_PAGES = 5
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math".split())
@@ -125,21 +131,31 @@ def token(kind, path, names) -> int:
     return _hash(f"{kind} {'/'.join(path)} {names or ''}")
 
 
+def _token(part) -> int | None:
+    """The token of a part of a page. A text is one by its words and path; a blank text is none."""
+    kind, name, path, names = part
+    if kind != "text":
+        return token(kind, path, names)
+    words = name.split()
+    return token(kind, path, " ".join(words)) if words else None
+
+
 def _tokens(page: str) -> Counter:
-    return Counter(token(kind, path, names) for kind, _, path, names in read(page) if kind != "text")
+    found = Counter((_token(part), part[0] == "text") for part in read(page))
+    return Counter({t: n for t, n in found.items() if t[0] is not None})
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, pages, total and the sketch of its occurrence vector, summed over the pages of the host."""
+    """host, token, text (whether it is one), pages, total and the sketch of its occurrence vector, summed over the pages of the host."""
     def run(batches):
-        sums: dict[tuple[str, int], list[int]] = {}
+        sums: dict[tuple[str, int, bool], list[int]] = {}
 
         def flush():
-            rows = [(h, t, *v) for (h, t), v in sums.items()]
+            rows = [(*key, *v) for key, v in sums.items()]
             sums.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, (pa.string(), *[pa.int64()] * 5))],
-                ["host", "token", "pages", "total", "low", "high"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4))],
+                ["host", "token", "text", "pages", "total", "low", "high"],
             )
 
         for batch in batches:
@@ -147,22 +163,22 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 host, text = host_of(url.as_py()), page.as_py() or ""
                 own = _hash(f"{page_id.as_py()} {url.as_py()} {text}") + (1 << 63)
                 low, high = own & 0x3FFFFFFF, own >> 34
-                for t, n in _tokens(text).items():
-                    v = sums.setdefault((host, t), [0] * 4)
+                for (t, is_text), n in _tokens(text).items():
+                    v = sums.setdefault((host, t, is_text), [0] * 4)
                     for i, x in enumerate((1, n, n * low, n * high)):
                         v[i] += x
                 if len(sums) > 50_000:
                     yield flush()
         yield flush()
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, pages long, total long, low long, high long")
-    return rows.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "low", "high")))
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, text boolean, pages long, total long, low long, high long")
+    return rows.groupBy("host", "token", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "low", "high")))
 
 
 def templates(counted: DataFrame) -> DataFrame:
     """One row per host: its template as an array of (token, class)."""
     host_pages = counted.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    often = counted.join(host_pages, "host").filter("2 * pages >= host_pages")
+    often = counted.join(host_pages, "host").filter("2 * pages >= host_pages").filter(~F.col("text") | (F.col("pages") >= TEXT_PAGES))
     same = often.groupBy("host", "pages", "total", "low", "high").agg(F.collect_set("token").alias("tokens"))
     large = same.filter(F.size("tokens") > 1).withColumn("class", F.xxhash64("pages", "total", "low", "high"))
     members = large.select("host", F.transform("tokens", lambda t: F.struct(t.alias("token"), F.col("class").alias("class"))).alias("m"))
@@ -176,6 +192,15 @@ def _valid(sequence: list[tuple[int, int]]) -> bool:
     return len(tokens) % size == 0 and all(t == tokens[i % size] for i, t in enumerate(tokens))
 
 
+def _in_slots(sequence: list[tuple[int, int]], bounds: list[int]) -> bool:
+    """Whether every round of a repeated class lies between two neighbouring bounds."""
+    size = len({t for t, _ in sequence})
+    return all(
+        bisect_left(bounds, sequence[start][1]) == bisect_left(bounds, sequence[start + size - 1][1])
+        for start in range(0, len(sequence), size)
+    )
+
+
 def _names_a_part(token: str) -> bool:
     """Whether a class or id is a listed name: all its words are listed or say a place, and one is listed."""
     words = [w for w in re.split(r"[^a-z]+", token) if w]
@@ -242,28 +267,31 @@ def extract(page: str, template: dict[int, int]) -> str:
     """Blocks of the article's slots, each on one line, joined by an empty line."""
     parts = list(read(page))
     places: dict[int, list[tuple[int, int]]] = {}
-    for i, (kind, _, path, names) in enumerate(parts):
-        if kind != "text":
-            t = token(kind, path, names)
-            if t in template:
-                places.setdefault(template[t], []).append((t, i))
+    for i, part in enumerate(parts):
+        t = _token(part)
+        if t in template:
+            places.setdefault(template[t], []).append((t, i))
     valid = {c: s for c, s in places.items() if _valid(s)}
-    bounds = sorted(i for s in valid.values() if len({t for t, _ in s}) == len(s) for _, i in s)
-    borders = set(bounds)
+    once = {c for c, s in valid.items() if len({t for t, _ in s}) == len(s)}
+    bounds = sorted(i for c in once for _, i in valid[c] if parts[i][0] != "text")
+    furniture = {i for c, s in valid.items() if c in once or _in_slots(s, bounds) for _, i in s if parts[i][0] == "text"}
 
     gone = _dropped(parts)
-    blocks, current = [], []
+    blocks, current, made = [], [], []
     state: list[tuple[bool, bool]] = [(False, False)]  # dropped, in article
 
     def close_block():
         text = " ".join(markup.unescape("".join(current)).split())
         if text:
-            blocks.append((text, *state[-1]))
+            blocks.append((text, *state[-1], all(i in furniture for i in made)))
         current.clear()
+        made.clear()
 
     for i, (kind, name, _, names) in enumerate(parts):
         if kind == "text":
             current.append(name)
+            if name.strip():
+                made.append(i)
             continue
         if name in BLOCKS or name in DROPPED:
             close_block()
@@ -280,6 +308,9 @@ def extract(page: str, template: dict[int, int]) -> str:
 
     kept = [b for b in blocks if not b[1]]
     inside = [b for b in kept if b[2]] or kept
+    own = [b for b in inside if not b[3]]
+    if 2 * sum(len(b[0]) for b in own) >= sum(len(b[0]) for b in inside):
+        inside = own
     return "\n\n".join(b[0] for b in inside)
 
 
