@@ -66,3 +66,14 @@ def running_totals(rows: DataFrame, key: str, spot: str, amount: str, ties=(), a
         .withColumn("before", F.col("_start") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
         .drop("_block", "_start")
     )
+
+
+def spread_join(rows: DataFrame, about: DataFrame, key: str, by: str, parts: int = 64) -> DataFrame:
+    """Left join of `rows` with `about`, which has one row per `key`, where a key may hold most of the rows.
+
+    A key's rows are dealt over `parts` by a hash of their column `by`, and the row
+    of `about` is repeated for the parts that the key has, so at most `parts` times.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    present = dealt.select(key, "_part").distinct()
+    return dealt.join(present.join(about, key), [key, "_part"], "left").drop("_part")

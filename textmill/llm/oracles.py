@@ -1,6 +1,6 @@
 """The operators that SQL can express, as DuckDB SQL over the same tables."""
 
-from . import mixing, nearest, quality
+from . import audit, mixing, nearest, periodic, quality, warc
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -111,4 +111,88 @@ _TOP = f"""
       select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from pairs)
     where rank <= 5"""
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_mix_sources": _MIX, "op5_exact_top_k": _TOP}
+_WARC = f"""
+    with p as (
+      select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+    o as (
+      select *, row_number() over same > 1 and payload_bytes >= {warc.LEAST} as again, first_value(page_id) over same as first
+      from p window same as (partition by payload_digest order by page_id nulls last))
+    select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+           case when again then first end as refers_to
+    from o"""
+
+# The CRC-32 polynomial is a fixed value of its definition.
+_CRC = """xor(list_reduce(string_split(cast(doc_id as varchar), ''), lambda crc, c:
+      list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end,
+                  xor(crc, cast(ascii(c) as bigint))), 4294967295), 4294967295)"""
+
+_RUNS = f"""
+    with d as (
+      select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) as ws from documents),
+    h as (
+      select *, len(ws) as n, crc % 10 = 0 and len(ws) > 0 as changed, (crc // 10) % greatest(len(ws), 1) as a, (crc // 10) % 8 as m
+      from (select d.*, c.crc from d left join crcs c using (doc_id))),
+    w as (
+      select rid, i, ws[1 + case when changed and i >= a then a + (i - a) % (1 + (n - a) // (3 + m)) else i end] as w, n
+      from (select *, unnest(range(n)) as i from h)),
+    equal as (
+      select x.rid, y.i - x.i as q, x.i from w x join w y on x.rid = y.rid and x.w = y.w and y.i > x.i and {periodic.TIMES} * (y.i - x.i) <= x.n),
+    islands as (
+      select rid, q, min(i) as s, count(*) + q as len
+      from (select *, i - row_number() over (partition by rid, q order by i) as g from equal) group by rid, q, g),
+    runs as (
+      select rid, s, len, min(q) as q from islands where len >= greatest({periodic.LEAST}, {periodic.TIMES} * q) group by rid, s, len),
+    dropped as (select distinct rid, unnest(range(s + q, s + len)) as i from runs),
+    listed as (
+      select rid, count(*) as n_runs, arg_max(struct_pack(s := s, l := len, q := q), (len::double / q, -s, -q)) as best,
+             string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as lines
+      from runs group by rid),
+    kept as (
+      select rid, string_agg(w, ' ' order by i) as text from w anti join dropped using (rid, i) group by rid)
+    select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.q as period,
+           best.l * 1000 // best.q as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+           sha256(coalesce(kept.text, '')) as collapsed_sha256, n as n_words
+    from h left join listed using (rid) left join kept using (rid)"""
+_RUNS = _RUNS.replace("with d as", f"with crcs as (select distinct doc_id, {_CRC} as crc from documents),\n    d as", 1)
+
+_AUDIT = f"""
+    with f as (
+      select coalesce(source, '') as part, doc_id,
+             case when len(ws) < 50 then 'A' else '' end
+             || case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end
+             || case when 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) then 'C' else '' end
+             || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+             || case when coalesce(doc_id > first, first is not null) then 'E' else '' end as fails
+      from (select *, regexp_extract_all(text, {_WORD}) as ws, min(doc_id) over (partition by text) as first
+            from (select doc_id, source, coalesce(text, '') as text from documents))),
+    l as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+    c as (
+      select part, fails, count(*) as n, count(*) filter (good) as n_good, count(*) filter (toxic) as n_toxic
+      from f left join l using (doc_id) group by part, fails),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+    orders as (
+      select a.x || b.x || c.x || d.x || e.x as filter_order from letters a, letters b, letters c, letters d, letters e
+      where length('ABCDE') = len(list_distinct([a.x, b.x, c.x, d.x, e.x]))),
+    steps as (
+      select filter_order, cast(step as int) as step, substr(filter_order, step, 1) as filter, substr(filter_order, 1, step - 1) as earlier
+      from (select filter_order, unnest([1, 2, 3, 4, 5]) as step from orders)),
+    cases as (
+      select part, filter_order, step, filter, n, n_good, n_toxic, contains(fails, filter) as own,
+             translate(fails, earlier, '') <> fails as before, fails = filter as alone
+      from c cross join steps),
+    figures as (
+      select part, filter_order, step, filter,
+             coalesce(sum(n) filter (not own and not before), 0) as kept, coalesce(sum(n) filter (own and not before), 0) as removed,
+             coalesce(sum(n) filter (own and before), 0) as redundant, coalesce(sum(n) filter (alone), 0) as unique_fails,
+             coalesce(sum(n_good) filter (own and not before), 0) as good_lost,
+             coalesce(sum(n_toxic) filter (own and not before), 0) as toxic_lost
+      from cases group by part, filter_order, step, filter)
+    select part, filter_order, step, filter,
+           {", ".join(f"cast({name} as bigint) as {name}" for name in audit.FIGURES[:-1])},
+           cast(sum(removed) over (partition by part, filter) as bigint) as shapley
+    from figures"""
+
+ORACLES = {
+    "op1_quality_rules": _quality(), "op2_mix_sources": _MIX, "op5_exact_top_k": _TOP,
+    "op11_warc": _WARC, "op12_periodic_runs": _RUNS, "op13_filter_audit": _AUDIT,
+}

@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nearest, quality, repeats, secrets, sharding, simhash, templates, toxicity
+from ..session import new_folder
+from . import audit, bpe, mixing, nearest, periodic, quality, repeats, secrets, sharding, simhash, templates, toxicity, warc
 from .common import stored
 from .oracles import ORACLES  # noqa: F401
 
@@ -72,7 +73,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_warc(spark, sf_dir):
+    archives = new_folder(spark, "op11-warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), archives)
+    records = stored(warc.read_archives(spark, archives, with_payload=False), "op11-records")
+    found = warc.with_originals(records)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.with_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_mix_sources, op3_byte_bpe, op4_simhash, op5_exact_top_k, op6_repeated_strings,
-    op7_sharding, op8_main_text, op9_secret_scan, op10_toxicity,
+    op7_sharding, op8_main_text, op9_secret_scan, op10_toxicity, op11_warc, op12_periodic_runs, op13_filter_audit,
 )}
