@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm import bpe, mixing, quality, secrets, similar
+from textmill.llm import bpe, mixing, quality, secrets, simhash
 from textmill.llm.common import stored
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -30,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by a similarity of 0.8 or more in five-word shingles."""
-    return similar.one_of_each(docs)
+    """One document of each group whose fingerprints are linked, with the shingles and the radius of op4_simhash."""
+    return simhash.one_of_each(docs)
 
 
 def redacted_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
