@@ -91,16 +91,21 @@ def _line(name: str, value: Column) -> Column:
 def resolved(pages: DataFrame, least=LEAST) -> DataFrame:
     """Rows of `described` with copy (1 for the first of rows repeated in full), record_type and the original's columns.
 
-    The payloads move once: rows and decisions meet by the row's key, by which the
-    copies of a row are numbered as well.
+    Decisions are rows only for payloads or rows that occur more than once. Where
+    they are few by their measured size they are broadcast, and payloads stay where
+    they are. Only rows repeated in full have to meet, to be numbered.
     """
     headers = stored(described(pages).drop("payload"), "warc-headers")
-    decided = spread_join(headers.distinct(), originals(headers, least), "digest", "key").filter("first_key is not null")
-    decided = decided.select("key", "first_key", "first_page_id", "first_url")
+    distinct = headers.groupBy(*headers.columns).agg(F.count(F.lit(1)).alias("n_same"))
+    known = spread_join(distinct, originals(headers, least), "digest", "key")
+    decided = known.filter("first_key is not null or n_same > 1").select("key", "n_same", "first_key", "first_page_id", "first_url")
+    decided = stored(decided, "warc-decisions")
+    rows = described(pages)
+    single = rows.join(decided, "key", "left").filter("n_same is null or n_same = 1").withColumn("copy", F.lit(1))
     copy = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    rows = described(pages).join(decided, "key", "left").withColumn("copy", copy)
+    repeated = rows.join(decided.filter("n_same > 1"), "key").withColumn("copy", copy)
     original = F.col("first_key").isNull() | ((F.col("first_key") == F.col("key")) & (F.col("copy") == 1))
-    return rows.withColumn("record_type", F.when(original, "response").otherwise("revisit"))
+    return single.unionByName(repeated).withColumn("record_type", F.when(original, "response").otherwise("revisit"))
 
 
 def written(rows: DataFrame, date: str) -> DataFrame:
