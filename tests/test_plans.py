@@ -101,6 +101,7 @@ def test_index_is_read_by_bucket(spark, tmp_path):
     index = spark.read.parquet(str(tmp_path))
     found = approx_top_k(index, asked, 5, share=0.1)
     assert "CartesianProduct" not in plan(found)
+    assert "PartitionFilters: [bucket" in plan(found) or "PartitionFilters: [isnotnull(bucket" in plan(found)
     assert found.count() == 5 and found.filter("id = 3 and rank = 1").count() == 1
 
 

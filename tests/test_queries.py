@@ -43,9 +43,10 @@ def test_query(spark, tables, name):
         assert as_rows(found.columns, rows) == as_rows(columns, cursor.fetchall())
 
 
-def test_recall(spark):
-    rows = entries.queries()["topk_lsh_recall"](spark, FOLDER).collect()
-    assert sum(row.n_found for row in rows) / sum(row.n_exact for row in rows) >= 0.7
+@pytest.mark.parametrize("name", ["topk_lsh_recall", "topk_lists_recall"])
+def test_recall(spark, name):
+    rows = entries.queries()[name](spark, FOLDER).collect()
+    assert sum(row.n_found for row in rows) / sum(row.n_exact for row in rows) >= 0.9
 
 
 def test_entry(spark):

@@ -1,11 +1,14 @@
 """Embedding and search against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions.vectors import cosine_distance
 from textmill.operators import embedding as em
+from textmill.operators import lists as li
 from textmill.operators import search as se
 
 
@@ -66,9 +69,66 @@ def test_approximate_search(spark):
     exact = brute(vectors, queries, 5, list(range(500)))
     everywhere = se.approx_top_k(index, asked, 5, share=1.0, dim=16)
     assert found(everywhere) == exact
-    near = found(se.approx_top_k(index, asked, 5, share=0.4, dim=16))
+    near = found(se.approx_top_k(index, asked, 5, dim=16))
+    hits = sum(len(set(near.get(q, [])) & set(exact[q])) for q in exact)
+    assert hits / 100 >= 0.9
+
+
+def clustered(n, clusters, dim, seed):
+    made = np.random.default_rng(seed)
+    centres = made.standard_normal((clusters, dim))
+    return centres[made.integers(0, clusters, n)] + 0.35 * made.standard_normal((n, dim))
+
+
+def scanned(found_rows):
+    """Rows that the scan of the table of lists gave, by its metric."""
+    found_rows.collect()
+    leaves = found_rows._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans if "list_id" in s.simpleString(2000))
+
+
+def test_inverted_lists_read_only_their_partitions(spark, tmp_path):
+    vectors, queries = clustered(3000, 40, 16, 4), clustered(5, 40, 16, 4)
+    ids, path = list(range(3000)), str(tmp_path / "lists")
+    li.write_lists(frame(spark, vectors, "id", ids), path, 24, k=5)
+    index = li.read_lists(spark, path)
+    asked = frame(spark, queries, "query_id")
+    exact = brute(vectors, queries, 5, ids)
+    assert found(li.top_k_lists(index, asked, 5, 24)) == exact
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = li.top_k_lists(index, asked, 5)
+        read = scanned(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    near = found(rows)
     hits = sum(len(set(near.get(q, [])) & set(exact[q])) for q in exact)
-    assert hits / 100 >= 0.7
+    assert hits / 25 >= 0.9
+    assert 0 < read < 0.4 * 3000
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*list_id", plan)
+    share = {r.query_id: r.share for r in li.share_read(index, asked).collect()}
+    assert read / 3000 <= sum(share.values()) and max(share.values()) < 0.4
+
+
+def test_inverted_lists_on_odd_vectors(spark, tmp_path):
+    """Null vectors take no part, zero vectors are last, repeated rows and a hot list stay whole."""
+    rows = [(i, [1.0, 0.0, 0.1 * (i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.1])]
+    rows += [(70 + i, [0.0, 1.0, 0.01 * i]) for i in range(5)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    path = str(tmp_path / "odd")
+    li.write_lists(vectors, path, 3, k=2)
+    index = li.read_lists(spark, path)
+    assert index.rows.count() == len(rows) - 1 and index.sizes.sum() == len(rows) - 1
+    asked = spark.createDataFrame([(1, [0.0, 1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
+    everything = li.top_k_lists(index, asked, 100, probes=9).orderBy("rank").collect()
+    assert [r.id for r in everything[:5]] == [70, 71, 72, 73, 74] and len(everything) == len(rows) - 1
+    assert {r.query_id for r in everything} == {1}
+    with pytest.raises(ValueError, match="direction"):
+        li.write_lists(vectors.filter("id in (60, 61)"), path, 3)
+    with pytest.raises(ValueError, match="lists"):
+        li.train(vectors, 0)
 
 
 def test_top_k_of_a_text(spark):

@@ -21,6 +21,7 @@ from textmill import schemas
 from textmill.functions.text import not_blank
 from textmill.functions.vectors import RANK_PLACES
 from textmill.operators.embedding import HASH_DIM, Provider, embed
+from textmill.session import new_folder
 
 # Rows of a block; with 1,536 numbers a vector, 12 MB of queries meet 48 MB of vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
@@ -229,15 +230,18 @@ def with_bucket(vectors: DataFrame, bits: int = 8, dim: int = HASH_DIM, seed: in
 
 
 def approx_top_k(
-    index: DataFrame, queries: DataFrame, k: int = schemas.TOP_K, bits: int = 8, share: float = 0.25,
+    index: DataFrame, queries: DataFrame, k: int = schemas.TOP_K, bits: int = 8, share: float = 0.9,
     dim: int = HASH_DIM, seed: int = 0, vector_id: str = "id", query_id: str = "query_id",
 ) -> DataFrame:
     """As `top_k_batch`, but a query meets only the `share` of the buckets nearest to it.
 
     Near are buckets on the other side of planes the query is close to (Lv et al. 2007).
     `share = 1` looks everywhere and is exact. The buckets of a query are found in the
-    tasks, in the order of their cost, and none but those asked for is written down.
+    tasks, in the order of their cost, and the folders of no others are opened. Signs
+    know nothing of how vectors are spread: `lists` reads less for the same recall.
     """
+    if bits > 16:
+        raise ValueError(f"{bits} bits, expected at most 16")
     across = planes(bits, dim, seed)
     wanted = max(1, round(share * (1 << bits)))
     kind = queries.schema[query_id]
@@ -257,8 +261,13 @@ def approx_top_k(
 
     routed = queries.filter("embedding is not null").select(query_id, "embedding").mapInArrow(
         probe, T.StructType([T.StructField("bucket", T.IntegerType()), kind, queries.schema["embedding"]]))
+    folder = new_folder(queries.sparkSession, "routed")
+    routed.write.parquet(folder)
+    routed = queries.sparkSession.read.schema(routed.schema).parquet(folder)
+    # At most 2 ** bits numbers, as a literal filter on the partitions of the index.
+    buckets = [row.bucket for row in routed.select("bucket").distinct().collect()]
     asked = _packed(routed, query_id, dim, QUERY_BLOCK, by="bucket")
-    rows = _packed(index, vector_id, dim, VECTOR_BLOCK, by="bucket")
+    rows = _packed(index.filter(F.col("bucket").isin(sorted(buckets))), vector_id, dim, VECTOR_BLOCK, by="bucket")
     return _meet(rows, asked, k, dim, kind, index.schema[vector_id])
 
 

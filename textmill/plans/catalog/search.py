@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions.vectors import cosine_distance
 from textmill.operators import embedding as em
+from textmill.operators import lists as li
 from textmill.operators import search as se
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import HASHED
@@ -232,18 +233,46 @@ def topk_lsh_everywhere(spark, folder):
     return _rounded(near, "query_id", "vec_id")
 
 
+def _hits(exact, near, *more):
+    """Per query, how many of the exact nearest the other search found."""
+    hit = near.select("query_id", exact.columns[2], F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", exact.columns[2]], "left").groupBy("query_id", *more).agg(
+        F.count("*").alias("n_exact"), F.count("hit").alias("n_found"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
 @query()
 def topk_lsh_recall(spark, folder):
     """Hits of the approximate search among the exact ten nearest, per label. The given
-    vectors are far apart (no neighbour above cosine 0.5), so half of the buckets are read."""
+    vectors are far apart (no neighbour above cosine 0.5), so nine in ten buckets are read."""
     vectors = view(spark, folder, "chunk_vectors")
     queries = label_queries(spark, folder)
     path = new_folder(spark, "index")
     write_index(se.with_bucket(vectors.select("vec_id", "embedding")), path, "vec_id")
     exact = se.top_k_batch(vectors, queries, 10, vector_id="vec_id")
-    near = se.approx_top_k(spark.read.parquet(path), queries, 10, share=0.5,
-                           vector_id="vec_id")
-    hit = near.select("query_id", "vec_id", F.lit(1).alias("hit"))
-    return exact.join(hit, ["query_id", "vec_id"], "left").groupBy("query_id").agg(
-        F.count("*").alias("n_exact"), F.count("hit").alias("n_found"),
-        (F.count("hit") / F.count("*")).alias("recall"))
+    return _hits(exact, se.approx_top_k(spark.read.parquet(path), queries, 10, vector_id="vec_id"))
+
+
+@query("chunk_vectors", _TOPK_BATCH)
+def topk_lists_everywhere(spark, folder):
+    """The search in inverted lists is exact where every list is asked."""
+    path = new_folder(spark, "lists")
+    li.write_lists(view(spark, folder, "chunk_vectors").select("vec_id", "embedding"), path, 16, "vec_id")
+    index = li.read_lists(spark, path)
+    return _rounded(li.top_k_lists(index, label_queries(spark, folder), 10, 16, "vec_id"), "query_id", "vec_id")
+
+
+@query()
+def topk_lists_recall(spark, folder):
+    """Hits among the exact ten nearest for every twentieth document, and the share of the rows it read.
+
+    How many lists are asked is what the table measured on rows of its own when it was written.
+    """
+    path = new_folder(spark, "lists")
+    document_vectors(spark, folder).write.parquet(f"{path}/vectors")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    queries = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    li.write_lists(vectors, path, 32, "doc_id")
+    index = li.read_lists(spark, path)
+    exact = se.top_k_batch(vectors, queries, 10, vector_id="doc_id")
+    hits = _hits(exact, li.top_k_lists(index, queries, 10, vector_id="doc_id"))
+    return hits.join(li.share_read(index, queries), "query_id")
