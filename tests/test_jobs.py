@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from textmill.plans import ingest as jobs
 from textmill.sources.files import scan_text_dir, stream_text_dir
 from textmill.sources.messages import load_content, missing_content, one_per_url, stream_messages, with_url
+from textmill.operators.embedding import HashProvider
 from textmill.sources.vector_table import append_rows, read_errors, read_vectors
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
-from textmill.streaming.sinks import batch_folder, compact_versions, newest_versions, run_available
+from textmill.streaming import ledger as lg
+from textmill.streaming import levels as lv
+from textmill.streaming.levels import newest_versions
+from textmill.streaming.sinks import batch_folder, run_available
 
 LONG = "\n\n".join(f"paragraph {i} has five words" for i in range(6))
 
@@ -244,15 +248,103 @@ def test_dedup_over_two_runs(spark, tmp_path):
     assert run((60, "a"), (61, "c")) == ["a", "b", "c"]
 
 
-def test_newest_versions(spark, tmp_path):
-    write = batch_folder(str(tmp_path))
-    write(spark.createDataFrame([("k", 1), ("l", 1)], "k string, n int"), 0)
-    write(spark.createDataFrame([("k", 2)], "k string, n int"), 1)
-    assert {tuple(r) for r in newest_versions(spark, str(tmp_path), ["k"]).collect()} == {("k", 2), ("l", 1)}
-    small = str(tmp_path / "small")
-    compact_versions(spark, str(tmp_path), ["k"], small)
-    batch_folder(small)(spark.createDataFrame([("l", 3)], "k string, n int"), 2)
-    assert {tuple(r) for r in newest_versions(spark, small, ["k"]).collect()} == {("k", 2), ("l", 3)}
+def test_versions_fold_into_few_folders(spark, tmp_path):
+    """After a hundred batches a read opens few segments, and the table is that of all batches."""
+    path, want = str(tmp_path / "v"), {}
+    write = lv.versions_sink(path, ["k"], fan=4, grace=0)
+    for batch in range(100):
+        rows = [(k, batch) for k in {"a" if batch % 2 else None, f"k{batch % 30}", f"once{batch}"}]
+        want.update(rows)
+        write(spark.createDataFrame(rows, "k string, n int").coalesce(1), batch)
+        if batch in (3, 17, 63):  # a batch is repeated, as after a failure
+            write(spark.createDataFrame(rows, "k string, n int").coalesce(1), batch)
+        if batch in (0, 5, 63, 99):
+            assert {tuple(r) for r in newest_versions(spark, path, ["k"]).collect()} == set(want.items())
+    there = lv._committed(spark, path)
+    assert lv.cover(there) == [(0, 63), (64, 79), (80, 95), (96, 99)]
+    assert lv.cover(there, below=99)[-1][1] == 98
+    assert len(there) <= 2 * 4 * 4
+    assert lv.open_segments(spark, str(tmp_path / "none")) is None
+
+
+def test_segments_wait_for_their_readers(spark, tmp_path):
+    path = str(tmp_path)
+    write = lv.versions_sink(path, ["k"], fan=2)
+    for batch in range(4):
+        write(spark.createDataFrame([("k", batch)], "k string, n int"), batch)
+    assert len(lv._committed(spark, path)) == 7
+    assert lv.cover({(0, 0), (1, 1), (0, 1), (2, 2)}) == [(0, 1), (2, 2)]
+    assert lv.cover({(0, 0), (1, 1), (0, 1), (2, 2)}, below=1) == [(0, 0)]
+
+
+class Flaky(HashProvider):
+    """A model that cannot be reached for some texts."""
+
+    def __init__(self, word, dim=64):
+        super().__init__(dim)
+        self.word = word
+
+    def __reduce__(self):
+        return Flaky, (self.word, self.dim)
+
+    def __call__(self, texts):
+        if any(self.word in text for text in texts):
+            raise ConnectionError("model is down")
+        return super().__call__(texts)
+
+
+def test_work_lost_in_an_outage_is_done_again(spark, tmp_path):
+    inbox, out = tmp_path / "inbox", str(tmp_path / "out")
+    inbox.mkdir()
+    small = {"max_words": 12, "min_words": 6, "defaults": (1, 2)}
+
+    def run(name, urls, provider=None, **options):
+        (inbox / name).write_text("\n".join(json.dumps({"url": u}) for u in urls))
+        source = stream_messages(spark, str(inbox), files_at_once=1)
+        si.stream_ingest(source, files(spark), f"{out}/t", f"{out}/ev", f"{out}/c", provider=provider, **small, **options)
+        rows = read_vectors(spark, f"{out}/t")
+        assert rows.count() == rows.select("id").distinct().count()
+        return rows.count(), {r.url: (r.outcome, r.attempts) for r in lg.read_ledger(spark, si.ledger_path(f"{out}/t")).collect()}
+
+    n, known = run("1.json", ALL[:5], Flaky("paragraph"))
+    assert n == 0 and known == {
+        ALL[0]: ("failed", 1), ALL[1]: ("failed", 1), ALL[2]: ("rejected", 1), ALL[3]: ("empty", 1), ALL[4]: ("missing", 1)}
+    n, known = run("2.json", ALL[:5], Flaky("paragraph 5"))  # one chunk of each file fails
+    assert n == 4 and known[ALL[0]] == ("failed", 2) and known[ALL[2]] == ("rejected", 1) and known[ALL[4]] == ("missing", 2)
+    n, known = run("3.json", ALL[:2])
+    assert n == 6 and known[ALL[0]] == ("stored", 3)
+    n, known = run("4.json", ALL, max_attempts=2)
+    assert n == 9 and known[ALL[0]] == ("stored", 3) and known[ALL[4]] == ("missing", 2)
+    reasons = {r.url: r.reason for r in lg.read_ledger(spark, si.ledger_path(f"{out}/t")).collect()}
+    assert reasons[ALL[0]] is None and reasons[ALL[4]] == "content not found"
+
+
+def test_runs_of_batch_jobs_enter_the_ledger(spark, tmp_path):
+    table, inbox = str(tmp_path / "t"), tmp_path / "inbox"
+    inbox.mkdir()
+    small = {"max_words": 12, "min_words": 6}
+    jobs.run_messages(with_url(messages(spark, ALL[0])), files(spark), table, **small)
+    (inbox / "1.json").write_text(json.dumps({"url": ALL[0]}) + "\n" + json.dumps({"url": ALL[1]}))
+    si.stream_ingest(stream_messages(spark, str(inbox)), files(spark), table, str(tmp_path / "ev"), str(tmp_path / "c"), **small)
+    assert read_vectors(spark, table).count() == 6
+
+
+def test_a_batch_reads_its_share_of_the_ledger(spark, tmp_path):
+    """The ledger is opened in the parts of a batch's URLs, and URLs where a hash was met."""
+    path = str(tmp_path)
+    rows = spark.range(5000).select(
+        F.concat(F.lit("/f/"), "id").alias("url"), F.lit(0).alias("chunk_no"), F.lit("stored").alias("outcome"),
+        F.lit(None).cast("string").alias("error"))
+    lg.record(spark.createDataFrame([], lg.COLUMNS), rows, path, "s", 0)
+    asked = spark.createDataFrame([("/f/77",), ("/new/1",)], "url string")
+    known = lg.look_up(asked, path, "s", 1)
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.url for r in known.collect()] == ["/f/77"]
+    parts = {r.part for r in spark.createDataFrame([("/f/77",)], "url string").withColumns(lg._place(F.col("url"))).collect()}
+    assert f"part#" in plan and all(f"= {p})" in plan or f"IN ({p})" in plan for p in parts)
+    read = spark.read.parquet(lv.segment(f"{path}/s", (0, 0))).filter(F.col("part").isin(list(parts))).count()
+    assert 0 < read < 5000 / 20
+    assert lg.look_up(asked, path, "s", 0).count() == 0
 
 
 def test_embedding_errors_are_kept_apart(spark):

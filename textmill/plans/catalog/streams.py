@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textmill.operators import counters as ct
+from textmill.operators.embedding import HashProvider
 from textmill.plans.catalog.ingest import INGEST_MS, INGEST_SQL, chunk_columns
 from textmill.plans.catalog.metrics import _WINDOWS, HOUR, LIMITS, LIVENESS_SQL, REGISTRY_SQL, timed, with_presence
 from textmill.plans.catalog.registry import query
@@ -31,6 +32,36 @@ def stream_ingest_chunks(spark, folder):
     return chunk_columns(read_vectors(spark, f"{out}/table"))
 
 
+class Outage(HashProvider):
+    """The hashing model, out of reach for every text whose length is a multiple of three."""
+
+    def __reduce__(self):
+        return Outage, (self.dim,)
+
+    def __call__(self, texts):
+        if any(len(text) % 3 == 0 for text in texts):
+            raise ConnectionError("model is down")
+        return super().__call__(texts)
+
+
+@query("messages", INGEST_SQL)
+def stream_redelivery(spark, folder):
+    """Work that an outage lost comes again, with what was stored and what was not yet sent.
+
+    Three batches: half of the messages while the model fails on a third of the chunks, that
+    half again while it fails still, and then all messages. Nothing is lost or stored twice.
+    """
+    out = new_folder(spark, "stream-redelivery")
+    messages = view(spark, folder, "messages")
+    files = view(spark, folder, "src_docs")
+    for rows, provider in ((messages.filter("msg_id % 2 = 0"), Outage()), (messages.filter("msg_id % 2 = 0"), Outage()), (messages, None)):
+        rows.write.mode("append").parquet(f"{out}/queue")
+        queue = spark.readStream.schema(messages.schema).parquet(f"{out}/queue")
+        si.stream_ingest(queue, files, f"{out}/table", f"{out}/events", f"{out}/checkpoint", provider=provider,
+                         max_words=300, min_words=100, ingest_ms=F.lit(INGEST_MS))
+    return chunk_columns(read_vectors(spark, f"{out}/table"))
+
+
 @query("", """
     select distinct '/inbox/' || user_id::varchar || '-' || event_type || '.txt' as url from events""")
 def stream_dedup(spark, folder):

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill import schemas
-from textmill.schemas import EMPTY, MISSING, REJECTED, STORED
+from textmill.schemas import EMPTY, FAILED, MISSING, REJECTED, STORED
 from textmill.functions.metadata import build_metadata, no_metadata
 from textmill.functions.refnums import parse_refnums, refnum_error, resolve_refnums
 from textmill.functions.text import not_blank
@@ -31,8 +31,8 @@ def classified(rows: DataFrame, defaults=schemas.DEFAULT_REFNUMS) -> DataFrame:
 
 
 def _finished(rows: DataFrame, with_metadata: bool, defaults, ingest_ms: Column,
-              provider: Provider | None, dim: int) -> DataFrame:
-    """Metadata, id, vector and outcome of rows with `url, chunk_no, content`."""
+              provider: Provider | None, dim: int, done: DataFrame | None = None) -> DataFrame:
+    """Metadata, id, vector and outcome of rows with `url, chunk_no, content`, without the ids in `done`."""
     if with_metadata:
         rows = classified(rows, defaults)
         refnums = F.col("document_type"), F.col("refnum1"), F.col("refnum2")
@@ -51,12 +51,15 @@ def _finished(rows: DataFrame, with_metadata: bool, defaults, ingest_ms: Column,
         "_text": F.when(refused.isNull(), F.col("content")),
         "id": row_id(F.col("url"), F.col("chunk_no"), F.col("content")),
     })
+    if done is not None:
+        rows = rows.join(done, "id", "left_anti")
     made = embed(rows, provider, dim, text="_text")
     error = F.coalesce("_refused", "error", F.when(F.col("_missing"), NOT_FOUND))
     outcome = (
         F.when(F.col("_missing"), MISSING)
         .when(F.col("chunk_no").isNull(), EMPTY)
-        .when(error.isNotNull(), REJECTED)
+        .when(F.col("_refused").isNotNull(), REJECTED)
+        .when(F.col("error").isNotNull(), FAILED)
         .otherwise(STORED)
     )
     return made.withColumns({"error": error, "outcome": outcome}).drop("_refused", "_text", "_missing")
@@ -67,13 +70,14 @@ def ingest(
     defaults=schemas.DEFAULT_REFNUMS, ingest_ms: Column | None = None,
     provider: Provider | None = None, dim=HASH_DIM,
     max_words=schemas.MAX_WORDS, min_words=schemas.MIN_WORDS, overlap_words=0,
-    parts: int | None = None,
+    parts: int | None = None, done: DataFrame | None = None,
 ) -> DataFrame:
     """Messages with a `url` to rows of the vector table, with an `outcome` each.
 
     Only a `stored` row belongs in the table. A file without content or without any
     chunk still has one row, so that every message can be accounted for. The join is
-    the only possible shuffle of the texts.
+    the only possible shuffle of the texts. `done` has ids of chunks that an earlier attempt
+    has stored; they are not embedded again.
     """
     packed = pack_chunks(
         work_documents(messages, files, parts), max_words=max_words, min_words=min_words, overlap_words=overlap_words
@@ -82,7 +86,7 @@ def ingest(
     chunks = packed.select(*keep, F.posexplode_outer("chunks").alias("chunk_no", "_chunk")).select(
         *keep, "chunk_no", "_chunk.n_words", "_chunk.content"
     )
-    return _finished(chunks, with_metadata, defaults, _now_ms(ingest_ms), provider, dim)
+    return _finished(chunks, with_metadata, defaults, _now_ms(ingest_ms), provider, dim, done)
 
 
 def ingest_files(
@@ -104,18 +108,18 @@ def stored(rows: DataFrame) -> DataFrame:
 
 
 def rejected(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("outcome").isin(REJECTED, MISSING)).select(
+    return rows.filter(F.col("outcome").isin(REJECTED, FAILED, MISSING)).select(
         "url", "chunk_no", "document_type", "refnum1", "refnum2", "error"
     )
 
 
 def file_progress(rows: DataFrame, batch=schemas.OUTER_BATCH) -> DataFrame:
     """Per file: chunks, stored, share done, batches, words lost to small chunks."""
-    chunk = F.col("outcome").isin(STORED, REJECTED)
+    chunk = F.col("outcome").isin(STORED, REJECTED, FAILED)
     per_file = rows.groupBy("url").agg(
         F.count(F.when(chunk, True)).alias("n_chunks"),
         F.count(F.when(F.col("outcome") == STORED, True)).alias("n_stored"),
-        F.count(F.when(F.col("outcome") == REJECTED, True)).alias("n_rejected"),
+        F.count(F.when(F.col("outcome").isin(REJECTED, FAILED), True)).alias("n_rejected"),
         F.max("dropped_words").alias("dropped_words"),
         F.max((F.col("outcome") == MISSING).cast("int")).alias("missing"),
     )

@@ -88,4 +88,5 @@ VECTOR_ROW = T.StructType(
         T.StructField("outcome", T.StringType()),
     ]
 )
-STORED, REJECTED, MISSING, EMPTY = "stored", "rejected", "missing", "empty"
+# Refused by a rule, or not embedded by the provider: the first stays so, the second is tried again.
+STORED, REJECTED, FAILED, MISSING, EMPTY = "stored", "rejected", "failed", "missing", "empty"

@@ -37,6 +37,18 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return _filesystem(spark, path).exists(_path(spark, path))
 
 
+def child_folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """Names of the folders in a folder, and when they were written; none if it does not exist."""
+    if not folder_exists(spark, path):
+        return []
+    found = _filesystem(spark, path).listStatus(_path(spark, path))
+    return sorted((f.getPath().getName(), f.getModificationTime() / 1000) for f in found if f.isDirectory())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    _filesystem(spark, path).delete(_path(spark, path), True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

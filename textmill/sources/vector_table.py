@@ -48,6 +48,11 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_TABLE).parquet(path)
 
 
+def read_batch(spark: SparkSession, path: str, run: str, batch_id: int) -> DataFrame:
+    """The rows of one batch; no other folder is listed or opened."""
+    return spark.read.schema(_TABLE).option("basePath", path).parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; only their folders are read."""
     stored = read_rows(spark, path).filter(F.col("outcome") == schemas.STORED)
@@ -56,7 +61,7 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """Refused chunks and missing files, with the reason."""
-    failed = read_rows(spark, path).filter(F.col("outcome").isin(schemas.REJECTED, schemas.MISSING))
+    failed = read_rows(spark, path).filter(F.col("outcome").isin(schemas.REJECTED, schemas.FAILED, schemas.MISSING))
     return failed.select("url", "chunk_no", "document_type", "refnum1", "refnum2", "error", "run", "batch_id")
 
 

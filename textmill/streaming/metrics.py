@@ -11,9 +11,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from textmill import schemas
 from textmill.functions.status import is_heartbeat
 from textmill.operators.counters import INSTANCE, instance_registry, window_deltas
-from textmill.streaming.sinks import batch_folder, newest_versions, run_available
+from textmill.streaming.levels import newest_versions, versions_sink
+from textmill.streaming.sinks import run_available
 
 SECOND = 1_000_000
+WINDOW = [*INSTANCE, "window_start"]
 
 
 def event_clock(events: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def stream_registry(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Keep the instance registry up to date in `path`, and return it."""
     updates = instance_registry(event_clock(events))
     run_available(
-        updates.writeStream.outputMode("update").foreachBatch(batch_folder(path)), checkpoint
+        updates.writeStream.outputMode("update").foreachBatch(versions_sink(path, INSTANCE)), checkpoint
     )
     return newest_versions(events.sparkSession, path, INSTANCE)
 
@@ -38,9 +40,9 @@ def stream_windows(events: DataFrame, interval: str, delay: str, path: str,
     """
     updates = window_deltas(event_clock(events).withWatermark("ts", delay), interval)
     run_available(
-        updates.writeStream.outputMode("update").foreachBatch(batch_folder(path)), checkpoint
+        updates.writeStream.outputMode("update").foreachBatch(versions_sink(path, WINDOW)), checkpoint
     )
-    return newest_versions(events.sparkSession, path, [*INSTANCE, "window_start"])
+    return newest_versions(events.sparkSession, path, WINDOW)
 
 
 def _newest_times(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +107,7 @@ def stream_liveness(events: DataFrame, path: str, checkpoint: str, now_us: int,
     """Bring the liveness table in `path` up to date as of `now_us`, and return it."""
     changes = liveness_changes(events, now_us, **options)
     run_available(
-        changes.writeStream.outputMode("update").foreachBatch(batch_folder(path)), checkpoint
+        changes.writeStream.outputMode("update").foreachBatch(versions_sink(path, INSTANCE)), checkpoint
     )
     return newest_versions(events.sparkSession, path, INSTANCE)
 
@@ -113,5 +115,5 @@ def stream_liveness(events: DataFrame, path: str, checkpoint: str, now_us: int,
 def watch_liveness(events: DataFrame, path: str, checkpoint: str, every="5 seconds", **options):
     """Start a stream that never ends: timeouts need batches even when nothing arrives."""
     changes = liveness_changes(events, **options)
-    writer = changes.writeStream.outputMode("update").foreachBatch(batch_folder(path))
+    writer = changes.writeStream.outputMode("update").foreachBatch(versions_sink(path, INSTANCE))
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
