@@ -216,9 +216,15 @@ def snapshot_events(log: DataFrame, input_mode: str | None = None, version: str
         lasts={"last_error": F.col("error_text"), "_file": _file_change(F.col("event"), F.col("filename"))},
     ).result()
     boots = log.groupBy(*INSTANCE).agg(F.min("ts").alias("boot_ts"))
-    rows = beside(rows, boots, INSTANCE)
+    rows = beside(rows, boots, INSTANCE).withColumn("current_file", F.col("_file.file"))
+    return as_events(rows, input_mode, version, port)
+
+
+def as_events(rows: DataFrame, input_mode: str | None = None, version: str | None = None,
+              port: int = schemas.DEFAULT_PORT) -> DataFrame:
+    """Log rows with the running values after them as events of the shared log; in batch and in a stream."""
     total, processed, errors = (F.col(c) for c in ("total_chunks", "processed_chunks", "error_count"))
-    uptime, file = seconds_between(F.col("boot_ts"), F.col("ts")), F.col("_file.file")
+    uptime, file = seconds_between(F.col("boot_ts"), F.col("ts")), F.col("current_file")
     event = F.col("event")
     host = F.coalesce("_hostname", "instance_id")
     return rows.select(

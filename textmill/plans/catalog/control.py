@@ -94,7 +94,7 @@ def counters_since_reset(spark, folder):
     return ct.counters_since_reset(both, ["instance_id"], ["ts", "event_id", "seq"]).drop("ts")
 
 
-@query("control_log metric_events", f"""
+GATE_SQL = f"""
     with {STATES},
     messages as (select event_id as msg_id, ts, instance_id from metric_events where event = 'CHUNK_COMPLETE'),
     marks as (
@@ -112,7 +112,10 @@ def counters_since_reset(spark, folder):
       from filled)
     select id as msg_id, instance_id, {ISO('ts')} as ts,
            case when state then 'STARTED' else 'STOPPED' end as status, {ISO('consumed')} as consumed_at
-    from next_on where kind = 1""")
+    from next_on where kind = 1"""
+
+
+@query("control_log metric_events", GATE_SQL)
 def gate_messages(spark, folder):
     """Chunk events as the messages that have to pass the switch."""
     messages = view(spark, folder, "metric_events").filter("event = 'CHUNK_COMPLETE'").select(

@@ -398,7 +398,7 @@ def files_processed(spark, folder):
     return ct.files_processed(log(spark, folder))
 
 
-@query("metric_events", f"""
+SNAPSHOT_SQL = f"""
     with firsts as (
       select *, row_number() over (partition by service, instance_id, filename order by ts, event_id) = 1
                 and filename is not null as new_file
@@ -424,10 +424,16 @@ def files_processed(spark, folder):
                 else case when file is null then 'idle' else 'processing' end end as stage,
            greatest(total - processed, 0) as pending, 'http://' || instance_id || ':8080' as url,
            epoch_us(boot) // 1000 as boot_epoch
-    from timed""")
+    from timed"""
+
+
+@query("metric_events", SNAPSHOT_SQL)
 def metrics_snapshots(spark, folder):
     """Events from the running counters, as an instance sends them."""
-    rows = ct.snapshot_events(log(spark, folder))
+    return snapshot_columns(ct.snapshot_events(log(spark, folder)))
+
+
+def snapshot_columns(rows):
     return rows.select(
         "event_id", F.col("totalChunks").alias("total_chunks"), F.col("processedChunks").alias("processed_chunks"),
         F.col("errorCount").alias("errors"), F.col("filesProcessed").alias("files"),

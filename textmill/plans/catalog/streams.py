@@ -4,14 +4,18 @@ from pyspark.sql import functions as F
 
 from textmill.operators import counters as ct
 from textmill.operators.embedding import HashProvider
+from textmill.plans.catalog.control import GATE_SQL
 from textmill.plans.catalog.ingest import INGEST_MS, INGEST_SQL, chunk_columns
-from textmill.plans.catalog.metrics import _WINDOWS, HOUR, LIMITS, LIVENESS_SQL, REGISTRY_SQL, timed, with_presence
+from textmill.plans.catalog.metrics import (
+    _WINDOWS, HOUR, LIMITS, LIVENESS_SQL, REGISTRY_SQL, SNAPSHOT_SQL, snapshot_columns, timed, with_presence,
+)
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import ISO
 from textmill.plans.views import over, view
 from textmill.session import new_folder
 from textmill.sources.files import stream_table
 from textmill.sources.vector_table import read_vectors
+from textmill.streaming import gate as sg
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
 from textmill.streaming.sinks import batch_folder, run_available
@@ -32,6 +36,74 @@ def stream_ingest_chunks(spark, folder):
     return chunk_columns(read_vectors(spark, f"{out}/table"))
 
 
+def in_late_batches(rows, path, parts=3):
+    """A queue in `path` of several files, in order of time but for a tenth of the rows, which come a file late."""
+    span = rows.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
+    width = (span.high - span.low) // parts + 1
+    part = F.floor((F.col("_at") - span.low) / width) + F.when(F.abs(F.xxhash64("_at")) % 10 == 0, 1).otherwise(0)
+    for n in range(parts + 1):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(path)
+    spark = rows.sparkSession
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), 2 * width / 1_000_000
+
+
+def closing_ticks(rows, path):
+    """One more file: the clock of every instance far beyond its last row."""
+    keys = [c for c in ("service", "instance_id") if c in rows.columns]
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    blank = {f.name: F.lit("" if f.dataType.simpleString() == "string" else 0).cast(f.dataType)
+             for f in rows.schema if f.name not in (*keys, "_at", "_tick")}
+    end = rows.agg(F.max("_at")).first()[0]
+    ticks = last.withColumns({"_at": F.lit(end + 366 * 86_400_000_000), "_tick": F.lit(True), **blank})
+    ticks.select(*rows.columns).coalesce(1).write.mode("append").parquet(path)
+
+
+@query("control_log metric_events", GATE_SQL)
+def stream_gate(spark, folder):
+    """Messages and commands as one stream of several batches, some rows a batch late."""
+    messages = view(spark, folder, "metric_events").filter("event = 'CHUNK_COMPLETE'").select(
+        F.col("event_id").alias("msg_id"), "ts", "instance_id")
+    rows = sg.together(messages, view(spark, folder, "control_log"))
+    out = new_folder(spark, "stream-gate")
+    queue, delay = in_late_batches(rows, f"{out}/queue")
+    closing_ticks(rows, f"{out}/queue")
+    gated = sg.stream_gate(queue, f"{out}/table", f"{out}/checkpoint", delay)
+    return timed(gated.withColumn("msg_id", F.col("msg_id").cast("bigint")), "ts", "consumed_at")
+
+
+def late_log(spark, folder, out):
+    rows = sm.counted(view(spark, folder, "metric_events"))
+    queue, delay = in_late_batches(rows, f"{out}/queue")
+    closing_ticks(rows, f"{out}/queue")
+    return queue, delay
+
+
+@query("metric_events", SNAPSHOT_SQL.replace("files, files_total,", "files,"))
+def stream_snapshots(spark, folder):
+    """Every event with the running counters after it, from a stream of several batches, some rows a batch late.
+
+    How many files were ever seen is left to the batch report: the state would hold every name."""
+    out = new_folder(spark, "stream-snapshots")
+    queue, delay = late_log(spark, folder, out)
+    return snapshot_columns(sm.stream_snapshots(queue, f"{out}/table", f"{out}/checkpoint", delay)).drop("files_total")
+
+
+@query("metric_events", f"""
+    with {_WINDOWS}
+    select service, instance_id, {ISO('start')} as window_start, newest_event,
+           cast(sum(total_delta) over w as bigint) as total_chunks,
+           cast(sum(processed_delta) over w as bigint) as processed_chunks,
+           cast(sum(error_delta) over w as bigint) as error_count,
+           cast(sum(files_delta) over w as bigint) as files_processed
+    from windows window w as (partition by service, instance_id order by start)""")
+def stream_window_snapshots(spark, folder):
+    """Counters at the end of every hour that saw an event; an hour that was cut by a batch is corrected by the next."""
+    out = new_folder(spark, "stream-window-snapshots")
+    queue, delay = late_log(spark, folder, out)
+    windows = sm.stream_window_snapshots(queue, f"{out}/table", f"{out}/checkpoint", delay, 3600)
+    return timed(windows, "window_start").withColumnRenamed("event", "newest_event").drop("current_file", "last_error")
+
+
 class Outage(HashProvider):
     """The hashing model, out of reach for every text whose length is a multiple of three."""
 

@@ -3,6 +3,7 @@
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textmill import schemas
 from textmill.functions.status import is_heartbeat
-from textmill.operators.counters import INSTANCE, instance_registry, window_deltas
+from textmill.operators.counters import (
+    COUNTERS, FILE_END_EVENTS, FILE_START_EVENTS, INSTANCE, as_events, instance_registry, window_deltas,
+)
+from textmill.streaming.inorder import AT, TICK, in_order, with_clock
 from textmill.streaming.levels import newest_versions, versions_sink
-from textmill.streaming.sinks import run_available
+from textmill.streaming.sinks import batch_folder, run_available
 
 SECOND = 1_000_000
 WINDOW = [*INSTANCE, "window_start"]
@@ -117,3 +121,72 @@ def watch_liveness(events: DataFrame, path: str, checkpoint: str, every="5 secon
     changes = liveness_changes(events, **options)
     writer = changes.writeStream.outputMode("update").foreachBatch(versions_sink(path, INSTANCE))
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+# --- running counters while the stream runs ----------------------------------------------
+
+_RUNNING = (f"event_id bigint, {AT} bigint, event string, filename string, boot bigint, current_file string, last_error string, "
+            + ", ".join(f"{name} bigint" for name in COUNTERS))
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """The columns that running counters need, with a clock; counters that did not change changed by 0."""
+    deltas = [F.coalesce(F.col(d), F.lit(0)).cast("bigint").alias(d) for d in COUNTERS.values()]
+    return with_clock(events).select(*INSTANCE, AT, TICK, "event_id", "event", "filename", "error_text", *deltas)
+
+
+def _newest(changed: np.ndarray, values: np.ndarray, before):
+    """For every row the value of the newest row that changed it."""
+    at = np.maximum.accumulate(np.where(changed, np.arange(len(changed)), -1))
+    return [before if i < 0 else values[i] for i in at]
+
+
+def _run_on(rows: pd.DataFrame, carried: dict) -> tuple[pd.DataFrame, dict]:
+    """Rows in order with the counters, file and error after them, and the last of these."""
+    out = rows[["event_id", AT, "event", "filename"]].copy()
+    for name, delta in COUNTERS.items():
+        out[name] = rows[delta].cumsum() + carried.get(name, 0)
+    out["boot"] = min(carried.get("boot", rows[AT].iloc[0]), rows[AT].iloc[0])
+    starts, ends = rows["event"].isin(FILE_START_EVENTS).to_numpy(), rows["event"].isin(FILE_END_EVENTS).to_numpy()
+    files = np.where(starts, rows["filename"].astype(object).where(rows["filename"].notna(), None), None)
+    out["current_file"] = _newest(starts | ends, files, carried.get("current_file"))
+    said = rows["error_text"].notna().to_numpy()
+    out["last_error"] = _newest(said, rows["error_text"].to_numpy(object), carried.get("last_error"))
+    last = out.iloc[-1]
+    carry = {name: int(last[name]) for name in (*COUNTERS, "boot")}
+    return out, {**carry, "current_file": last["current_file"], "last_error": last["last_error"]}
+
+
+def running(events: DataFrame, delay: float, every: float | None = None) -> DataFrame:
+    """Events of a stream as from `counted`, with the counters after them, once, in the order of their times.
+
+    Rows that are late by at most `delay` seconds are counted in their place. With `every`,
+    only the last event of each window of so many seconds is given; a window that is cut by a
+    batch is given again by the next.
+    """
+    width = None if every is None else int(every * SECOND)
+
+    def step(rows, carried):
+        out, carry = _run_on(rows, carried)
+        return (out if width is None else out.groupby(out[AT] // width).tail(1)), carry
+
+    return in_order(events, INSTANCE, ["event_id"], step, _RUNNING, delay)
+
+
+def stream_snapshots(events: DataFrame, path: str, checkpoint: str, delay: float, **options) -> DataFrame:
+    """Bring the table of snapshot events in `path` up to date, and return it."""
+    done = running(events, delay).withColumns({
+        "ts": F.timestamp_micros(F.col(AT)), "boot_ts": F.timestamp_micros("boot"), "files_total": F.lit(None).cast("bigint"),
+        **{c: F.lit(None).cast("string") for c in ("_hostname", "_public_hostname", "_url")}})
+    run_available(as_events(done, **options).writeStream.outputMode("append").foreachBatch(batch_folder(path)), checkpoint)
+    return events.sparkSession.read.parquet(path)
+
+
+def stream_window_snapshots(events: DataFrame, path: str, checkpoint: str, delay: float, every: float) -> DataFrame:
+    """Bring the table of the counters at the end of every window up to date, and return it."""
+    width = int(every * SECOND)
+    windows = running(events, delay, every).withColumn(
+        "window_start", F.timestamp_micros((F.floor(F.col(AT) / width) * width).cast("bigint")))
+    kept = windows.select(*WINDOW, "event", *COUNTERS, "current_file", "last_error")
+    run_available(kept.writeStream.outputMode("append").foreachBatch(versions_sink(path, WINDOW)), checkpoint)
+    return newest_versions(events.sparkSession, path, WINDOW)
