@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks, whole_documents
+from textmill.operators.spread import _cut, _function, paragraph_rows, scan_paragraphs, spread_chunks
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -84,3 +86,47 @@ def test_a_long_document(spark):
     text = "\n\n".join(["word word word"] * 60000)
     [chunks] = by_spark(spark, [text], 300, 1)
     assert len(chunks) == 600 and sum(map(count, chunks)) == 180000
+
+
+def spread(spark, texts, most, least, width):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc int, content string")
+    rows = spread_chunks(paragraph_rows(docs, "doc"), "doc", most, least, width).collect()
+    found = [[] for _ in texts]
+    for row in sorted(rows, key=lambda row: (row.doc, row.chunk_no)):
+        assert row.chunk_no == len(found[row.doc]) and row.n_words == count(row.content)
+        found[row.doc].append(row.content)
+    return found
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(PARTS.map("".join), min_size=30, max_size=60), st.integers(1, 15), st.integers(0, 4), st.integers(1, 6))
+def test_spread_documents_have_the_same_chunks(spark, texts, most, least, width):
+    assert spread(spark, texts, most, least, width) == [by_loop(t, most, least) for t in texts]
+
+
+def test_blocks_compose():
+    """The function of a block, for every number of open words, against the plain walk."""
+    rng = np.random.default_rng(1)
+    for most in (1, 7, 40):
+        counts = rng.choice([0, 0, 1, 2, 5, 60], 500)
+        after, closed = _function(counts, most)
+        for words in range(most + 2):
+            chunks, last = _cut(counts, words, most)
+            assert (after[words], closed[words]) == (min(last, most + 1), chunks[-1])
+
+
+def test_one_file_of_many_lines(spark, tmp_path):
+    """A file is read in parts, and its chunks are those of the whole text."""
+    rng = np.random.default_rng(2)
+    lines = [rng.choice(["word word word", "", " \t", "two lines", "\x01", "__"]) for _ in range(4000)]
+    text = "\n".join(lines)
+    (tmp_path / "big.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        parts = scan_paragraphs(spark, str(tmp_path / "big.txt"))
+        assert spark.read.text(str(tmp_path / "big.txt")).rdd.getNumPartitions() > 5
+        rows = spread_chunks(parts, "url", 50, 3, width=64).orderBy("chunk_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.content for r in rows] == by_loop(text, 50, 3) and len(rows) > 50

@@ -9,6 +9,8 @@ from textmill.functions.text import WHITESPACE, bound, meaningful_words, not_bla
 # What separates paragraphs, in the text and in a chunk.
 PARAGRAPH_BREAK = r"\n\s*\n"
 CHUNK_JOIN = "\n\n"
+# Chunk ends that a step may copy.
+_ENDS = 128
 
 
 def split_paragraphs(text: Column, pattern: str = PARAGRAPH_BREAK) -> Column:
@@ -19,26 +21,28 @@ def _chunk_ends(counts: Column, max_words: int) -> Column:
     """Where each chunk ends, as positions in the paragraph array.
 
     A chunk closes before the paragraph that would take it above the maximum,
-    unless it holds no words yet. Only numbers are carried from step to step.
+    unless it holds no words yet. Numbers are carried from step to step, and the ends in
+    two levels: a step copies at most `_ENDS` of them, and one in `_ENDS` closing steps the
+    list of full groups. Longer documents are for `spread`.
     """
 
     def step(state, words):
         closes = (state.words > 0) & (state.words + words > max_words)
+        full = closes & (F.size(state.ends) >= _ENDS)
         return F.struct(
             F.when(closes, words).otherwise(state.words + words).alias("words"),
             (state.seen + 1).alias("seen"),
-            F.when(closes, F.concat(state.ends, F.array(state.seen)))
-            .otherwise(state.ends)
-            .alias("ends"),
+            F.when(full, F.array(state.seen)).when(closes, F.concat(state.ends, F.array(state.seen)))
+            .otherwise(state.ends).alias("ends"),
+            F.when(full, F.concat(state.groups, F.array(state.ends))).otherwise(state.groups).alias("groups"),
         )
 
     start = F.struct(
         F.lit(0).alias("words"), F.lit(0).alias("seen"),
-        F.array().cast("array<int>").alias("ends"),
-    )
-    return F.aggregate(
-        counts, start, step, lambda state: F.concat(state.ends, F.array(state.seen))
+        F.array().cast("array<int>").alias("ends"), F.array().cast("array<array<int>>").alias("groups"),
     )
+    return F.aggregate(counts, start, step, lambda state: F.concat(
+        F.flatten(state.groups), state.ends, F.array(state.seen)))
 
 
 def _pack(text: Column, max_words: int, min_words: int) -> Column:

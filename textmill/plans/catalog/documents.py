@@ -8,6 +8,7 @@ from textmill.functions import urls
 from textmill.functions.text import meaningful_words, preview
 from textmill.operators import with_once
 from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks, split_paragraphs
+from textmill.operators.spread import paragraph_rows, spread_chunks
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import CHUNKS, MAX_WORDS, MIN_WORDS, NORMAL_URL, REFNUMS, TYPE, WORDS
 from textmill.plans.ingest import classified, not_blank_rows
@@ -234,6 +235,15 @@ def chunks_of_documents(spark, folder):
     return _chunk_rows(chunk_documents(docs, max_words=MAX_WORDS, min_words=MIN_WORDS))
 
 
+@query("src_docs", f"""
+    with recursive {CHUNKS('src_docs')}
+    select doc_id, chunk_no, n_words, md5(content) as content_md5 from chunks""")
+def chunk_documents_spread(spark, folder):
+    """The same chunks of documents whose paragraphs are spread over tasks, in blocks of 16."""
+    parts = paragraph_rows(dealt(view(spark, folder, "src_docs")), "doc_id")
+    return _chunk_rows(spread_chunks(parts, "doc_id", MAX_WORDS, MIN_WORDS, width=16))
+
+
 @query("src_docs", f"""
     with recursive {CHUNKS('src_docs')},
     tails as (
