@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.plans import ingest as jobs
+from textmill.sources import compaction
+from textmill.sources import vector_table as vt
 from textmill.sources.files import scan_text_dir, stream_text_dir
 from textmill.sources.messages import load_content, missing_content, one_per_url, stream_messages, with_url
 from textmill.operators.embedding import HashProvider
@@ -356,3 +358,66 @@ def test_embedding_errors_are_kept_apart(spark):
     assert jobs.stored(rows).count() == 5
     [bad] = jobs.rejected(rows).collect()
     assert bad.url == ALL[0] and bad.chunk_no == 3
+
+
+def table_rows(spark, n, start=0):
+    made = spark.range(start, start + n).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("/f/"), "id").alias("url"), F.lit(0).alias("chunk_no"),
+        (100000 + F.pmod(F.xxhash64("id"), F.lit(300))).cast("int").alias("refnum1"),
+        (200000 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(300))).cast("int").alias("refnum2"),
+        F.when(F.col("id") % 10 == 0, "rejected").otherwise("stored").alias("outcome"))
+    return made
+
+
+def test_compaction(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for batch in range(6):
+        append_rows(table_rows(spark, 500, 500 * batch), path, "x", batch)
+    ids = lambda: sorted(int(r.id) for r in read_vectors(spark, path).select("id").collect())
+    want = [i for i in range(3000) if i % 10]
+    assert vt.compact(spark, path) is None  # nothing is settled yet
+    assert vt.compact(spark, path, settled=-60, file_bytes=8000) == 0
+    assert ids() == want and read_errors(spark, path).count() == 300
+    assert compaction.drop_taken(spark, path) == 0 and compaction.drop_taken(spark, path, grace=-60) == 6
+    assert ids() == want and vt.read_batch(spark, path, "x", 3).count() == 500
+    append_rows(table_rows(spark, 10, 3001), path, "y", 0)
+    assert ids() == [*want, *[i for i in range(3001, 3011) if i % 10]]
+    assert vt.compact(spark, path, settled=-60) == 1 and vt.compact(spark, path, settled=-60) is None
+    # A batch that is written again counts from its folder.
+    time.sleep(1.1)
+    append_rows(table_rows(spark, 3, 3001), path, "y", 0)
+    assert ids() == [*want, 3001, 3002, 3003]
+    # Searches by number read a part of the rows: files and row groups are small squares.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = []
+        for condition in ("refnum1 = 100007", "refnum2 = 200123", "refnum1 = 100007 and refnum2 between 200100 and 200200"):
+            rows = read_vectors(spark, path).filter(condition).select("id")
+            found = rows.collect()
+            leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+            read.append(sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())))
+            assert len(found) == read_vectors(spark, path).select("id", "refnum1", "refnum2").toPandas().query(
+                condition.replace("between 200100 and 200200", ">= 200100 and refnum2 <= 200200").replace(" = ", " == ")).shape[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert read[0] < 1200 and read[1] < 1200 and read[2] < read[0]
+
+
+def test_curve(spark):
+    bits = lambda a, b: sum((a >> i & 1) << 2 * i | (b >> i & 1) << 2 * i + 1 for i in range(31))
+    cases = [(0, 0), (1, 2), (123456, 654321), (2**31 - 1, 2**31 - 1), (100003, 200007)]
+    rows = spark.createDataFrame(cases, "a int, b int").select("a", "b", compaction.curve(F.col("a"), F.col("b")).alias("z"))
+    assert {(r.a, r.b): r.z for r in rows.collect()} == {(a, b): bits(a, b) for a, b in cases}
+    assert spark.range(1).select(compaction.curve(F.lit(None).cast("int"), F.lit(-5))).first()[0] == 0
+
+
+def test_streams_know_compacted_runs(spark, tmp_path):
+    table, inbox = str(tmp_path / "t"), tmp_path / "inbox"
+    inbox.mkdir()
+    small = {"max_words": 12, "min_words": 6}
+    jobs.run_messages(with_url(messages(spark, ALL[0])), files(spark), table, **small)
+    vt.compact(spark, table, settled=-60)
+    compaction.drop_taken(spark, table, grace=-60)
+    (inbox / "1.json").write_text(json.dumps({"url": ALL[0]}) + "\n" + json.dumps({"url": ALL[1]}))
+    si.stream_ingest(stream_messages(spark, str(inbox)), files(spark), table, str(tmp_path / "ev"), str(tmp_path / "c"), **small)
+    assert read_vectors(spark, table).count() == 6

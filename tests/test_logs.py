@@ -148,3 +148,22 @@ def test_heartbeat_gaps(spark):
     assert found == [(1, None, None), (3, 21.0, True), (4, 9.0, False)]
     unnamed = rows.withColumns({"service": F.lit(None).cast("string"), "instance_id": F.lit(None).cast("string")})
     assert ct.heartbeat_gaps(unnamed).count() == 3
+
+
+def test_fields_without_a_name_in_the_schema(spark):
+    import json
+
+    from textmill.sources.metrics_log import events_to_json, parse_metrics
+
+    event = {"instanceId": "i", "timestamp": "t", "event": "INIT", "status": "IDLE", "url": "u"}
+    bodies = [
+        {**event, "meta": {"service": "s", "processingStage": "p"}},
+        {**event, "n": 1, "text": "1", "flag": False, "list": [1, {"a": None}], "none": None,
+         "meta": {"service": "s", "processingStage": "p", "deep": {"x": [1.5, "é\\"]}}},
+    ]
+    rows = spark.createDataFrame([(json.dumps(b),) for b in bodies], "body string")
+    kept = [json.loads(r.body) for r in events_to_json(parse_metrics(rows, extra=True)).collect()]
+    bodies[1].pop("none"), [b.pop("none", None) for b in kept]
+    assert sorted(kept, key=len) == bodies
+    assert "extra" not in parse_metrics(rows).columns
+

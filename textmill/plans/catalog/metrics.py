@@ -9,6 +9,7 @@ from textmill.operators import counters as ct
 from textmill.plans.catalog.registry import query
 from textmill.plans.catalog.sql import ISO
 from textmill.plans.views import dealt, view
+from textmill.session import new_folder
 from textmill.sources import metrics_log as ml
 
 HOUR = "1 hour"
@@ -256,6 +257,35 @@ def metrics_windows(spark, folder):
     return timed(ct.window_snapshots(log(spark, folder), HOUR), "window_start")
 
 
+# --- fields that the schema does not name ----------------------------------------
+
+@query("metric_events", """
+    select event_id, instance_id, service, 'c' || event_id::varchar as commit, event_id * 0.5::double as load,
+           event_id % 3 = 0 as canary, case when event_id % 5 = 0 then 'tag "' || event_id::varchar || '"' end as tag,
+           'zone-' || (user_zone)::varchar as zone, 6::bigint as n_extra
+    from (select *, event_id % 4 as user_zone from metric_events)""")
+def metrics_extra_fields(spark, folder):
+    """Events with fields of their own, parsed, written again and read back: each keeps its name, place and type."""
+    events = snapshots(spark, folder)
+    number = F.col("event_id")
+    tags = F.when(number % 5 == 0, F.array(F.concat(F.lit('tag "'), number.cast("string"), F.lit('"')))).otherwise(F.array())
+    own = F.struct(
+        F.concat(F.lit("c"), number.cast("string")).alias("commit"), (number * 0.5).alias("load"),
+        (number % 3 == 0).alias("canary"), tags.alias("tags"), F.struct(number.alias("id")).alias("pod"))
+    meta = F.struct("meta.*", F.struct(F.concat(F.lit("zone-"), (number % 4).cast("string")).alias("zone")).alias("place"))
+    plain = [c for c in events.columns if c not in ("event_id", "meta")]
+    bodies = events.withColumns({"meta": meta, "_own": own}).select(F.to_json(F.struct(*plain, "meta", "_own.*")).alias("body"))
+    path = new_folder(spark, "extra")
+    ml.write_metrics(ml.parse_metrics(bodies, extra=True), path)
+    found = ml.parse_metrics(spark.read.text(path).withColumnRenamed("value", "body"), extra=True)
+    of = lambda name, path, kind: F.try_variant_get(F.col("extra")[name], path, kind)
+    return found.select(
+        of("pod", "$.id", "bigint").alias("event_id"), F.col("instanceId").alias("instance_id"), F.col("meta.service").alias("service"),
+        of("commit", "$", "string").alias("commit"), of("load", "$", "double").alias("load"), of("canary", "$", "boolean").alias("canary"),
+        of("tags", "$[0]", "string").alias("tag"), F.try_variant_get(F.col("extra_meta")["place"], "$.zone", "string").alias("zone"),
+        (F.size("extra") + F.size("extra_meta")).cast("bigint").alias("n_extra"))
+
+
 # --- reports -------------------------------------------------------------------
 
 def with_presence(events):

@@ -45,6 +45,10 @@ def child_folders(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     return sorted((f.getPath().getName(), f.getModificationTime() / 1000) for f in found if f.isDirectory())
 
 
+def bytes_in(spark: SparkSession, path: str) -> int:
+    return _filesystem(spark, path).getContentSummary(_path(spark, path)).getLength()
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     _filesystem(spark, path).delete(_path(spark, path), True)
 

@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 from textmill import schemas
 from textmill.functions.metadata import metadata_value
 from textmill.functions.text import preview
+from textmill.sources import compaction
+from textmill.sources.compaction import open_table
+from textmill.sources.files import folder_exists
 
 _TABLE = T.StructType([
     *schemas.VECTOR_ROW, T.StructField("run", T.StringType()), T.StructField("batch_id", T.LongType()),
@@ -45,11 +48,19 @@ def append_rows(rows: DataFrame, path: str, run: str, batch_id: int = 0) -> None
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_TABLE).parquet(path)
+    """All rows of the table, whatever became of them."""
+    return open_table(spark, path, _TABLE)
+
+
+def compact(spark: SparkSession, path: str, **options) -> int | None:
+    """Rewrite settled batches in the order that searches by number can skip; see `compaction`."""
+    return compaction.compact(spark, path, _TABLE, **options)
 
 
 def read_batch(spark: SparkSession, path: str, run: str, batch_id: int) -> DataFrame:
-    """The rows of one batch; no other folder is listed or opened."""
+    """The rows of one batch; no other folder is listed or opened while the batch has its own."""
+    if not folder_exists(spark, f"{path}/run={run}/batch_id={batch_id}"):
+        return read_rows(spark, path).filter((F.col("run") == run) & (F.col("batch_id") == batch_id))
     return spark.read.schema(_TABLE).option("basePath", path).parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
