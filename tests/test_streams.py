@@ -116,3 +116,30 @@ def test_rows_in_order_bring_no_rows_twice():
     assert out["total_chunks"].tolist() == [1, 3] and again["total_chunks"].tolist() == [4, 6]
     assert out["current_file"].tolist() == [None, "f"] and out["last_error"].tolist() == ["bad", "bad"]
     assert io._unpack(io._pack(rows)).equals(rows)
+
+
+def test_queue_files_keep_the_limits(spark, tmp_path):
+    import json
+
+    from textmill.streaming import admission as ad
+
+    files = spark.createDataFrame([(f"/f/{i}", "x" * (i % 50 * 10)) for i in range(500)] + [("/f/huge", "y" * 90_000)], "url string, content string")
+    urls = [f"/f/{i}" for i in range(500)] + ["/f/huge", "/f/none", "/f/7", "/f/7"]
+    bodies = [(i, json.dumps({"url": u})) for i, u in enumerate(urls)] + [(900, "not json"), (None, json.dumps({"url": "/f/8"}))]
+    messages = spark.createDataFrame(bodies, "msg_id bigint, body string")
+    sizes = ad.file_sizes(files)
+    rows = ad.with_slot(messages, sizes, 20, 3000).collect()
+    assert sorted(r.url for r in rows) == sorted([*urls, "/f/8"])
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.slot, []).append(r.size)
+    assert max(map(len, slots.values())) <= 20
+    for held in slots.values():
+        assert sum(held) - max(held) <= 3000
+    for _ in range(2):  # a repeated batch
+        ad.deal(messages, sizes, str(tmp_path / "q"), 20, 3000)
+    queue, seen = ad.stream_dealt(spark, str(tmp_path / "q")), []
+    query = queue.writeStream.foreachBatch(lambda batch, _: seen.append(batch.count())).option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(n for n in seen if n) == sorted(len(held) for held in slots.values())

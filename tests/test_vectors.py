@@ -61,6 +61,18 @@ def test_more_wanted_than_there_are(spark, data):
     assert {q: len(hits) for q, hits in found(rows).items()} == {q: 400 for q in range(9)}
 
 
+def test_rounds_of_queries(spark, data, monkeypatch):
+    vectors, queries = data
+    monkeypatch.setattr(se, "QUERY_BLOCK", 2)
+    blocks = se._packed(frame(spark, queries, "query_id"), "query_id", 8, 2)
+    parts = se.in_rounds(blocks, 300)
+    assert len(parts) >= 3 and sum(part.count() for part in parts) == blocks.count()
+    monkeypatch.setattr(se.in_rounds, "__defaults__", (300,))
+    rows = se.top_k_batch(frame(spark, vectors, "id"), frame(spark, queries, "query_id"), 7, 8)
+    assert found(rows) == brute(vectors, queries, 7, list(range(len(vectors))))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 3
+
+
 def test_approximate_search(spark):
     made = np.random.default_rng(2)
     vectors, queries = made.standard_normal((500, 16)), made.standard_normal((20, 16))

@@ -1,18 +1,17 @@
 """Nearest vectors by cosine distance: exact, filtered, in batches, and approximate.
 
-Vectors and queries are packed into blocks, one row each. Every query block is paired
-with every slot of vector blocks by an ordinary join, so Spark chooses: few queries are
-broadcast by their measured size and the vectors stay where they are, many queries and
-the packed vectors meet in a shuffle. The vectors are read once however many queries
-there are, and neither side passes through the driver.
+Vectors and queries are packed into blocks, one row each. The query blocks are written
+first, so their size is known: they are broadcast, in rounds of `ROUND_BYTES` at most, and
+the vectors stay where they are and are read once a round. A search in lists or buckets
+joins the blocks by list instead. Neither side passes through the driver.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +24,8 @@ from textmill.session import new_folder
 
 # Rows of a block; with 1,536 numbers a vector, 12 MB of queries meet 48 MB of vectors.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-# Groups of vector blocks that a query block has to be sent to.
-SLOTS = 32
+# Bytes of packed queries that are broadcast at a time: 130,000 queries of 64 numbers.
+ROUND_BYTES = 64 << 20
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -59,12 +58,11 @@ def _checked(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, id_column: str, dim: int, size: int, by: str | None = None) -> DataFrame:
-    """Blocks `slot, ids, matrix` of unit vectors. The slot is the value of `by`, or goes around."""
+    """Blocks `slot, ids, matrix` of unit vectors. The slot is the value of `by`, or 0."""
     id_type = rows.schema[id_column].dataType
     used = rows.filter("embedding is not null").select(id_column, "embedding", *([by] if by else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
         for batch in batches:
             slots = batch.column(by).to_numpy() if by else np.zeros(batch.num_rows, np.int64)
             for slot in np.unique(slots):
@@ -74,11 +72,10 @@ def _packed(rows: DataFrame, id_column: str, dim: int, size: int, by: str | None
                     matrix = _checked(part.column("embedding"), dim)
                     ids = part.column(id_column)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([int(slot) if by else turn % SLOTS], pa.int32()),
+                        pa.array([int(slot)], pa.int32()),
                         pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                         pa.array([matrix.tobytes()], pa.binary()),
                     ], ["slot", "ids", "matrix"])
-                    turn += 1
 
     return used.mapInArrow(run, T.StructType([
         T.StructField("slot", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
@@ -87,7 +84,20 @@ def _packed(rows: DataFrame, id_column: str, dim: int, size: int, by: str | None
 
 
 def _meet(vectors: DataFrame, queries: DataFrame, k: int, dim: int, query_id, vector_id) -> DataFrame:
-    """The k nearest of the pairs of blocks that share a slot.
+    """The k nearest of the pairs of blocks that share a slot."""
+    return _ranked(_found(vectors, queries, k, dim, query_id, vector_id), k, query_id, vector_id)
+
+
+def _ranked(found: DataFrame, k: int, query_id, vector_id) -> DataFrame:
+    best = Window.partitionBy(query_id.name).orderBy("distance", vector_id.name)
+    return (
+        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        .select(query_id.name, "rank", vector_id.name, "distance")
+    )
+
+
+def _found(vectors: DataFrame, queries: DataFrame, k: int, dim: int, query_id, vector_id) -> DataFrame:
+    """What may be among the k nearest, of the pairs of blocks that share a slot.
 
     A task gives a row only if it is not beyond the k best the task has seen for its query.
     `query_id` and `vector_id` are the fields of the ids.
@@ -121,12 +131,7 @@ def _meet(vectors: DataFrame, queries: DataFrame, k: int, dim: int, query_id, ve
                          pa.array(np.concatenate(far), pa.float64())],
                         [query_id.name, vector_id.name, "distance"])
 
-    best = Window.partitionBy(query_id.name).orderBy("distance", vector_id.name)
-    found = pairs.mapInArrow(run, T.StructType([query_id, vector_id, T.StructField("distance", T.DoubleType())]))
-    return (
-        found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        .select(query_id.name, "rank", vector_id.name, "distance")
-    )
+    return pairs.mapInArrow(run, T.StructType([query_id, vector_id, T.StructField("distance", T.DoubleType())]))
 
 
 def top_k_batch(
@@ -137,10 +142,30 @@ def top_k_batch(
 
     Null vectors take no part; a vector or query of another width than `dim` is an error.
     """
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))
-    asked = _packed(queries, query_id, dim, QUERY_BLOCK).withColumn("slot", everywhere)
+    query, vector = queries.schema[query_id], vectors.schema[vector_id]
     rows = _packed(vectors, vector_id, dim, VECTOR_BLOCK)
-    return _meet(rows, asked, k, dim, queries.schema[query_id], vectors.schema[vector_id])
+    found = [_found(rows, F.broadcast(some), k, dim, query, vector) for some in in_rounds(_packed(queries, query_id, dim, QUERY_BLOCK))]
+    return _ranked(reduce(DataFrame.unionByName, found), k, query, vector)
+
+
+def in_rounds(blocks: DataFrame, most: int = ROUND_BYTES) -> list[DataFrame]:
+    """Query blocks, written once, in parts of at most about `most` bytes, each small enough to be broadcast."""
+    spark = blocks.sparkSession
+    folder = new_folder(spark, "asked")
+    numbered = blocks.withColumn("_nth", F.monotonically_increasing_id())
+    numbered.write.parquet(folder)
+    written = spark.read.schema(numbered.schema).parquet(folder)
+    sizes = written.select("_nth", F.octet_length("matrix").alias("size")).orderBy("_nth").collect()
+    rounds, held = [], 0
+    for row in sizes:
+        if not rounds or held + row.size > most:
+            rounds.append([])
+            held = 0
+        rounds[-1].append(row["_nth"])
+        held += row.size
+    if len(rounds) < 2:
+        return [written.drop("_nth")]
+    return [written.filter(F.col("_nth").between(part[0], part[-1])).drop("_nth") for part in rounds]
 
 
 def top_k(

@@ -6,13 +6,16 @@ from textmill.functions import metadata as md
 from textmill.functions import refnums as rn
 from textmill.functions import urls
 from textmill.functions.text import meaningful_words, preview
+from textmill.operators import embedding as em
 from textmill.operators import with_once
 from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks, split_paragraphs
 from textmill.operators.spread import paragraph_rows, spread_chunks
 from textmill.plans.catalog.registry import query
-from textmill.plans.catalog.sql import CHUNKS, MAX_WORDS, MIN_WORDS, NORMAL_URL, REFNUMS, TYPE, WORDS
+from textmill.plans.catalog.sql import CHUNKS, HASHED, MAX_WORDS, MIN_WORDS, NORMAL_URL, REFNUMS, TYPE, WORDS
 from textmill.plans.ingest import classified, not_blank_rows
 from textmill.plans.views import dealt, view
+from textmill.session import new_folder
+from textmill.sources.files import scan_text_dir
 from textmill.sources.messages import load_content as with_content
 from textmill.sources.messages import missing_content, with_url, with_url_compat
 
@@ -235,6 +238,39 @@ def chunks_of_documents(spark, folder):
     return _chunk_rows(chunk_documents(docs, max_words=MAX_WORDS, min_words=MIN_WORDS))
 
 
+@query("", """
+    select md5(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as content_md5, 'txt' as ending, 1 as n_files
+    from documents group by doc_id % 8""")
+def scan_text_folder(spark, folder):
+    """A folder of text files, each of an eighth of the documents; a file of another kind is not read."""
+    path = new_folder(spark, "texts")
+    docs = view(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for n in range(8):
+        part = docs.filter(F.col("doc_id") % 8 == n).coalesce(1).sortWithinPartitions("doc_id").select("text")
+        part.write.mode("append").text(path)
+    docs.limit(1).write.mode("append").json(path)
+    return scan_text_dir(spark, path).groupBy(
+        F.md5("content").alias("content_md5"), F.substring_index("url", ".", -1).alias("ending")).agg(
+        F.count("*").cast("int").alias("n_files"))
+
+
+@query("src_docs", f"""
+    with {HASHED('local', 'src_docs', 'doc_id', 'content', 64)},
+    {HASHED('remote', 'src_docs', 'doc_id', 'content', 16)}
+    select 'standalone' as mode, doc_id, 64 as dimensions, count(*) as n_buckets from local group by doc_id
+    union all select 'cloud', doc_id, 16, count(*) from remote group by doc_id""")
+def embed_by_mode(spark, folder):
+    """Vectors of the model that a mode chooses: the local one standalone, the remote one in the cloud."""
+    docs = dealt(view(spark, folder, "src_docs").select("doc_id", "content"))
+    made = []
+    for mode, dim in (("standalone", 64), ("cloud", 16)):
+        provider = em.choose_provider(mode, em.HashProvider(64), em.HashProvider(16))
+        made.append(em.embed(docs, provider, dim).select(
+            F.lit(mode).alias("mode"), "doc_id", F.size("embedding").alias("dimensions"),
+            F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("n_buckets")))
+    return made[0].union(made[1]).filter("n_buckets > 0")
+
+
 @query("src_docs", f"""
     with recursive {CHUNKS('src_docs')}
     select doc_id, chunk_no, n_words, md5(content) as content_md5 from chunks""")

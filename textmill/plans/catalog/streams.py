@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from textmill.functions.urls import extract_url
 from textmill.operators import counters as ct
 from textmill.operators.embedding import HashProvider
 from textmill.plans.catalog.control import GATE_SQL
@@ -10,11 +11,14 @@ from textmill.plans.catalog.metrics import (
     _WINDOWS, HOUR, LIMITS, LIVENESS_SQL, REGISTRY_SQL, SNAPSHOT_SQL, snapshot_columns, timed, with_presence,
 )
 from textmill.plans.catalog.registry import query
-from textmill.plans.catalog.sql import ISO
+from textmill.plans.catalog.search import TEXT
+from textmill.plans.catalog.sql import HASHED, ISO, NORMAL_URL
 from textmill.plans.views import over, view
 from textmill.session import new_folder
 from textmill.sources.files import stream_table
+from textmill.sources.messages import stream_messages as sm_messages
 from textmill.sources.vector_table import read_vectors
+from textmill.streaming import admission as ad
 from textmill.streaming import gate as sg
 from textmill.streaming import ingest as si
 from textmill.streaming import metrics as sm
@@ -104,6 +108,67 @@ def stream_window_snapshots(spark, folder):
     return timed(windows, "window_start").withColumnRenamed("event", "newest_event").drop("current_file", "last_error")
 
 
+@query("messages", INGEST_SQL)
+def stream_work_limit(spark, folder):
+    """Ingest with at most 1,000 files, and a quarter of all bytes, in hand at a time."""
+    out = new_folder(spark, "stream-limit")
+    messages, files = view(spark, folder, "messages"), view(spark, folder, "src_docs")
+    sizes = ad.file_sizes(files)
+    most = max(1, (sizes.agg(F.sum("size")).first()[0] or 0) // 4)
+    ad.deal(messages, sizes, f"{out}/queue", 1000, most)
+    si.stream_ingest(ad.stream_dealt(spark, f"{out}/queue"), files, f"{out}/table", f"{out}/events", f"{out}/checkpoint",
+                     max_words=300, min_words=100, ingest_ms=F.lit(INGEST_MS))
+    return chunk_columns(read_vectors(spark, f"{out}/table"))
+
+
+@query("messages", f"""
+    with asked as (select 0 as query_id, '{TEXT}' as text),
+    chosen as (
+      select * from (
+        select case when json_valid(body) then json_extract_string(body, '$.url') end as raw from messages) named
+      where trim(raw) <> ''),
+    files as (select url as raw, content from src_docs where trim(content) <> ''),
+    named as (
+      select {NORMAL_URL.replace('url', 'raw')} as url, content from (select distinct raw from chosen) join files using (raw)),
+    {HASHED('d', 'named', 'url', 'content')},
+    {HASHED('q', 'asked', 'query_id', 'text')},
+    lengths as (select url, sqrt(sum(value * value)) as length from d group by url),
+    dots as (select d.url, sum(d.value * q.value) as dot from d join q using (pos) group by d.url),
+    ranked as (
+      select url, round(1 - coalesce(dot, 0) / (length * (select sqrt(sum(value * value)) from q)), 9) as distance
+      from lengths left join dots using (url))
+    select rank, round(distance, 6) as distance from (
+      select row_number() over (order by distance, url) as rank, distance from ranked)
+    where rank <= 5""")
+def stream_query_once(spark, folder):
+    """One query, answered after the first finished files of a stream, with whole documents as chunks.
+
+    The answer stays when more files come: the messages are sent a second time."""
+    out = new_folder(spark, "stream-once")
+    messages, files = view(spark, folder, "messages"), view(spark, folder, "src_docs")
+    for _ in range(2):
+        messages.write.mode("append").parquet(f"{out}/queue")
+        queue = spark.readStream.schema(messages.schema).parquet(f"{out}/queue")
+        si.stream_ingest(queue, files, f"{out}/table", f"{out}/events", f"{out}/checkpoint", query_text=TEXT,
+                         answer=f"{out}/answer", max_words=1_000_000, min_words=0)
+    return spark.read.parquet(f"{out}/answer").select(
+        F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query("messages", """
+    select url, count(*) as deliveries, count(*) as n_ids
+    from (select case when json_valid(body) then json_extract_string(body, '$.url') end as url from messages) named
+    where trim(url) <> '' group by url""")
+def stream_text_messages(spark, folder):
+    """Messages as lines of text files, read as a stream a file at a time; every line has an id of its own."""
+    out = new_folder(spark, "stream-text")
+    view(spark, folder, "messages").select("body").repartition(3).write.text(f"{out}/inbox")
+    messages = sm_messages(spark, f"{out}/inbox", files_at_once=1).withColumn("url", extract_url(F.col("body")))
+    run_available(messages.writeStream.foreachBatch(batch_folder(f"{out}/read")), f"{out}/checkpoint")
+    read = spark.read.parquet(f"{out}/read").filter("trim(url) <> ''")
+    return read.groupBy("url").agg(F.count("*").alias("deliveries"), F.count_distinct("msg_id").alias("n_ids"))
+
+
 class Outage(HashProvider):
     """The hashing model, out of reach for every text whose length is a multiple of three."""
 
