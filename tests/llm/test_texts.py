@@ -135,6 +135,44 @@ def test_top_k(spark, which):
     assert nearest.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact at every size; only an answer that leaves 64 bits is an error."""
+    def answers(rows):
+        frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        return sorted(map(tuple, nearest.top_k(frame).collect()))
+
+    def exact(rows):
+        whole = [(i, [int(256 * x // 1) if abs(x) < 2**44 else 256 * int(x) for x in v]) for i, v in rows]
+        out = []
+        for i, v in whole:
+            if i % 50 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in whole if j != i)[:5]
+                out += [(i, rank, j, -score) for rank, (score, j) in enumerate(best, 1)]
+        return sorted(out)
+
+    for x in (2.0**10, 2.0**18 + 0.3, 2.0**22):
+        rows = [(50, [x, 1]), (1, [x, 0]), (2, [1, 1]), (3, [-x, 0]), (4, [x, 0.5]), (5, [x, -3]), (6, [x / 3, x]), (100, [0, 1])]
+        assert answers(rows) == exact(rows)
+    # Large components whose scores fit, and scores far below 64 bits that no answer needs.
+    rows = [(50, [1 / 256, 0.0]), (1, [2.0**41, 7]), (2, [-(2.0**50), 1]), (3, [1.0, 2.0**300])]
+    assert answers(rows) == exact(rows)
+    near = [(i, [1.0, float(i)]) for i in range(1, 7)]
+    rows = [(50, [2.0**26, 1.0]), *near, (7, [-(2.0**38), 0.0]), (8, [-1e300, 0.0])]
+    assert answers(rows) == exact(rows)
+    for v in ([2.0**38, 0.0], [1e305, 1.0], [1.7e308, 0.0]):
+        with pytest.raises(Exception, match="leaves 64 bits"):
+            answers([(50, [2.0**26, 1.0]), *near, (9, v)])
+
+
+def test_every_query_row_is_answered(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (2, [1.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = Counter(map(tuple, nearest.top_k(frame).collect()))
+    one = lambda *scores: [(50, rank, *x) for rank, x in enumerate(scores, 1)]
+    right = one((2, 3 * 65536), (2, 3 * 65536), (1, 65536))
+    assert found == Counter([*one((1, 3 * 65536), (2, 65536), (2, 65536)), *right, *right])
+
+
 def plain_repeats(rows, least):
     raw = [(r.text or "").encode() for r in rows]
     often = Counter(t[i:i + least] for t in raw for i in range(len(t) - least + 1))

@@ -14,11 +14,17 @@ together; the k-th best score there is its threshold. Then it expands to those
 other annuli whose bound is not below the threshold, and stops. Scores are exact
 integers, so the result equals that of a full search.
 
+Whole components are kept as doubles, which hold floor(256 x) exactly whatever
+its size. Products that doubles do not hold exactly are worked out in whole
+numbers without a limit; only an answer that leaves 64 bits is an error.
+
 Edge cases: vectors that are null or hold null, NaN or infinite components take
 no part, nor do rows without an id. Vectors of different widths only meet
 vectors of their own width. Equal scores go to the smaller id, equal ids count
-as rows of their own. A query with fewer than k candidates gets them all. Empty
-vectors take no part. Extra columns are ignored.
+as rows of their own. A query with fewer than k candidates gets them all. Every
+query row is answered, also where ids repeat or rows are equal in full; no query
+finds rows of its own id. Empty vectors take no part, and empty tables give no
+rows. Extra columns are ignored.
 """
 
 import numpy as np
@@ -37,18 +43,26 @@ INDEX = "dim int, pivot int, ring int, vec_ids binary, vectors binary, low doubl
 
 
 def integers(table: DataFrame, id_column="vec_id", vector="embedding") -> DataFrame:
-    """vec_id, v (array of long) and dim of the rows that take part."""
-    x = F.transform(vector, lambda c: c.cast("double"))
-    bound = F.lit(2.0**40)  # beyond it, sums of products could leave 64 bits; such values are refused by an error
+    """vec_id, v (whole numbers, as doubles) and dim of the rows that take part."""
+    def whole(c):
+        # A double of 2^53 or more is whole; one so large that 256 times it is infinite stays as it is, and scores leave 64 bits.
+        scaled = c.cast("double") * SCALE
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).when(F.abs(scaled) < float("inf"), scaled).otherwise(c.cast("double"))
+
     usable = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(
         vector, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")),
     )
-    whole = F.transform(x, lambda c: F.when(F.abs(c) < bound, F.floor(c * SCALE)).otherwise(F.raise_error(F.lit("component too large"))))
     return table.filter(usable).select(
-        F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"), F.size(vector).alias("dim"),
+        F.col(id_column).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v"), F.size(vector).alias("dim"),
     )
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Lengths of rows; one beyond the largest double is that."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(np.linalg.norm(rows, axis=-1), nan=np.finfo(float).max)
+
+
 def fit_pivots(vectors: DataFrame, pivots=PIVOTS, sample=SAMPLE) -> dict[int, np.ndarray]:
     """Pivots by width, farthest first among at most `sample` vectors chosen by a hash."""
     rows = hashed_sample(vectors, sample, "vec_id", "v").collect()
@@ -56,10 +70,10 @@ def fit_pivots(vectors: DataFrame, pivots=PIVOTS, sample=SAMPLE) -> dict[int, np
     for dim in {row.dim for row in rows}:
         points = np.array([row.v for row in rows if row.dim == dim], np.float64)
         chosen = [0]
-        distance = np.linalg.norm(points - points[0], axis=1)
+        distance = _norms(points - points[0])
         while len(chosen) < min(pivots, len(points)) and distance.max() > 0:
             chosen.append(int(distance.argmax()))
-            distance = np.minimum(distance, np.linalg.norm(points - points[chosen[-1]], axis=1))
+            distance = np.minimum(distance, _norms(points - points[chosen[-1]]))
         found[dim] = points[chosen]
     return found
 
@@ -78,14 +92,14 @@ def _keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 x = flat[starts[at][:, None] + np.arange(dim)]
                 p = shared.value.get(int(dim), np.zeros((1, dim)))
-                d = np.stack([np.linalg.norm(x - row, axis=1) for row in p])
-                pivot[at], distance[at], length[at] = d.argmin(axis=0), d.min(axis=0), np.linalg.norm(x, axis=1)
+                d = np.stack([_norms(x - row) for row in p])
+                pivot[at], distance[at], length[at] = d.argmin(axis=0), d.min(axis=0), _norms(x)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(pivot), pa.array(distance), pa.array(length)],
                 [*batch.schema.names, "pivot", "distance", "length"],
             )
 
-    return vectors.mapInArrow(run, "vec_id long, v array<long>, dim int, pivot int, distance double, length double")
+    return vectors.mapInArrow(run, "vec_id long, v array<double>, dim int, pivot int, distance double, length double")
 
 
 def build(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
@@ -93,7 +107,7 @@ def build(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     keyed = stored(_keyed(vectors, pivots), "keyed")
     widest = keyed.groupBy("dim").agg(F.greatest(F.max("distance"), F.lit(1e-9)).alias("_far"))
     # One row per width of vectors; cells stay few because rings are counted, not measured.
-    ringed = keyed.join(widest, "dim").withColumn("ring", F.floor(F.col("distance") * RINGS / F.col("_far")).cast("int")).drop("_far")
+    ringed = keyed.join(widest, "dim").withColumn("ring", F.floor(F.col("distance") / F.col("_far") * RINGS).cast("int")).drop("_far")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ("dim", "pivot", "ring", "distance", "vec_id")
     sorted_ = ringed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
@@ -124,11 +138,12 @@ def build(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 def search(queries: DataFrame, index: DataFrame, pivots: dict[int, np.ndarray], k=5) -> DataFrame:
     """query_id, rank, vec_id, score of the k best per query.
 
-    `queries` is as from `integers`; a query never finds rows of its own id. Of
-    several queries of one id the one with the smallest vector is asked.
-    `index` is stored.
+    `queries` is as from `integers`; a query never finds rows of its own id.
+    Equal queries are asked once and answered as often as they are there. `index`
+    is stored.
     """
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    # Written, so that the numbers of the queries stay what they are.
+    queries = stored(queries.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("q", F.monotonically_increasing_id()), "queries")
     packs = max(1, -(-queries.count() // QUERIES))
     cells = index.groupBy("dim", "pivot", "ring").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.max("longest").alias("longest"), F.sum("n").alias("n"),
@@ -144,61 +159,70 @@ def search(queries: DataFrame, index: DataFrame, pivots: dict[int, np.ndarray],
         rows = known.get(dim, [])
         pivot, ring, low, high, longest, n = (np.array(c, float) for c in zip(*rows)) if rows else [np.empty(0)] * 6
         centre = own.get(dim, np.zeros((1, dim)))
-        d = np.linalg.norm(centre - v, axis=1)[pivot.astype(int)]
+        d = _norms(centre - v)[pivot.astype(int)]
         # Distances carry rounding errors; a little slack keeps the bound a bound.
         gap = np.maximum(0.0, np.maximum(low - d, d - high) * (1 - 1e-9) - 1e-6)
-        length = float(v @ v)
-        by_distance = (length + longest**2 - gap**2) / 2
-        return pivot.astype(int), ring.astype(int), n, np.minimum(by_distance, np.sqrt(length) * longest) * (1 + 1e-9) + 1e-3
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = float(v @ v)
+            bound = np.minimum((length + longest**2 - gap**2) / 2, np.sqrt(length) * longest)
+            # Sums of squares carry errors of their own size; what is beyond doubles bounds nothing.
+            bound = bound + 1e-9 * (np.abs(bound) + length + longest**2) + 1e-3
+        return pivot.astype(int), ring.astype(int), n, np.where(np.isfinite(bound), bound, np.inf)
 
     def choose(first):
         def run(batches):
             for batch in batches:
                 out = []
                 for i in range(batch.num_rows):
-                    query_id, v = batch.column("vec_id")[i].as_py(), np.array(batch.column("v")[i].as_py(), np.float64)
+                    q, query_id = batch.column("q")[i].as_py(), batch.column("vec_id")[i].as_py()
+                    v = np.array(batch.column("v")[i].as_py(), np.float64)
                     pivot, ring, n, bound = bounds(v, len(v))
                     order = np.argsort(-bound, kind="stable")
                     # The fewest best cells that surely hold k others besides the query's own row.
                     home = order[:int(np.searchsorted(np.cumsum(n[order]), k + 1)) + 1]
                     if first:
-                        chosen, least = home, float("-inf")
+                        chosen, least = home, None
                     else:
                         least = batch.column("least")[i].as_py()
-                        least = float("-inf") if least is None else least
                         away = np.ones(len(bound), bool)
                         away[home] = False
-                        chosen = np.flatnonzero(away & (bound >= least))
-                    out += [(query_id, v.astype(np.int64).tobytes(), len(v), int(pivot[c]), int(ring[c]), least) for c in chosen]
+                        chosen = np.flatnonzero(away & (bound >= (-np.inf if least is None else least)))
+                    out += [(q, query_id, v.tobytes(), len(v), int(pivot[c]), int(ring[c]), least) for c in chosen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.binary(), *[pa.int32()] * 3, pa.float64()))],
-                    ["query_id", "v", "dim", "pivot", "ring", "least"],
+                    [pa.array(c, t) for c, t in zip(
+                        zip(*out) if out else [[]] * 7, (pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 3, pa.int64()))],
+                    ["q", "query_id", "v", "dim", "pivot", "ring", "least"],
                 )
         return run
 
-    routed = "query_id long, v binary, dim int, pivot int, ring int, least double"
-    near = stored(_visit(queries.mapInArrow(choose(True), routed), index, k, packs), "near")
-    least = near.withColumn("r", F.row_number().over(_best("query_id"))).filter(F.col("r") == k).select(
-        F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"),
-    ).groupBy("vec_id").agg(F.min("least").alias("least"))
-    asking = queries.join(least, "vec_id", "left")
-    far = _visit(asking.mapInArrow(choose(False), routed), index, k, packs)
-    ranked = near.unionByName(far).withColumn("rank", F.row_number().over(_best("query_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    routed = "q long, query_id long, v binary, dim int, pivot int, ring int, least long"
+    asked = queries.select("q", "vec_id", "v")
+    near = stored(_visit(asked.mapInArrow(choose(True), routed), index, k, packs), "near")
+    least = near.withColumn("r", F.row_number().over(_best())).filter((F.col("r") == k) & (F.col("beyond") >= 0)).select(
+        "q", F.col("score").alias("least"))
+    far = _visit(asked.join(least, "q", "left").mapInArrow(choose(False), routed), index, k, packs)
+    ranked = near.unionByName(far).withColumn("rank", F.row_number().over(_best())).filter(F.col("rank") <= k)
+    named = ranked.join(queries.select("q", F.col("vec_id").alias("query_id"), "times"), "q")
+    each = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
+    wide = F.raise_error(F.concat(F.lit("a score of query "), F.col("query_id"), F.lit(" leaves 64 bits"))).cast("long")
+    score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(wide)
+    return named.select("query_id", "rank", "vec_id", score.alias("score"), each.alias("_copy")).drop("_copy")
 
 
-def _best(key):
-    return Window.partitionBy(key).orderBy(F.desc("score"), "vec_id")
+def _best():
+    return Window.partitionBy("q").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
 
 
 def _visit(routed: DataFrame, index: DataFrame, k: int, packs: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of every block that a query visits, at least its threshold.
+    """q, vec_id, score and beyond: the k best of every block that a query visits, at least its threshold.
+
+    A score that leaves 64 bits is cut to them, and `beyond` says on which side.
 
     Queries that visit a cell are packed, so a block meets many of them in one product.
     """
     cell = ["dim", "pivot", "ring"]
-    salted = routed.withColumn("_pack", F.pmod(F.xxhash64("query_id"), F.lit(packs)))
-    packed = salted.groupBy(*cell, "_pack").agg(F.collect_list(F.struct("query_id", "v", "least")).alias("asked"))
+    salted = routed.withColumn("_pack", F.pmod(F.xxhash64("q"), F.lit(packs)))
+    packed = salted.groupBy(*cell, "_pack").agg(F.collect_list(F.struct("q", "query_id", "v", "least")).alias("asked"))
     pairs = index.join(packed.drop("_pack"), cell).select("dim", "vec_ids", "vectors", "asked")
 
     def run(batches):
@@ -206,31 +230,41 @@ def _visit(routed: DataFrame, index: DataFrame, k: int, packs: int) -> DataFrame
             for i in range(batch.num_rows):
                 dim = batch.column("dim")[i].as_py()
                 ids = np.frombuffer(batch.column("vec_ids")[i].as_py(), np.int64)
-                vectors = np.frombuffer(batch.column("vectors")[i].as_py(), np.int64).reshape(-1, dim)
-                # Exact in doubles below 2^53, otherwise in whole numbers.
+                vectors = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(-1, dim)
                 asked = batch.column("asked")[i].as_py()
                 for start in range(0, len(asked), QUERIES):
                     yield _best_of(asked[start:start + QUERIES], ids, vectors, dim, k)
 
-    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "q long, vec_id long, score long, beyond int")
+
+
+def _products(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products: in doubles where these hold every sum below 2^53, else in Python's whole numbers."""
+    with np.errstate(over="ignore"):
+        if float(np.abs(q).max()) * float(np.abs(vectors).max()) * q.shape[1] < 2**53:
+            return (q @ vectors.T).astype(np.int64)
+    exact = np.frompyfunc(int, 1, 1)
+    return exact(q) @ exact(vectors).T
 
 
 def _best_of(asked, ids, vectors, dim, k):
-    q = np.frombuffer(b"".join(a["v"] for a in asked), np.int64).reshape(-1, dim)
-    safe = float(np.abs(q).max()) * float(np.abs(vectors).max()) * dim < 2**53
-    scores = (q.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64) if safe else q @ vectors.T
-    query_id, vec_id, score = [], [], []
+    scores = _products(np.frombuffer(b"".join(a["v"] for a in asked), np.float64).reshape(-1, dim), vectors)
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = []
     for row, a in zip(scores, asked):
-        at = np.flatnonzero((row >= a["least"]) & (ids != a["query_id"]))
+        here = ids != a["query_id"]
+        at = np.flatnonzero(here if a["least"] is None else (row >= a["least"]) & here)
         if len(at) > k:
             # Everything above the k-th score, and of its ties the smallest ids.
-            kth = np.partition(row[at], len(at) - k)[len(at) - k]
+            kth = np.sort(row[at])[-k] if row.dtype == object else np.partition(row[at], len(at) - k)[len(at) - k]
             at = at[row[at] >= kth]
-            at = at[np.lexsort((ids[at], -row[at]))[:k]]
-        query_id += [a["query_id"]] * len(at)
-        vec_id += ids[at].tolist()
-        score += row[at].tolist()
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (query_id, vec_id, score)], ["query_id", "vec_id", "score"])
+            at = np.array(sorted(at, key=lambda i: (-int(row[i]), ids[i]))[:k])
+        for i in at:
+            score = int(row[i])
+            rows.append((a["q"], int(ids[i]), min(max(score, low), high), (score > high) - (score < low)))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["q", "vec_id", "score", "beyond"])
 
 
 def top_k(table: DataFrame, every=50, k=5) -> DataFrame:

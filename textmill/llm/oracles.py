@@ -101,14 +101,15 @@ _MIX = f"""
 
 _TOP = f"""
     with v as (
-      select vec_id, list_transform(embedding, lambda x: floor({nearest.SCALE} * x::double)) as v from embeddings
+      select row_number() over () as q, vec_id, list_transform(embedding, lambda x: floor({nearest.SCALE} * x::double)) as v
+      from embeddings
       where vec_id is not null and len(embedding) > 0
             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
     pairs as (
-      select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+      select q.q, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
       from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v) where q.vec_id % 50 = 0)
     select query_id, rank, vec_id, score from (
-      select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from pairs)
+      select *, cast(row_number() over (partition by q order by score desc, vec_id) as int) as rank from pairs)
     where rank <= 5"""
 
 _WARC = f"""
