@@ -8,9 +8,9 @@ and in `TEXT_PAGES`) with two tokens or more are candidates for its template. A
 class is valid in a page if its tokens occur there in turn, every one as often, in
 one order. The tags of valid classes that occur once divide a page into slots; of
 other valid classes every round must lie inside one slot. Texts of valid classes
-are template text, and blocks of nothing else are dropped wherever they stand,
-unless they are more than half of what would be left: then the host repeats its
-articles. Menus, headers, footers and the like are dropped, and all other blocks
+are template text, and blocks of nothing else are dropped wherever they stand. That
+is decided per host: where less than half a text per page is its own, the pages
+are copies of each other, and their texts stay. Menus, headers, footers and the like are dropped, and all other blocks
 remain: those inside <article> or <main> where there are any, and else those of
 all slots.
 
@@ -21,14 +21,18 @@ each. A host's template has at most twice the tokens of an average page.
 
 Edge cases: a null or empty html gives an empty text. A host of
 fewer than five pages has no template text. A page without a usable host is grouped under the empty host.
-Repeated rows give equal rows. Unclosed elements end with their parents, unclosed
-scripts with the page. Long pages are read whole. Extra columns are ignored.
+Repeated rows give equal rows, and an empty table none. Unclosed elements end with
+their parents, an unclosed head with the first element or text that cannot be in
+it, unclosed scripts with the page. From a quote on that is never closed, quotes
+in tags count for nothing. Long pages and deep ones are read whole, in linear
+time. Extra columns are ignored.
 """
 
 import html as markup
 import re
 from bisect import bisect_left
 from collections import Counter, deque
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -63,7 +67,11 @@ PLACES = frozenset(
 )
 DROPPED_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+
+_START = re.compile(r"<(?:!|\?|/?[a-zA-Z])")
+_PART = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
@@ -74,51 +82,110 @@ def host_of(url) -> str:
         return ""
 
 
+def _parts(page: str):
+    """The tags and comments of a page, as matches; a tag that never ends is text.
+
+    A tag in which a quote is never closed costs one walk to the end of the page; from there on quotes are not looked at.
+    """
+    pattern, at, last = _PART, 0, page.rfind(">")
+    while start := _START.search(page, at):
+        part = pattern.match(page, start.start())
+        if part is None and start.start() < last:
+            pattern = _PLAIN
+            part = pattern.match(page, start.start())
+        if part is None:
+            if start.start() > last:
+                return
+            at = start.end()
+            continue
+        skip = yield part
+        at = part.end() if skip is None else skip
+
+
+class _Open:
+    """The open elements of a page: their names, a hash of the path to each, and what is asked about them."""
+
+    def __init__(self):
+        self.names, self.hashes, self.count, self.blocks, self.dropped = [], [0], Counter(), [], 0
+
+    def push(self, name):
+        self.names.append(name)
+        self.hashes.append(self.below(name))
+        self.count[name] += 1
+        self.dropped += name in DROPPED
+        if name in BLOCKS:
+            self.blocks.append(name)
+
+    def below(self, name) -> int:
+        return hash((self.hashes[-1], _name_hash(name)))
+
+    def pop(self):
+        name = self.names.pop()
+        self.hashes.pop()
+        self.count[name] -= 1
+        self.dropped -= name in DROPPED
+        if name in BLOCKS:
+            self.blocks.pop()
+        return name
+
+
 def read(page: str):
-    """Yield (kind, name, path, names) for tags, kind `open` or `close`, and ("text", text, path, None).
+    """Yield (kind, name, path, names) for tags, kind `open` or `close`, and ("text", text, path, dropped).
 
-    `path` is the tuple of open elements, the tag's own included.
+    `path` is a number for the open elements, the tag's own included; `dropped` says whether
+    a text is inside an element that is always dropped.
     """
-    path: list[str] = []
-    at = 0
-    while True:
-        part = _PART.search(page, at)
-        end = part.start() if part else len(page)
+    above = _Open()
+
+    def close_to(name):
+        while above.names:
+            top, path = above.names[-1], above.hashes[-1]
+            yield "close", top, path, None
+            above.pop()
+            if top == name:
+                return
+
+    def text_to(end):
         if end > at:
-            yield "text", page[at:end], tuple(path), None
-        if not part:
+            text = page[at:end]
+            if above.names and above.names[-1] == "head" and text.strip():
+                yield from close_to("head")
+            yield "text", text, above.hashes[-1], above.dropped > 0
+
+    at, parts, skip = 0, _parts(page), None
+    while True:
+        try:
+            part = parts.send(skip)
+        except StopIteration:
+            yield from text_to(len(page))
             return
+        skip = None
+        yield from text_to(part.start())
         at = part.end()
         if not part[2]:
             continue
         name = part[2].lower()
         if part[1]:
-            if name in path:
-                while path:
-                    top = path[-1]
-                    yield "close", top, tuple(path), None
-                    path.pop()
-                    if top == name:
-                        break
+            if above.count[name]:
+                yield from close_to(name)
             continue
-        if name in BLOCKS and path and path[-1] == "p" or name in ("li", "option", "dd", "dt", "tr", "td", "th") and path and path[-1] == name:
-            yield "close", path[-1], tuple(path), None
-            path.pop()
-        elif name in BLOCKS and "p" in path and not any(x in BLOCKS for x in path[path.index("p") + 1:]):
-            while True:
-                top = path[-1]
-                yield "close", top, tuple(path), None
-                path.pop()
-                if top == "p":
-                    break
+        if above.count["head"] and name not in HEAD:
+            yield from close_to("head")
+        if above.names and (
+                name in BLOCKS and above.names[-1] == "p" or name in ("li", "option", "dd", "dt", "tr", "td", "th") and above.names[-1] == name):
+            yield from close_to(above.names[-1])
+        elif name in BLOCKS and above.blocks and above.blocks[-1] == "p":
+            yield from close_to("p")
         names = " ".join(f"{k.lower()}={a or b or c}" for k, a, b, c in _NAMES.findall(part[3])).lower()
-        yield "open", name, (*path, name), names
+        yield "open", name, above.below(name), names
         if name in VOID:
             continue
-        path.append(name)
+        above.push(name)
         if name in RAW:
             close = re.compile(f"</{name}", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            end = close.start() if close else len(page)
+            yield from text_to(end)
+            at = skip = end
 
 
 def _hash(text: str) -> int:
@@ -127,8 +194,13 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def token(kind, path, names) -> int:
-    return _hash(f"{kind} {'/'.join(path)} {names or ''}")
+@lru_cache(1 << 12)
+def _name_hash(name: str) -> int:
+    return _hash(name)
+
+
+def token(kind, path: int, names) -> int:
+    return _hash(f"{kind} {path} {names or ''}")
 
 
 def _token(part) -> int | None:
@@ -141,21 +213,23 @@ def _token(part) -> int | None:
 
 
 def _tokens(page: str) -> Counter:
-    found = Counter((_token(part), part[0] == "text") for part in read(page))
+    """How often each token occurs, by (token, whether it is a text, whether that is outside dropped elements)."""
+    found = Counter((_token(part), part[0] == "text", part[0] == "text" and not part[3]) for part in read(page))
     return Counter({t: n for t, n in found.items() if t[0] is not None})
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, text (whether it is one), pages, total and the sketch of its occurrence vector, summed over the pages of the host."""
+    """host, token, text (whether it is one), body (and outside dropped elements), pages, total and the sketch of its
+    occurrence vector, summed over the pages of the host."""
     def run(batches):
-        sums: dict[tuple[str, int, bool], list[int]] = {}
+        sums: dict[tuple[str, int, bool, bool], list[int]] = {}
 
         def flush():
             rows = [(*key, *v) for key, v in sums.items()]
             sums.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4))],
-                ["host", "token", "text", "pages", "total", "low", "high"],
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4))],
+                ["host", "token", "text", "body", "pages", "total", "low", "high"],
             )
 
         for batch in batches:
@@ -163,26 +237,34 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 host, text = host_of(url.as_py()), page.as_py() or ""
                 own = _hash(f"{page_id.as_py()} {url.as_py()} {text}") + (1 << 63)
                 low, high = own & 0x3FFFFFFF, own >> 34
-                for (t, is_text), n in _tokens(text).items():
-                    v = sums.setdefault((host, t, is_text), [0] * 4)
+                for key, n in _tokens(text).items():
+                    v = sums.setdefault((host, *key), [0] * 4)
                     for i, x in enumerate((1, n, n * low, n * high)):
                         v[i] += x
                 if len(sums) > 50_000:
                     yield flush()
         yield flush()
 
-    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, text boolean, pages long, total long, low long, high long")
-    return rows.groupBy("host", "token", "text").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "low", "high")))
+    rows = pages.select("page_id", "url", "html").mapInArrow(run, "host string, token long, text boolean, body boolean, pages long, total long, low long, high long")
+    return rows.groupBy("host", "token", "text", "body").agg(*(F.sum(c).alias(c) for c in ("pages", "total", "low", "high")))
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """One row per host: its template as an array of (token, class)."""
-    host_pages = counted.groupBy("host").agg(F.max("pages").alias("host_pages"))
+    """One row per host: its template as an array of (token, class), and whether its pages are copies of each other.
+
+    They are where less than half a text per page, outside dropped elements, is of no template.
+    """
+    bodies = F.coalesce(F.sum(F.when(F.col("body"), F.col("total"))), F.lit(0))
+    host_pages = counted.groupBy("host").agg(F.max("pages").alias("host_pages"), bodies.alias("texts"))
     often = counted.join(host_pages, "host").filter("2 * pages >= host_pages").filter(~F.col("text") | (F.col("pages") >= TEXT_PAGES))
-    same = often.groupBy("host", "pages", "total", "low", "high").agg(F.collect_set("token").alias("tokens"))
+    same = often.groupBy("host", "host_pages", "texts", "pages", "total", "low", "high").agg(
+        F.collect_set("token").alias("tokens"), bodies.alias("shared"))
     large = same.filter(F.size("tokens") > 1).withColumn("class", F.xxhash64("pages", "total", "low", "high"))
-    members = large.select("host", F.transform("tokens", lambda t: F.struct(t.alias("token"), F.col("class").alias("class"))).alias("m"))
-    return members.groupBy("host").agg(F.flatten(F.collect_list("m")).alias("template"))
+    pairs = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.col("class").alias("class")))
+    members = large.select("host", "host_pages", "texts", "shared", pairs.alias("m"))
+    return members.groupBy("host", "host_pages", "texts").agg(
+        F.flatten(F.collect_list("m")).alias("template"), F.sum("shared").alias("shared"),
+    ).select("host", "template", (2 * (F.col("texts") - F.col("shared")) < F.col("host_pages")).alias("copies"))
 
 
 def _valid(sequence: list[tuple[int, int]]) -> bool:
@@ -263,8 +345,8 @@ def _dropped(parts: list) -> set[int]:
     return dropped.union(hinted)
 
 
-def extract(page: str, template: dict[int, int]) -> str:
-    """Blocks of the article's slots, each on one line, joined by an empty line."""
+def extract(page: str, template: dict[int, int], copies=False) -> str:
+    """Blocks of the article's slots, each on one line, joined by an empty line; of copies, template text as well."""
     parts = list(read(page))
     places: dict[int, list[tuple[int, int]]] = {}
     for i, part in enumerate(parts):
@@ -308,10 +390,7 @@ def extract(page: str, template: dict[int, int]) -> str:
 
     kept = [b for b in blocks if not b[1]]
     inside = [b for b in kept if b[2]] or kept
-    own = [b for b in inside if not b[3]]
-    if 2 * sum(len(b[0]) for b in own) >= sum(len(b[0]) for b in inside):
-        inside = own
-    return "\n\n".join(b[0] for b in inside)
+    return "\n\n".join(b[0] for b in inside if copies or not b[3])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -321,9 +400,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for page_id, url, page, template in zip(*(batch.column(c) for c in ("page_id", "url", "html", "template"))):
+            for page_id, url, page, template, copies in zip(*(batch.column(c) for c in ("page_id", "url", "html", "template", "copies"))):
                 known = {m["token"]: m["class"] for m in template.as_py() or ()}
-                text = extract(page.as_py() or "", known)
+                text = extract(page.as_py() or "", known, bool(copies.as_py()))
                 rows.append((page_id.as_py(), url.as_py(), text, len(text)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
@@ -336,5 +415,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     narrow = pages.select(F.col("page_id").cast("long"), "url", "html")
     hosted = narrow.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "template")
+    joined = hosted.join(found, "host", "left").select("page_id", "url", "html", "template", "copies")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
