@@ -38,7 +38,8 @@ from .common import stored
 LEAST = 400
 # Lengths of marks, as shares of a window: for all texts, then for crowded marks.
 SHARES = (0.32, 0.9, 1.0)
-SHARD = 1 << 18
+# Bytes that are transformed together: the rounds of a transform are as many for few bytes as for many.
+SHARD = 1 << 20
 # Bytes of a mark's segments beyond which the mark is split.
 CROWDED = 1 << 16
 
@@ -364,8 +365,9 @@ def _hits(texts: DataFrame, marked: DataFrame, least: int, crowded: int, shares)
     moved = F.transform("hits", lambda h: F.struct(
         (F.col("first") - F.col("base") + h["first"]).alias("first"), (F.col("first") - F.col("base") + h["last"]).alias("last"),
     ))
-    whole = parts.join(inner, "segment").select(F.col("parent").alias("segment"), F.explode(moved).alias("h"))
-    whole = whole.groupBy("segment").agg(F.collect_list("h").alias("hits"))
+    # Spans stay in arrays: a segment of a crowded mark has as many parts as windows that occur again.
+    whole = parts.join(inner, "segment").select(F.col("parent").alias("segment"), moved.alias("h"))
+    whole = whole.groupBy("segment").agg(F.flatten(F.collect_list("h")).alias("hits"))
     return stored(_found(texts, distinct.join(full, "mark", "left_anti"), least).unionByName(whole), "hits")
 
 
@@ -379,10 +381,10 @@ def repeats(docs: DataFrame, least=LEAST, crowded=CROWDED) -> DataFrame:
     marked = stored(_cut(texts.withColumn("spans", spans), least, SHARES[0]), "marked")
     hits = _hits(texts, marked, least, crowded, SHARES[1:])
     spans = marked.select("sha256", "segment", "first").join(hits, "segment").select(
-        "sha256", F.explode(F.transform("hits", lambda h: F.struct(
+        "sha256", F.transform("hits", lambda h: F.struct(
             (F.col("first") + h["first"]).alias("first"), (F.col("first") + h["last"]).alias("last"),
-        ))).alias("s"),
-    ).groupBy("sha256").agg(F.collect_set("s").alias("spans"))
+        )).alias("s"),
+    ).groupBy("sha256").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
     def run(batches):
         for batch in batches:
