@@ -37,9 +37,9 @@ from .common import stored
 
 LEAST = 400
 # Lengths of marks, as shares of a window: for all texts, then for crowded marks.
-SHARES = (0.32, 0.9, 1.0)
-# Bytes that are transformed together: the rounds of a transform are as many for few bytes as for many.
-SHARD = 1 << 20
+SHARES = (0.32, 0.9, 0.97, 1.0)
+# Bytes that are transformed together, so that a transform stays in a processor's cache.
+SHARD = 1 << 16
 # Bytes of a mark's segments beyond which the mark is split.
 CROWDED = 1 << 16
 
