@@ -109,9 +109,12 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         here = padded[i:i + n]
         key = (key << 9) | np.where(alive, here, 0)
         alive &= here != 0
-    order = np.argsort(key, kind="stable")
-    new = np.ones(n, bool)
+    order = np.argsort(key)
     # Suffixes that ended are all different; equal keys stand by position, as their ends do.
+    ended = np.flatnonzero(~alive[order])
+    some = order[ended]
+    order[ended] = some[np.lexsort((some, key[some]))]
+    new = np.ones(n, bool)
     new[1:] = (key[order[1:]] != key[order[:-1]]) | ~alive[order[1:]]
     rank = np.empty(n, np.int64)
     length = 7
@@ -147,8 +150,9 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def bounded_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """For each row of the suffix order, whether its common prefix with the row above is shorter than `least`."""
     n = len(symbols)
-    row_of = np.empty(n, np.int64)
-    row_of[order] = np.arange(n)
+    order = order.astype(np.int32)
+    row_of = np.empty(n, np.int32)
+    row_of[order] = np.arange(n, dtype=np.int32)
     before = order - 1
     # The transform: the symbol before each suffix, and the row of the suffix that it begins.
     transform = symbols[before]
@@ -158,7 +162,7 @@ def bounded_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.n
     right = np.where(order < n - 1, order + 1, order)
     back = row_of[right]
     first_symbol = symbols[order]
-    next_same, last_same = np.full(n, n), np.full(n, -1)
+    next_same, last_same = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     together = np.flatnonzero((first_symbol[1:] == first_symbol[:-1]) & (first_symbol[1:] != 0)) + 1
     next_same[back[together - 1]] = back[together]
     last_same[back[together]] = back[together - 1]
