@@ -38,11 +38,13 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`.
 
-    It has to be visible to every executor; where it is unset, a folder in the
-    warehouse is taken, which every executor sees too.
+    It has to be visible to every executor. Where it is unset, a local session takes a
+    folder in the warehouse; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
