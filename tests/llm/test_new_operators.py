@@ -266,3 +266,44 @@ def test_audit(spark):
         assert r["filter"] == r.filter_order[r.step - 1]
     assert audit.audit(docs_of(spark, rows).limit(0), frame).count() == 0
     assert audit.audit(docs_of(spark, rows), frame.limit(0)).filter("good_lost + toxic_lost > 0").count() == 0
+
+
+# --- spans of long texts -----------------------------------------------------------
+
+def test_tagged_spans_against_plain_ones():
+    from textmill.llm import secrets
+
+    rng = random.Random(9)
+    for _ in range(60):
+        words = [rng.choice(["é日", "word", "AKIA" + "A" * 20, "0a" * 14, "token=abcdef12", "x"]) for _ in range(40)]
+        text = " ".join(words)
+        raw, marks = text.encode(), []
+        for m in re.finditer(rb"\S+", raw):
+            if rng.random() < 0.3:
+                marks.append(m.span())
+        base = secrets.base_spans(text)
+        want = []
+        for s, e in marks:
+            low, high = len(raw[:s].decode()), len(raw[:e].decode())
+            if all(high <= start or end <= low for start, _, end in base):
+                want.append((low, secrets.KINDS.index("crf"), high))
+        assert secrets.find(text, marks) == (base, sorted(base + want))
+    long = "é x " * 200_000
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"x", long.encode())]
+    assert len(secrets.find(long, spans)[1]) == 200_000
+
+
+def test_exception_phrases_against_plain_ones():
+    from textmill.llm import toxicity
+
+    lexicon = toxicity.Lexicon({" bad": 1.0, " worse ": 2.0}, ["not bad", "bad luck", "no worse than"], None)
+    rng = random.Random(10)
+    for _ in range(60):
+        words = [rng.choice(["not", "bad", "badly", "luck", "worse", "no", "than", "x"]) for _ in range(30)]
+        text = f" {' '.join(words)} "
+        spans = lambda part: [m.span(1) for m in re.finditer(f"(?=({re.escape(part)}))", text)]
+        spared = [s for p in lexicon.exceptions for s in spans(f" {p} ")]
+        want = sorted((s, w) for entry, w in lexicon.weights.items() for s, e in spans(entry)
+                      if not any(a <= s and e <= b for a, b in spared))
+        assert sorted(lexicon.matches(words)) == want
+    assert len(lexicon.matches(["bad", "luck", "bad", "x"] * 100_000)) == 100_000

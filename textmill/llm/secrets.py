@@ -20,6 +20,8 @@ rows give equal rows, ties between paths go to O; extra columns are ignored.
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -315,11 +317,14 @@ def find(text: str, tagged: list[tuple[int, int]]):
     if not tagged:
         return base, base
     raw = text.encode()
-    more = []
-    for s, e in tagged:
-        low = len(raw[:s].decode())
-        high = low + len(raw[s:e].decode())
-        if all(high <= start or end <= low for start, _, end in base):
+    begins, reach = [start for start, _, _ in base], list(accumulate((end for _, _, end in base), max))
+    more, at, low = [], 0, 0
+    for s, e in sorted(tagged):
+        low += len(raw[at:s].decode())
+        high, at = low + len(raw[s:e].decode()), s
+        # Of the base spans that begin before the end of this one, the one that reaches farthest decides.
+        n = bisect_left(begins, high)
+        if not (n and reach[n - 1] > low):
             more.append((low, KINDS.index("crf"), high))
     return base, sorted(base + more)
 

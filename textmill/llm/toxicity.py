@@ -24,7 +24,9 @@ never learned from. Repeated rows get equal rows; extra columns are ignored.
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +99,11 @@ class Lexicon:
             else:
                 found.append((end - length + 1, end, weight))
         if spared:
-            found = [m for m in found if not any(s <= m[0] and m[1] <= e for s, e in spared)]
+            # Of the phrases that begin no later than a match, the one that reaches farthest decides.
+            spared.sort()
+            begins, reach = [s for s, _ in spared], list(accumulate((e for _, e in spared), max))
+            before = (bisect_right(begins, m[0]) for m in found)
+            found = [m for m, n in zip(found, before) if not (n and reach[n - 1] >= m[1])]
         return [(start, weight) for start, _, weight in found]
 
     def features(self, words: list[str]) -> tuple[float, float]:
