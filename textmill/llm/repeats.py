@@ -13,8 +13,11 @@ a shard of bounded size. Where a mark has more bytes than that (a common passage
 many contexts), its distinct segments are cut again by longer marks, at last by marks
 of whole windows, of which all segments are equal.
 
-In a shard, segments (those with a count above one twice) are put in suffix
-order, each ended by a mark of its own. Intervals of suffixes with a common
+A segment with a count above one stands for that many equal ones, so all its windows
+are repeats. Where it is also the only segment of its mark, no other text has anything
+to compare with it, and its bytes do not move. All other segments meet in their shards.
+
+In a shard, segments are put in suffix order, each ended by a mark of its own. Intervals of suffixes with a common
 prefix are expanded breadth first by one byte to the left through the
 transform, which finds the lengths of the common prefixes of neighbours by
 increasing value. The expansion stops at `least`: suffixes whose common prefix
@@ -298,11 +301,16 @@ def _cut(rows: DataFrame, least: int, share: float) -> DataFrame:
 
 
 def _distinct(marked: DataFrame) -> DataFrame:
-    """One row per segment whose mark occurs again, with one of its places."""
+    """One row per segment whose mark occurs again, with one of its places.
+
+    `lone`: it occurs more than once and is the only segment of its mark.
+    """
     once = marked.groupBy("mark", "segment").agg(
         F.sum("n").alias("n"), F.max("times").alias("times"), F.min(F.struct("sha256", "first", "size")).alias("place"),
     )
-    return once.join(_again(once), "mark").select("mark", "segment", "n", "place.*")
+    again = once.groupBy("mark").agg(F.sum(F.col("n") * F.col("times")).alias("_n"), F.count(F.lit(1)).alias("_segments"))
+    lone = (F.col("_segments") == 1) & (F.col("n") > 1)
+    return once.join(again.filter("_n > 1"), "mark").select("mark", "segment", "n", "place.*", lone.alias("lone"))
 
 
 def _found(texts: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
@@ -328,19 +336,16 @@ def _found(texts: DataFrame, distinct: DataFrame, least: int) -> DataFrame:
                     held, size = [], 0
                 mark = m.as_py()
                 held.append((segment.as_py(), n.as_py(), data.as_py()))
-                size += len(held[-1][2]) * min(2, held[-1][1])
+                size += len(held[-1][2])
         if held:
             yield expand(held)
 
     def expand(held):
-        texts = [data for _, n, data in held for _ in range(min(2, n))]
-        starts = iter(repeated_starts(texts, least))
         rows = []
-        for segment, n, _ in held:
-            hits = next(starts)
+        for (segment, n, data), hits in zip(held, repeated_starts([data for _, _, data in held], least)):
             if n > 1:
-                next(starts)
-            if len(hits):
+                rows.append((segment, [{"first": 0, "last": len(data) - least}]))
+            elif len(hits):
                 first, last = runs(hits - np.arange(len(hits)))
                 rows.append((segment, [{"first": int(hits[a]), "last": int(hits[b])} for a, b in zip(first, last)]))
         return _arrays(rows, ["segment", "hits"], [pa.binary(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))])
@@ -356,9 +361,11 @@ def _hits(texts: DataFrame, marked: DataFrame, least: int, crowded: int, shares)
     Distinct segments of marks with many bytes are cut again by the next, longer marks,
     and what is found in the parts is put together for the whole.
     """
-    distinct = stored(_distinct(marked), "distinct")
+    every = stored(_distinct(marked), "distinct")
+    all_windows = F.array(F.struct(F.lit(0).alias("first"), (F.col("size") - least).alias("last"))).alias("hits")
+    lone, distinct = every.filter("lone").select("segment", all_windows), every.filter("not lone").drop("lone")
     if not shares:
-        return stored(_found(texts, distinct, least), "hits")
+        return stored(_found(texts, distinct, least).unionByName(lone), "hits")
     full = stored(distinct.groupBy("mark").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > crowded).select("mark"), "crowded")
     span = F.struct(
         F.col("segment").alias("parent"), "first", (F.col("first") + F.col("size") - least).alias("last"), "n",
@@ -372,7 +379,8 @@ def _hits(texts: DataFrame, marked: DataFrame, least: int, crowded: int, shares)
     # Spans stay in arrays: a segment of a crowded mark has as many parts as windows that occur again.
     whole = parts.join(inner, "segment").select(F.col("parent").alias("segment"), moved.alias("h"))
     whole = whole.groupBy("segment").agg(F.flatten(F.collect_list("h")).alias("hits"))
-    return stored(_found(texts, distinct.join(full, "mark", "left_anti"), least).unionByName(whole), "hits")
+    small = distinct.join(full, "mark", "left_anti")
+    return stored(_found(texts, small, least).unionByName(whole).unionByName(lone), "hits")
 
 
 def repeats(docs: DataFrame, least=LEAST, crowded=CROWDED) -> DataFrame:
