@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions.vectors import cosine_distance
+from textmill.operators import codes as co
 from textmill.operators import embedding as em
 from textmill.operators import lists as li
 from textmill.operators import search as se
@@ -231,3 +232,56 @@ def test_distance_and_dimension(spark):
     assert rows.select(cosine_distance(F.col("a"), F.col("b"))).first()[0] == pytest.approx(1 - 0.5**0.5)
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id int, embedding array<float>")
     assert {r.id for r in em.dimension_rejects(vectors, 2).collect()} == {2, 3}
+
+
+def test_codes_bound_distances():
+    made = np.random.default_rng(11)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for dim, spread in ((3, 1.0), (64, 1.0), (300, 8.0)):
+        vectors, queries = (unit(made.normal(size=(n, dim)) * made.exponential(spread, size=(n, dim))) for n in (200, 30))
+        vectors[:30] = queries
+        lower, upper = co.bounds(queries, *co.encode(vectors))
+        exact = np.round(1 - queries @ vectors.T, 9)
+        assert (lower <= exact).all() and (exact <= upper).all() and (upper - lower).max() < 0.1
+    lower, upper = co.bounds(np.array([[1.0, 0.0], [np.nan] * 2]), *co.encode(np.array([[np.nan] * 2, [0.0, 1.0]])))
+    assert np.isinf(lower).tolist() == np.isinf(upper).tolist() == [[True, False], [True, True]]
+
+
+@pytest.mark.parametrize("k", [1, 5, 700])
+def test_codes_answer_as_the_exact_search(spark, k):
+    made = np.random.default_rng(12)
+    vectors = np.concatenate([made.normal(size=(300, 16)), made.integers(-1, 2, (200, 16)), np.zeros((9, 16))])
+    vectors[300:340] = vectors[300]
+    queries = np.concatenate([made.normal(size=(6, 16)), vectors[300:301], np.zeros((1, 16))])
+    table = frame(spark, vectors, "id", [f"v{i:03}" for i in range(len(vectors))]).repartition(5)
+    table = table.union(spark.createDataFrame([("null", None)], table.schema))
+    asked = frame(spark, queries, "query_id")
+    codes = co.encoded(table, dim=16)
+    got = co.top_k_codes(codes, table, asked, k, dim=16).collect()
+    want = se.top_k_batch(table, asked, k, dim=16).collect()
+    as_rows = lambda rows: sorted((r.query_id, r["rank"], r.id, str(r.distance)) for r in rows)
+    assert as_rows(got) == as_rows(want)
+    assert co.top_k_codes(codes.limit(0), table, asked, k, dim=16).count() == 0
+    assert co.top_k_codes(codes, table, asked.limit(0), k, dim=16).count() == 0
+
+
+def test_codes_leave_few_exact_products(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("embedding is not null").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    codes = co.encoded(vectors, "vec_id")
+    left = co.candidates(codes, asked, 10, vector_id="vec_id").count()
+    size = codes.agg(F.sum(F.octet_length("codes") + F.octet_length("scale") + F.octet_length("error") + F.octet_length("digests"))).first()[0]
+    n = vectors.count()
+    print("products", left, "of", n * asked.count(), "bytes", size, "of", n * 64 * 4)
+    assert left < 0.03 * n * asked.count() and size < 0.35 * n * 64 * 4
+
+
+def test_copies_do_not_crowd_a_query(spark):
+    made = np.random.default_rng(13)
+    vectors = made.normal(size=(3000, 8))
+    vectors[1000:2000] = vectors[5]  # a third are copies
+    table, asked = frame(spark, vectors, "id").repartition(4), frame(spark, vectors[5:6], "query_id")
+    codes = co.encoded(table, dim=8)
+    assert co.candidates(codes, asked, 10, 8).count() <= 4 * 10
+    got = co.top_k_codes(codes, table, asked, 10, 8)
+    assert found(got) == {0: [5, *range(1000, 1009)]} == found(se.top_k_batch(table, asked, 10, 8))

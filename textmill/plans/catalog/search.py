@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textmill.functions.vectors import cosine_distance
+from textmill.operators import codes as co
 from textmill.operators import embedding as em
 from textmill.operators import lists as li
 from textmill.operators import search as se
@@ -168,6 +169,16 @@ def topk_batch(spark, folder):
     return _rounded(found, "query_id", "vec_id")
 
 
+@query("chunk_vectors", _TOPK_BATCH)
+def topk_codes(spark, folder):
+    """The same through 8-bit codes, with exact distances only for the rows that these leave open."""
+    path = new_folder(spark, "codes")
+    vectors = view(spark, folder, "chunk_vectors").select("vec_id", "embedding")
+    co.encoded(vectors, "vec_id").write.parquet(path)
+    found = co.top_k_codes(spark.read.parquet(path), vectors, label_queries(spark, folder), 10, vector_id="vec_id")
+    return _rounded(found, "query_id", "vec_id")
+
+
 @query("chunk_vectors", f"""
     with asked as (select 0 as query_id, '{TEXT}' as text),
     {HASHED('q', 'asked', 'query_id', 'text')},
