@@ -196,6 +196,24 @@ def test_no_repeats(tables):
     assert [r.n_removed for r in repeats.repeats(tables["odd"].filter("doc_id = 7").limit(1)).collect()] == [0]
 
 
+def test_planted_passages(spark):
+    rng = random.Random(8)
+    words = lambda size: "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+    long, short, whole = words(450), words(399), words(700)
+    texts = [words(900) for _ in range(8)]
+    for i in (0, 1, 2):
+        texts[i] = f"{texts[i][:300 + i]}<{i}{long}{i}>{texts[i][300 + i:]}"
+    for i in (3, 4):
+        texts[i] = f"{texts[i][:200]}<{i}{short}{i}>{texts[i][200:]}"
+    # A text that is there twice, and once more inside another one.
+    texts += [whole, whole, f"{words(50)}<{whole}>{words(500)}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    for crowded in (1 << 16, 500):
+        got = repeats.repeats(docs, 400, crowded).collect()
+        assert Counter(tuple(r)[:5] for r in got) == Counter(plain_repeats(docs.collect(), 400))
+        assert [r.n_removed for r in sorted(got, key=lambda r: r.doc_id)] == [450] * 3 + [0] * 5 + [700] * 3
+
+
 def test_transform_against_loops():
     rng = random.Random(1)
     for _ in range(200):

@@ -10,7 +10,8 @@ bytes of their tokens.
 
 Edge cases: a null text is encoded as an empty one, without ids. Special tokens
 do not exist; their names are ordinary text. Long texts are encoded whole, match
-by match. Repeated rows give equal rows; extra columns are ignored.
+by match. Repeated rows give equal rows, an empty table
+none; extra columns are ignored.
 """
 
 import base64

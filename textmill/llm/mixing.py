@@ -10,7 +10,8 @@ first, then documents up to the budget, the one on the cut in part.
 Edge cases: null and empty texts have size 0 and nothing is taken from them. A
 source without words has target 0. Rows repeated in full are each counted; where
 rows agree in id and size, it does not matter which of them comes first. A null
-doc_id is ordered by its text. Extra columns are kept by `shown`.
+doc_id is ordered by its text. Extra columns are kept by `shown`, and an
+empty table gives no rows.
 """
 
 from pyspark.sql import DataFrame, Window

@@ -5,13 +5,15 @@ cutoffs of a rule are tried from the loosest to the strictest. A cutoff may be
 used in a stratum when the labelled good documents of that stratum prove, by an
 exact binomial test, that it rejects at most `risk` of the good ones. The tests
 of one rule form a fixed sequence that stops at its first failure; across rules
-and strata the error `delta` is divided evenly (Bonferroni). With too few
+and strata the error `delta` is divided evenly (Bonferroni). The bound holds for each
+rule: together the six may reject at most six times `risk` of a stratum's good documents. With too few
 labelled documents no cutoff can be proved, and the rule rejects nothing there.
 
 Edge cases: a null or empty text has no words, so it fails the base rule. A null
 or unlisted language is the stratum `other`. Labels other than 0 and 1 are
 ignored; a document labelled more than once counts as good only if all its
-labels say so. Repeated rows are judged alike. Columns beyond those used are kept.
+labels say so. Repeated rows are judged alike. Columns beyond those used are kept. An
+empty table gives no rows, and without labels there are no cutoffs.
 """
 
 from pyspark.sql import Column, DataFrame

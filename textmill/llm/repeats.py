@@ -26,7 +26,7 @@ has not been bounded by then share a window.
 Edge cases: a null text is empty; texts shorter than `least` have no repeats.
 Repeated rows are repeats of each other. Strings may overlap themselves, as in a
 run of one letter. Long texts are handled whole. A null doc_id is a document
-like any other; extra columns are ignored.
+like any other; extra columns are ignored. An empty table gives no rows.
 """
 
 import hashlib

@@ -15,7 +15,8 @@ path is O there, so Viterbi runs only over the stretches between such tokens.
 
 Edge cases: a null text is an empty one, without spans. Offsets are code points.
 Without any sample, or without base spans in it, the field tags nothing. Repeated
-rows give equal rows, ties between paths go to O; extra columns are ignored.
+rows give equal rows, an empty table none; ties between paths go to O; extra
+columns are ignored.
 """
 
 import hashlib

@@ -10,7 +10,8 @@ rank in the shard; both ranks are prefix sums over blocks of a hash order.
 
 Edge cases: a null text counts as empty (8 bytes), and null and empty texts are
 one group. A group larger than a fair share fills its shard alone. Repeated rows
-are members of the same group and get slots of their own.
+are members of the same group and get slots of their own. An empty table gives no
+rows. Columns beyond doc_id and text are ignored by `described`, which fixes those of `shard`.
 """
 
 import heapq

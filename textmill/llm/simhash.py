@@ -19,7 +19,8 @@ tree and its own task, so no pair is lost and no task holds a large shard.
 Edge cases: a null, empty or blank text has fingerprint 0 and is linked like any
 other; texts of one or two words are one shingle. A null doc_id takes part and
 never names a component unless its component has no other. Repeated rows share
-their component. Extra columns are kept by `one_of_each`.
+their component. Extra columns are kept by `one_of_each`. An empty table gives no
+rows.
 """
 
 from itertools import combinations

@@ -18,7 +18,8 @@ Edge cases: a null, empty or wordless text has no matches and gets the score of
 such texts. Without toxic labels to learn from the lexicon is empty and every
 score is 0. A doc_id with several labels is toxic if one of them says
 so; labels other than 0 and 1 are ignored. A null doc_id is never held out and
-never learned from. Repeated rows get equal rows; extra columns are ignored.
+never learned from. Repeated rows get equal rows, an empty table gives
+none; extra columns are ignored.
 """
 
 import math
