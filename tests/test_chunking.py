@@ -1,13 +1,17 @@
 """The chunker against a plain loop, on hand-made and on random texts."""
 
+import pathlib
 import re
 
 import numpy as np
+import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from textmill.operators.chunking import batch_plan, chunk_documents, pack_chunks, whole_documents
-from textmill.operators.spread import _cut, _function, paragraph_rows, scan_paragraphs, spread_chunks
+from textmill.operators.spread import (
+    _cut, _function, _short_functions, _whole_groups, paragraph_rows, scan_paragraphs, spread_chunks,
+)
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -115,6 +119,35 @@ def test_blocks_compose():
             assert (after[words], closed[words]) == (min(last, most + 1), chunks[-1])
 
 
+def test_short_blocks_are_worked_out_side_by_side():
+    rng = np.random.default_rng(3)
+    for most in (1, 7, 40):
+        blocks = [rng.choice([0, 0, 1, 2, 5, 60], n) for n in (1, 16, 3, 64)]
+        for counts, (after, closed) in zip(blocks, _short_functions(blocks, most)):
+            want = _function(counts, most)
+            assert (after == want[0]).all() and (closed == want[1]).all()
+    assert _short_functions([], 7) == []
+
+
+def test_groups_are_whole_whatever_the_batches():
+    rows = pd.DataFrame({"doc": ["a"] * 3 + ["b"] * 5 + ["c"], "i": range(9)})
+    for size in (1, 2, 4, 9):
+        frames = list(_whole_groups((rows.iloc[k:k + size] for k in range(0, 9, size)), ["doc"]))
+        assert pd.concat(frames, ignore_index=True).equals(rows)
+        assert sum(frame["doc"].nunique() for frame in frames) == 3
+
+
+def test_documents_share_a_call_of_python(spark, tmp_path):
+    """Many small documents pass through Python as batches of rows, not as groups of one document each."""
+    docs = spark.createDataFrame([(i, "one two\n\nthree four\n\nfive") for i in range(50)], "doc int, content string")
+    before = len(list(pathlib.Path(spark.conf.get("spark.checkpoint.dir")).glob("numbered-*")))
+    found = spread_chunks(paragraph_rows(docs, "doc"), "doc", 4, 1, width=1)
+    assert "FlatMapGroupsIn" not in found._jdf.queryExecution().toString()
+    assert len(list(pathlib.Path(spark.conf.get("spark.checkpoint.dir")).glob("numbered-*"))) == before + 1
+    assert [(r.chunk_no, r.n_words, r.content) for r in found.filter("doc = 7").orderBy("chunk_no").collect()] == [
+        (0, 4, "one two\n\nthree four"), (1, 1, "five")]
+
+
 def test_one_file_of_many_lines(spark, tmp_path):
     """A file is read in parts, and its chunks are those of the whole text."""
     rng = np.random.default_rng(2)

@@ -9,19 +9,23 @@ a task holds one block, or the functions of one document: `max_words` + 2 number
 `WIDTH` paragraphs.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill import schemas
 from textmill.functions.text import meaningful_words, trimmed
 from textmill.operators.chunking import CHUNK_JOIN, split_paragraphs
 from textmill.operators.ordered import OrderedLog
+from textmill.session import new_folder
 
 # Paragraphs of a block, and bytes of a file whose lines are numbered together.
 WIDTH, FILE_WIDTH = 1 << 16, 1 << 24
-_TOGETHER = 32
+# Paragraphs or blocks that are worked on together, and paragraphs of a block that is short.
+_TOGETHER, _SHORT = 32, 64
 
 
 def paragraph_rows(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
@@ -76,6 +80,20 @@ def _function(counts: np.ndarray, max_words: int) -> tuple[np.ndarray, np.ndarra
     return state[whose], closed
 
 
+def _short_functions(counts: list[np.ndarray], max_words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As `_function` for several blocks of few paragraphs, which are worked out side by side."""
+    lengths = np.array([len(some) for some in counts], np.int64)
+    state = np.tile(np.arange(max_words + 2), (len(counts), 1))
+    closed = np.zeros_like(state)
+    for k in range(lengths.max(initial=0)):
+        here = lengths > k
+        n = np.array([some[k] if k < len(some) else 0 for some in counts], np.int64)[:, None]
+        closes = (state > 0) & (state + n > max_words) & here[:, None]
+        state = np.minimum(np.where(closes, n, state + n), max_words + 1)
+        closed += closes
+    return list(zip(state, closed))
+
+
 def _cut(counts: np.ndarray, state: int, max_words: int) -> tuple[np.ndarray, int]:
     """Chunks closed before each paragraph, one that closes just before it included, and the open words at the end."""
     closes = np.zeros(len(counts), np.int64)
@@ -87,36 +105,109 @@ def _cut(counts: np.ndarray, state: int, max_words: int) -> tuple[np.ndarray, in
     return np.cumsum(closes), state
 
 
+def _whole_groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted rows in frames that end where a group ends, whatever the batches they come in."""
+    rest = None
+    for frame in frames:
+        if not len(frame):
+            continue
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        last = _starts(frame, by)[-1]
+        if last:
+            yield frame.iloc[:last].reset_index(drop=True)
+        rest = frame.iloc[last:].reset_index(drop=True)
+    if rest is not None:
+        yield rest
+
+
+def _starts(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Where groups of equal neighbours begin."""
+    new = np.zeros(len(frame), bool)
+    new[0] = True
+    for column in by:
+        values = frame[column].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    return zip(starts.tolist(), [*starts[1:].tolist(), n])
+
+
 def spread_chunks(parts: DataFrame, key: str, max_words=schemas.MAX_WORDS, min_words=schemas.MIN_WORDS, width=WIDTH) -> DataFrame:
-    """(key, chunk_no, n_words, content) as `chunk_documents` cuts them, from rows (key, i, part)."""
+    """(key, chunk_no, n_words, content) as `chunk_documents` cuts them, from rows (key, i, part).
+
+    Blocks pass through Python as sorted rows, many of them in a batch. Functions are formed of the
+    blocks that another one of their document follows. Words are counted once. Texts stay out of it until their paragraphs
+    have chunk numbers: they are shuffled to these, and to their chunks. Rows without a key are left out.
+    """
     kind = parts.schema[key].dataType.simpleString()
-    sized = parts.select(key, "i", F.floor(F.col("i") / width).cast("bigint").alias("block"), meaningful_words(F.col("part")).alias("n"))
-
-    def function(block: pd.DataFrame) -> pd.DataFrame:
-        after, closed = _function(block.sort_values("i")["n"].to_numpy(), max_words)
-        return pd.DataFrame({key: block[key].iloc[:1], "block": block["block"].iloc[:1], "after": [after], "closed": [closed]})
-
-    def begin(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        state, chunk, states, chunks = 0, 0, [], []
-        for after, closed in zip(blocks["after"], blocks["closed"]):
-            states.append(state)
-            chunks.append(chunk)
-            state, chunk = int(after[state]), chunk + int(closed[state])
-        return blocks[[key, "block"]].assign(state=states, chunk=chunks)
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i")
-        chunk = rows["chunk"].iloc[0] + _cut(rows["n"].to_numpy(), int(rows["state"].iloc[0]), max_words)[0]
-        return rows[[key, "i", "n"]].assign(chunk=chunk)
-
-    functions = sized.groupBy(key, "block").applyInPandas(function, f"{key} {kind}, block bigint, after array<bigint>, closed array<bigint>")
-    begins = functions.groupBy(key).applyInPandas(begin, f"{key} {kind}, block bigint, state bigint, chunk bigint")
-    numbered = sized.join(begins, [key, "block"]).groupBy(key, "block").applyInPandas(number, f"{key} {kind}, i bigint, n int, chunk bigint")
-    joined = parts.select(key, "i", "part").join(numbered, [key, "i"])
-    chunks = joined.groupBy(key, "chunk").agg(
-        F.sum("n").alias("n_words"), F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))
-    kept = chunks.filter(F.col("n_words") >= min_words).select(
-        key, "chunk", "n_words", F.array_join("parts.part", CHUNK_JOIN).alias("content"))
-    counted = OrderedLog(kept, [key], ["chunk"]).scan(sums={"_nth": F.lit(1)}).result()
-    return counted.select(key, (F.col("_nth") - 1).cast("int").alias("chunk_no"), F.col("n_words").cast("int").alias("n_words"), "content")
+    blocks = [key, "block"]
+    spark, folder = parts.sparkSession, new_folder(parts.sparkSession, "numbered")
+    parts.filter(F.col(key).isNotNull()).select(
+        key, "i", F.floor(F.col("i") / width).cast("bigint").alias("block"), meaningful_words(F.col("part")).alias("n")
+    ).write.parquet(f"{folder}/sized")
+    sized = spark.read.parquet(f"{folder}/sized")
+
+    def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, blocks):
+            counts, starts = frame["n"].to_numpy(), _starts(frame, blocks)
+            first = frame["first"].to_numpy()
+            for some in np.array_split(starts, -(-len(starts) // _TOGETHER)):
+                ends = np.append(starts, len(frame))[np.searchsorted(starts, some) + 1]
+                made = dict.fromkeys(some.tolist())
+                short = [(a, b) for a, b in zip(some.tolist(), ends.tolist()) if b - a <= _SHORT and not first[a]]
+                made.update(zip((a for a, _ in short), _short_functions([counts[a:b] for a, b in short], max_words)))
+                for a, b in zip(some.tolist(), ends.tolist()):
+                    if first[a]:  # begins with no open words
+                        chunks, last = _cut(counts[a:b], 0, max_words)
+                        made[a] = np.array([min(last, max_words + 1)]), chunks[-1:]
+                    elif made[a] is None:
+                        made[a] = _function(counts[a:b], max_words)
+                yield frame.loc[some, blocks].assign(
+                    after=[after for after, _ in made.values()], closed=[closed for _, closed in made.values()])
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, [key]):
+            after, closed = frame["after"].to_numpy(), frame["closed"].to_numpy()
+            states, chunks = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
+            for a, b in _spans(_starts(frame, [key]), len(frame)):
+                state, chunk = 0, 0
+                for k in range(a, b):
+                    state, chunk = int(after[k][state]), chunk + int(closed[k][state])
+                    states[k], chunks[k] = state, chunk
+            yield frame[[key, "next"]].assign(state=states, chunk=chunks).rename(columns={"next": "block"})
+
+    def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames, blocks):
+            counts, states = frame["n"].to_numpy(), frame["state"].to_numpy()
+            chunk, starts = frame["chunk"].to_numpy().copy(), _starts(frame, blocks)
+            for a, b in _spans(starts, len(frame)):
+                chunk[a:b] += _cut(counts[a:b], int(states[a]), max_words)[0]
+            same = _starts(frame, [*blocks, "i"])
+            times = np.diff(np.append(same, len(frame)))
+            yield frame[[key, "i", "n"]].assign(chunk=chunk, times=np.repeat(times, times))
+
+    # A number of tasks of its own: rows are few bytes and much work, which AQE would put together.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    follow = Window.partitionBy(key).orderBy("block")
+    known = sized.select(*blocks).distinct().select(
+        *blocks, F.lead("block").over(follow).alias("next"), F.lag("block").over(follow).isNull().alias("first"))
+    ended = sized.join(known.filter("next is not null"), blocks)
+    made = ended.repartition(tasks, *blocks).sortWithinPartitions(*blocks, "i").select(*blocks, "n", "first").mapInPandas(
+        functions, f"{key} {kind}, block bigint, after array<bigint>, closed array<bigint>")
+    begins = made.join(known.select(*blocks, "next"), blocks).repartition(tasks, key).sortWithinPartitions(*blocks).mapInPandas(
+        begin, f"{key} {kind}, block bigint, state bigint, chunk bigint")
+    placed = sized.join(begins, blocks, "left").select(
+        *blocks, "i", "n", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("state", "chunk")])
+    placed.repartition(tasks, *blocks).sortWithinPartitions(*blocks, "i").mapInPandas(
+        number, f"{key} {kind}, i bigint, n int, chunk bigint, times bigint").write.parquet(f"{folder}/chunks")
+    numbered = spark.read.parquet(f"{folder}/chunks")
+    # A paragraph that is given several times is joined with each of its rows.
+    sizes = numbered.groupBy(key, "chunk").agg(F.sum(F.col("n") * F.col("times")).alias("n_words"))
+    counted = OrderedLog(sizes.filter(F.col("n_words") >= min_words), [key], ["chunk"]).scan(sums={"_nth": F.lit(1)}).result()
+    chosen = counted.select(key, "chunk", "n_words", (F.col("_nth") - 1).cast("int").alias("chunk_no"))
+    homes = numbered.select(key, "i", "chunk").join(chosen, [key, "chunk"]).drop("chunk")
+    chunks = parts.select(key, "i", "part").join(homes, [key, "i"]).groupBy(key, "chunk_no").agg(
+        F.max("n_words").cast("int").alias("n_words"), F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))
+    return chunks.select(key, "chunk_no", "n_words", F.array_join("parts.part", CHUNK_JOIN).alias("content"))
