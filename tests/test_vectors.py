@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,20 @@ def test_a_failing_batch_is_halved():
     assert sum(v is not None for v in vectors) == 255
 
 
+def test_texts_leave_an_arrow_batch_a_few_at_a_time():
+    """A batch is cut by number and by bytes; a text above the limit is alone, null texts keep their place."""
+    texts = ["a" * 10, None, "b" * 95, "c" * 300, "", "d", "e", "f"]
+    cut = [part.to_pylist() for part in em._slices(pa.array(texts), 3, 100)]
+    assert cut == [["a" * 10, None, "b" * 95], ["c" * 300], ["", "d", "e"], ["f"]]
+    assert list(em._slices(pa.array([], pa.string()), 3, 100)) == []
+
+
+def test_words_are_split_at_ascii_white_space_only():
+    one = em.HashProvider(16)
+    assert (one([" a\tb\x0bc\x0c\r\nd "])[0] == one(["a b c d"])[0]).all()
+    assert (one(["a\u2003b\x85c\x1cd"])[0] != 0).sum() == 1
+
+
 def test_hash_vectors(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "id int, content string")
     rows = {row.id: row for row in em.embed(docs, dim=16).collect()}

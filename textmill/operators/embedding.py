@@ -19,7 +19,8 @@ Provider = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 HASH_DIM = 64
 CACHED_WORDS = 1 << 18
-_GAP = "[ \t\n\x0b\f\r]+"
+# Bytes of text that are taken out of an Arrow batch at a time, up to the last of them.
+SLICE_BYTES = 4 << 20
 
 
 class _Buckets(dict):
@@ -49,7 +50,7 @@ class HashProvider:
 
     def __call__(self, texts):
         # Words are told apart by Arrow; only the distinct ones of a batch are hashed.
-        words = pc.split_pattern_regex(pa.array(texts, pa.large_string()), _GAP)
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = words.flatten().dictionary_encode()
         buckets = np.array([self.buckets[w] if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
         at = buckets[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
@@ -91,17 +92,25 @@ def _vectors(provider: Provider, texts: list, dim: int):
     return left[0] + right[0], left[1] + right[1]
 
 
+def _slices(batch: pa.Array, size: int, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A batch in parts of at most `size` texts, of at most `most` bytes up to their last one."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(batch):
+        before = upto[start - 1] if start else 0
+        end = min(start + size, len(batch), int(np.searchsorted(upto, before + most)) + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def embedding_udf(provider: Provider, dim: int, batch_size: int):
     @F.arrow_udf("struct<embedding: array<float>, error: string>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            vectors, errors = [], []
-            for start in range(0, len(texts), batch_size):
-                some = _vectors(provider, texts[start:start + batch_size], dim)
-                vectors += some[0]
-                errors += some[1]
-            yield _as_struct(vectors, errors)
+            if not len(batch):
+                yield _as_struct([], [])
+            for some in _slices(batch, batch_size):
+                yield _as_struct(*_vectors(provider, some.to_pylist(), dim))
 
     # Declared so that Catalyst does not run the model a second time in a filter
     # on its result that it pushes below this step.
