@@ -1,5 +1,6 @@
 """Ingest jobs on files, in batch and as streams."""
 
+import hashlib
 import json
 import glob
 import time
@@ -8,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textmill.plans import ingest as jobs
+from textmill.plans.catalog import QUERIES
+from textmill.plans.catalog.ingest import file_rows
 from textmill.sources import compaction
 from textmill.sources import vector_table as vt
 from textmill.sources.files import scan_text_dir, stream_text_dir
@@ -421,3 +424,21 @@ def test_streams_know_compacted_runs(spark, tmp_path):
     (inbox / "1.json").write_text(json.dumps({"url": ALL[0]}) + "\n" + json.dumps({"url": ALL[1]}))
     si.stream_ingest(stream_messages(spark, str(inbox)), files(spark), table, str(tmp_path / "ev"), str(tmp_path / "c"), **small)
     assert read_vectors(spark, table).count() == 6
+
+
+def test_a_batch_of_the_file_table_is_chosen_before_it_is_embedded(spark):
+    rows = file_rows(spark, "/root/testdata/sf0.001", F.col("doc_id") % 3 == 0)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("ArrowEvalPython") < plan.index("% 3")
+    assert [r.m for r in rows.select((F.col("doc_id") % 3).alias("m")).distinct().collect()] == [0]
+
+
+def test_text_folder_is_written_by_one_shuffle(spark, tmp_path, monkeypatch):
+    """Every file has the documents of its eighth in order, whatever partitions they come in; rows without an id are in none."""
+    docs = spark.createDataFrame([(i, None if i == 9 else f"text {i}", "en", "web", 5) for i in range(40)] + [(None, "x", "en", "web", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(type(docs), "coalesce", None)  # no task reads the whole table
+    texts = [("\n".join("" if i == 9 else f"text {i}" for i in range(n, 40, 8)) + "\n") for n in range(8)]
+    found = QUERIES["scan_text_folder"](spark, str(tmp_path)).collect()
+    assert sorted(r.content_md5 for r in found) == sorted(hashlib.md5(t.encode()).hexdigest() for t in texts)

@@ -245,9 +245,10 @@ def scan_text_folder(spark, folder):
     """A folder of text files, each of an eighth of the documents; a file of another kind is not read."""
     path = new_folder(spark, "texts")
     docs = view(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    for n in range(8):
-        part = docs.filter(F.col("doc_id") % 8 == n).coalesce(1).sortWithinPartitions("doc_id").select("text")
-        part.write.mode("append").text(path)
+    # One shuffle: a task reads the documents of its file, and the table is read once.
+    eighth = F.col("doc_id") % 8
+    parts = docs.filter(eighth.between(0, 7)).repartitionById(8, eighth.cast("int")).sortWithinPartitions("doc_id")
+    parts.select("text").write.mode("append").text(path)
     docs.limit(1).write.mode("append").json(path)
     return scan_text_dir(spark, path).groupBy(
         F.md5("content").alias("content_md5"), F.substring_index("url", ".", -1).alias("ending")).agg(
