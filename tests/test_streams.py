@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators.control import gate_messages
 from textmill.operators.counters import COUNTERS, running_counters
+from textmill.plans.catalog.streams import in_late_batches
 from textmill.streaming import gate as sg
 from textmill.streaming import inorder as io
 from textmill.streaming import metrics as sm
@@ -43,6 +44,18 @@ def ticks(spark, sec, names=("a", "b", None)):
     return timed(spark.createDataFrame([(sec, n) for n in names], "sec int, instance_id string"))
 
 
+def test_more_rows_are_more_files_of_a_queue(spark, tmp_path):
+    """Files stay as large as they are; every row is in one, at most one after that of its time."""
+    rows = spark.range(1000).select((F.col("id") * 1_000_000).alias("_at"), "id").union(spark.sql("select null, 1000L"))
+    stream_of, delay = in_late_batches(rows, f"{tmp_path}/q", most=100)
+    files = sorted((tmp_path / "q").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    held = [spark.read.parquet(str(f)).toPandas() for f in files]
+    held = [h for h in held if len(h)]
+    assert stream_of.isStreaming and len(held) == 11 and max(map(len, held)) <= 120 and 199 < delay <= 201
+    assert sorted(i for h in held for i in h["id"]) == list(range(1000))
+    assert all(n - 1 <= i // 100 <= n for n, h in enumerate(held) for i in h["id"])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_gate_in_batches(spark, tmp_path, seed):
     commands, messages = logs(spark, seed)

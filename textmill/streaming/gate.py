@@ -50,13 +50,14 @@ def _decide(rows: pd.DataFrame, carried: dict) -> tuple[pd.DataFrame, dict]:
     """The switch after every row, and the span: changes so far. An instance starts off, in span 0."""
     on, span = bool(carried.get("on", False)), int(carried.get("span", 0))
     places, states, spans, releases = [-1], [on], [span], []
+    times = rows[AT].to_numpy()
     acts = rows.index[(rows["kind"] == COMMAND) & rows["command"].isin(["start", "stop", "toggle"])]
     for place, command in zip(acts, rows.loc[acts, "command"]):
         after = not on if command == "toggle" else command == "start"
         if after == on:
             continue
         if after:
-            releases.append((int(rows.at[place, AT]), span))
+            releases.append((int(times[place]), span))
         on, span = after, span + 1
         places.append(place)
         states.append(on)
