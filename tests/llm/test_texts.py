@@ -214,6 +214,26 @@ def test_planted_passages(spark):
         assert [r.n_removed for r in sorted(got, key=lambda r: r.doc_id)] == [450] * 3 + [0] * 5 + [700] * 3
 
 
+def test_long_periods_are_few_rows(spark, monkeypatch):
+    """A period that goes on in many contexts has as many segments as windows, of which few differ."""
+    rng = random.Random(9)
+    words = lambda size: "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+    texts = [f"{words(60)}{'buy now ' * (70 + i)}{words(60)}" for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    made, stored = {}, repeats.stored
+
+    def counted(rows, name):
+        out = stored(rows, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "stored", counted)
+    got = repeats.repeats(docs, 400, 500).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(plain_repeats(docs.collect(), 400))
+    # A row for every place made 1,630; windows that are cut one by one differ in few ways per text.
+    assert 0 < made["parts"] < 300
+
+
 def test_transform_against_loops():
     rng = random.Random(1)
     for _ in range(200):
