@@ -12,6 +12,7 @@ from textmill.plans.catalog.streams import in_late_batches
 from textmill.streaming import gate as sg
 from textmill.streaming import inorder as io
 from textmill.streaming import metrics as sm
+from textmill.streaming.sinks import run_available
 
 COMMANDS = "cmd_id long, sec int, instance_id string, command string"
 MESSAGES = "msg_id long, sec int, instance_id string"
@@ -156,3 +157,48 @@ def test_queue_files_keep_the_limits(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(n for n in seen if n) == sorted(len(held) for held in slots.values())
+
+
+def test_a_batch_reads_the_files_it_names(spark, tmp_path):
+    """Contents are dealt out with the messages; a batch opens those of its own file of the queue."""
+    import json
+
+    from textmill.streaming import admission as ad
+
+    files = spark.createDataFrame([(f"/f/{i}", "x" * (i % 7 * 100)) for i in range(90)] + [(None, "n"), ("/f/blank", None)], "url string, content string")
+    urls = [f"/f/{i}" for i in range(80)] + ["/f/none", "/f/blank", *["/f/7"] * 60]
+    bodies = [(i, json.dumps({"url": u})) for i, u in enumerate(urls)] + [(900, "not json")]
+    messages, queue = spark.createDataFrame(bodies, "msg_id bigint, body string"), str(tmp_path / "q")
+    for _ in range(2):  # a repeated batch
+        ad.deal(messages, ad.file_sizes(files), queue, 20, 3000, files=files)
+    of, seen = ad.dealt_files(spark, queue), []
+
+    def run(batch, _):
+        named = {json.loads(r.body)["url"] for r in batch.collect()}
+        seen.append((named, {r.url: r.content for r in of(batch).collect()}, of(batch).count(), of(batch).inputFiles()))
+
+    stream = ad.stream_dealt(spark, queue, f"msg_id bigint, body string, {ad.DEALT} string")
+    run_available(stream.writeStream.foreachBatch(run), str(tmp_path / "c"))
+    contents = {r.url: r.content for r in files.collect()}
+    for named, found, n, _ in seen:
+        assert found == {u: contents[u] for u in named if u in contents} and n == len(found)
+    opened = [path for *_, paths in seen for path in paths]
+    assert len(seen) > 6 and len(opened) == len(set(opened)) and set().union(*(named for named, *_ in seen)) == set(urls)
+
+
+def test_segments_that_should_be_there_are_not_listed(spark, tmp_path, monkeypatch):
+    from textmill.streaming import levels as lv
+
+    path = str(tmp_path / "v")
+    write = lv.versions_sink(path, ["k"])
+    for batch in range(10):
+        write(spark.createDataFrame([("k", batch), (f"k{batch}", batch)], "k string, n int").coalesce(1), batch)
+    assert lv.full_cover(10) == [(0, 7), (8, 8), (9, 9)] and lv.full_cover(0) == [] and lv.full_cover(64) == [(0, 63)]
+    rows = lambda below: {tuple(r) for r in lv.newest(lv.open_segments(spark, path, below), ["k"]).select("k", "n").collect()}
+    want = {below: {("k", below - 1), *((f"k{i}", i) for i in range(below))} for below in (3, 8, 9, 10)}
+    with monkeypatch.context() as m:
+        m.setattr(lv, "_committed", lambda *_: pytest.fail("all segments were listed"))
+        assert {below: rows(below) for below in want} == want
+    # One that was not committed, and a batch that wrote nothing, are found by listing.
+    (tmp_path / "v" / "seg-000000000000-000000000007" / "_SUCCESS").unlink()
+    assert rows(10) == want[10] and rows(20) == want[10]
