@@ -202,3 +202,16 @@ def test_segments_that_should_be_there_are_not_listed(spark, tmp_path, monkeypat
     # One that was not committed, and a batch that wrote nothing, are found by listing.
     (tmp_path / "v" / "seg-000000000000-000000000007" / "_SUCCESS").unlink()
     assert rows(10) == want[10] and rows(20) == want[10]
+
+
+@pytest.mark.parametrize("name", ["stream_ingest_chunks"])
+def test_one_file_of_documents_is_worked_on_by_all_tasks(spark, tmp_path, monkeypatch, name):
+    from textmill.plans.catalog import streams
+
+    rows = [(8 * i, "\n".join(" ".join(f"word{i}x{j}y{k}" for k in range(120)) for j in range(40))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "new_folder", lambda *_: str(tmp_path / "out"))
+    getattr(streams, name)(spark, str(tmp_path)).count()
+    written = list((tmp_path / "out" / "table").glob("run=*/batch_id=0/outcome=stored/*.parquet"))
+    assert len(written) == spark.sparkContext.defaultParallelism
