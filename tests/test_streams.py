@@ -204,7 +204,7 @@ def test_segments_that_should_be_there_are_not_listed(spark, tmp_path, monkeypat
     assert rows(10) == want[10] and rows(20) == want[10]
 
 
-@pytest.mark.parametrize("name", ["stream_ingest_chunks"])
+@pytest.mark.parametrize("name", ["stream_ingest_chunks", "stream_redelivery"])
 def test_one_file_of_documents_is_worked_on_by_all_tasks(spark, tmp_path, monkeypatch, name):
     from textmill.plans.catalog import streams
 
@@ -212,6 +212,7 @@ def test_one_file_of_documents_is_worked_on_by_all_tasks(spark, tmp_path, monkey
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(streams, "new_folder", lambda *_: str(tmp_path / "out"))
+    monkeypatch.setattr(streams, "Outage", streams.HashProvider)
     getattr(streams, name)(spark, str(tmp_path)).count()
     written = list((tmp_path / "out" / "table").glob("run=*/batch_id=0/outcome=stored/*.parquet"))
     assert len(written) == spark.sparkContext.defaultParallelism
