@@ -12,6 +12,7 @@ from textmill.plans.catalog.streams import in_late_batches
 from textmill.streaming import gate as sg
 from textmill.streaming import inorder as io
 from textmill.streaming import metrics as sm
+from textmill.streaming.levels import newest_versions
 from textmill.streaming.sinks import run_available
 
 COMMANDS = "cmd_id long, sec int, instance_id string, command string"
@@ -122,6 +123,44 @@ def test_running_counters_in_batches(spark, tmp_path):
     assert got == want and found.count() == 400
 
 
+def test_files_seen_are_counted_over_batches(spark, tmp_path):
+    """A name that comes again, in its batch, in a later one or of another instance; null keys, and rows that are there twice."""
+    rng, names = random.Random(7), [None, *(f"f{i}" for i in range(60))]
+    rows = [(i, rng.randrange(1000), rng.choice(["s", "t"]), rng.choice(["a", None]), "CHUNK_COMPLETE", rng.choice(names), None, 1, 0, 0, 0)
+            for i in range(600)]
+    rows += [(1000 + i, rng.randrange(1000), "s", "a", "HEARTBEAT", f"only{i}", None, 0, 0, 0, 0) for i in range(200)]
+    rows += rows[:30]
+    schema = ("event_id long, sec int, service string, instance_id string, event string, filename string, error_text string, "
+              + ", ".join(f"{d} long" for d in COUNTERS.values()))
+    both = sm.counted(timed(spark.createDataFrame(rows, schema)))
+    late = F.col("_at") / 1_000_000 + F.when(F.xxhash64("event_id") % 3 == 0, 90).otherwise(0)
+    parts = [both.filter((late >= a) & (late < a + 300)) for a in range(0, 1100, 300)]
+    end = both.groupBy("service", "instance_id").agg(F.lit(5_000_000_000).alias("_at"), F.lit(True).alias("_tick"), *[
+        F.first(c).alias(c) for c in both.columns if c not in ("service", "instance_id", "_at", "_tick")]).select(*both.columns)
+    out = str(tmp_path)
+    found = sm.stream_snapshots(stream(spark, [*parts, end], f"{out}/q"), f"{out}/t", f"{out}/c", 100)
+    got = sorted((r.event_id, r.filesTotal) for r in found.select("event_id", "filesTotal").collect())
+    want, seen = [], {}
+    for row in sorted(rows, key=lambda row: (row[1], row[0])):
+        files = seen.setdefault(row[2:4], set())
+        files |= {row[5]} - {None}
+        want.append((row[0], len(files)))
+    assert got == sorted(want)
+
+
+def test_a_repeated_batch_counts_its_files_once(spark, tmp_path):
+    blank = {"event": "HEARTBEAT", "error_text": None, "_at": 5, **{d: 0 for d in COUNTERS.values()}}
+    brought = [["f", "g", None, "f"], ["g", "h"]]
+    path, sink = str(tmp_path / "t"), sm.snapshot_sink(str(tmp_path / "t"))
+    for batch_id in (0, 0, 1, 1):
+        out, _ = sm._run_on(pd.DataFrame([{**blank, "event_id": i, "filename": f} for i, f in enumerate(brought[batch_id])]), {})
+        rows = spark.createDataFrame(out.astype(object).where(out.notna(), None).to_dict("records"), sm._RUNNING)
+        sink(rows.withColumns({"service": F.lit("s"), "instance_id": F.lit(None).cast("string")}), batch_id)
+    found = spark.read.parquet(path).orderBy("batch_id", "event_id").collect()
+    assert [r.filesTotal for r in found] == [1, 2, 2, 2, 2, 3]
+    assert sorted(r.filename for r in newest_versions(spark, sm.names_path(path), sm.NAMED).collect()) == ["f", "g", "h"]
+
+
 def test_rows_in_order_bring_no_rows_twice():
     rows = pd.DataFrame({"event_id": [1, 2], "_at": [5, 5], "event": ["ERROR", "CHUNK_COMPLETE"], "filename": [None, "f"],
                          "error_text": ["bad", None], **{d: [1, 2] for d in COUNTERS.values()}})
