@@ -255,3 +255,35 @@ def test_one_file_of_documents_is_worked_on_by_all_tasks(spark, tmp_path, monkey
     getattr(streams, name)(spark, str(tmp_path)).count()
     written = list((tmp_path / "out" / "table").glob("run=*/batch_id=0/outcome=stored/*.parquet"))
     assert len(written) == spark.sparkContext.defaultParallelism
+
+
+def test_a_small_batch_takes_few_jobs_and_gives_the_same(spark, tmp_path):
+    """Files that come again after they were stored, failed or missing, in batches that may and may not be kept together."""
+    import json
+
+    from textmill.plans.catalog.streams import Outage
+    from textmill.sources.vector_table import read_rows
+    from textmill.streaming import ingest as si
+    from textmill.streaming import ledger as lg
+
+    files = spark.createDataFrame([(f"/f/{i}.txt", f"words {'x' * (i % 5)} of\n\nfile {i}") for i in range(40)] + [("/f/none.txt", None)], "url string, content string")
+    parts = [[*range(n, n + 8)] for n in (0, 8, 16)] + [[3, 20, "none", "gone", 20], [1, 2, 31, "none", "gone"]]
+    queue = [spark.createDataFrame([(i, json.dumps({"url": f"/f/{i}.txt"})) for i in map(str, part)], "msg_id string, body string") for part in parts]
+    jobs, given = {}, {}
+    for few in (False, True):
+        out, began = str(tmp_path / f"{few}"), []
+
+        def named(messages):
+            began.append(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs())
+            return files
+
+        si.stream_ingest(stream(spark, queue, f"{out}/q"), named, f"{out}/t", f"{out}/e", f"{out}/c", few=few, provider=Outage(),
+                         max_words=3, min_words=1, ingest_ms=F.lit(0), parts=2)
+        jobs[few] = began[2] - began[1]
+        rows = read_rows(spark, f"{out}/t").select("url", "chunk_no", "id", "outcome", "error", "batch_id")
+        ledger = lg.read_ledger(spark, si.ledger_path(f"{out}/t")).select("url", "outcome", "reason", "attempts", F.size("tried"))
+        events = spark.read.parquet(f"{out}/e").select("url", "n_chunks", "batch_id")
+        given[few] = [sorted(map(str, some.collect())) for some in (rows, ledger, events)]
+    assert given[True] == given[False] and all(given[True]) and any("attempts=2" in row for row in given[True][1])
+    assert {"stored", "failed", "missing"} <= {row.outcome for row in rows.collect()}
+    assert jobs[True] < 16 <= jobs[False], jobs
